@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.llm import leakage, percentiles, tokens, topn
+from tessela.llm import leakage, percentiles, reading, tokens, topn
 from tessela.llm.names import case_groups, method_name
 from tessela.sources.tables import table
 
@@ -46,4 +46,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_daily, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_texts")).select("doc_id", "grade_level").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_daily, p7_ids, p8_found, p9_found)}
