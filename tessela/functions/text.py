@@ -1,0 +1,71 @@
+"""Column functions on names, lists, colours, sizes, keys and prompts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def sanitize_token(c: Column) -> Column:
+    """A value as part of a file name: points become p, minus m, all else but letters, digits and _ is dropped."""
+    return F.regexp_replace(F.replace(F.replace(F.trim(c.cast("string")), F.lit("."), F.lit("p")), F.lit("-"), F.lit("m")), "[^A-Za-z0-9_]+", "")
+
+
+def csv_list(c: Column) -> Column:
+    """The trimmed parts of a comma-separated text, empty ones left out."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def csv_ints(c: Column) -> Column:
+    """The distinct integers of a comma-separated text, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(csv_list(c), lambda x: x.try_cast("int")), lambda x: x.isNotNull())))
+
+
+def hex_to_rgb(c: Column) -> Column:
+    """#RRGGBB as three numbers from 0 to 1."""
+    part = lambda i: F.conv(F.substring(F.ltrim(F.translate(c, "#", "")), i, 2), 16, 10).cast("int") / 255.0
+    return F.array(part(1), part(3), part(5))
+
+
+def human_size(c: Column) -> Column:
+    """Bytes as text in steps of 1024, TB at most."""
+    out = F.format_string("%.1f TB", c / float(1024**4))
+    for name, power in (("GB", 3), ("MB", 2), ("KB", 1), ("B", 0)):
+        out = F.when(c < 1024 ** (power + 1), F.format_string(f"%.1f {name}", c / float(1024**power))).otherwise(out)
+    return out
+
+
+def method_key(name: Column) -> Column:
+    """A method's canonical key taken apart: ``family, args, weights``."""
+    head = F.element_at(F.split(name, r"\|"), 1)
+    parts = F.split(head, "_")
+    return F.struct(
+        F.lower(parts[0]).alias("family"), F.transform(F.slice(parts, 2, 1000), lambda x: x.try_cast("double")).alias("args"),
+        F.nullif(F.substring_index(F.regexp_replace(name, r"^[^|]*\|?", ""), "/", -1), F.lit("")).alias("weights"),
+    )
+
+
+def threshold_grid(start: float, stop: float, step: float) -> Column:
+    """The thresholds from start to stop, both included, as an array."""
+    n = round((stop - start) / step)
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.round(F.lit(start) + i * step, 6))
+
+
+def polyline_length(points: Column, width: float = 1.0, height: float = 1.0) -> Column:
+    """The length of a line through points (structs x, y), scaled to pixels."""
+    legs = F.zip_with(
+        F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
+        lambda a, b: F.sqrt(((a["x"] - b["x"]) * width) ** 2 + ((a["y"] - b["y"]) * height) ** 2),
+    )
+    return F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
+
+
+def tile_starts(length: Column, size: int, stride: int) -> Column:
+    """Starts of tiles that cover a length: steps of the stride and one flush with the end."""
+    last = F.greatest(length - size, F.lit(0))
+    return F.array_union(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"), F.lit(stride).cast("bigint")), F.array(last.cast("bigint")))
+
+
+def segment_hint(height: Column, width: Column) -> Column:
+    """The number of segments for an image: one for 3920 pixels, two at least, none for an empty image."""
+    return F.when((height > 0) & (width > 0), F.greatest(F.lit(2).cast("bigint"), F.floor(height * width / 3920))).otherwise(F.lit(0).cast("bigint"))
