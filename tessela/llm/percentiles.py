@@ -54,17 +54,21 @@ def merge(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     return sketches.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
+def column(quantile: float) -> str:
+    """The name of a quantile's column: p50, p99_9."""
+    return "p" + f"{quantile * 100:g}".replace(".", "_")
+
+
 def percentiles(sketches: DataFrame, groups: Sequence[str], quantiles: Sequence[float] = QUANTILES, error: float = ERROR) -> DataFrame:
     """``groups.., metric, n_values, p50..``: for each quantile q the value of rank max(1, ceil(q n)), within ``error``."""
     by = [*groups, "metric"]
     w = Window.partitionBy(*by)
     run = sketches.withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total")))
-    name = lambda q: "p" + f"{q * 100:g}".replace(".", "_")
     picked = run.groupBy(*by).agg(
-        F.max("total").alias("n_values"), *[F.min(F.when(F.col("upto") >= at(q), F.col("bucket"))).alias(name(q)) for q in quantiles]
+        F.max("total").alias("n_values"), *[F.min(F.when(F.col("upto") >= at(q), F.col("bucket"))).alias(column(q)) for q in quantiles]
     )
-    return picked.select(*by, "n_values", *[F.round(bucket_value(F.col(name(q)), error), 9).alias(name(q)) for q in quantiles])
+    return picked.select(*by, "n_values", *[F.round(bucket_value(F.col(column(q)), error), 9).alias(column(q)) for q in quantiles])
 
 
 def step_sketch(steps: DataFrame, cases: DataFrame, error: float = ERROR) -> DataFrame:
