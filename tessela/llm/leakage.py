@@ -138,14 +138,10 @@ def _candidates(chars: np.ndarray, doc_start: np.ndarray, table: dict) -> tuple[
         # A band and the next make one of the overlapping bands.
         follows = np.r_[code[1:] == code[:-1] + 1, False] if len(code) else np.zeros(0, bool)
         pair = n + np.where(follows, np.r_[n[1:], 0], 0)
-        alone = np.r_[True, code[1:] != code[:-1] + 1]
-        which = (code >> 22) % size
-        ok = pair >= bound[which]
-        first = alone & (n >= bound[which])
-        found.append(np.unique(np.r_[code[ok], code[first]]))
-    if not found:
+        found.append(code[pair >= bound[(code >> 22) % size]])
+    code = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+    if not len(code):
         return tuple(np.zeros((4, 0), np.int64))
-    code = np.sort(np.concatenate(found))
     opens = np.flatnonzero(np.r_[True, code[1:] > code[:-1] + 1])
     last = np.r_[opens[1:], len(code)] - 1
     pair, band = code[opens] >> 22, (1 << 22) - 1

@@ -19,6 +19,7 @@ FUNCTION_WORDS = frozenset(
     were what when where whereas whereby wherein whether which while who whom whose why will with within without would yet you
     your""".split()
 )
+_CAPITALS = bytes(range(65, 91))
 LEAST_SHARE = 0.18  # of function words in a unit of English prose
 LEAST_UNIT = 4  # words of a unit of prose
 
@@ -80,13 +81,16 @@ def sentences(line: str) -> list[str]:
 def prose(text: str) -> list[list[bytes]]:
     """The sentences of English prose in a text, as words in lower case.
 
-    A sentence is English prose if enough of its words are function words. Case,
-    links and emphasis don't matter; junk between sentences falls out by itself.
+    A sentence is English prose if enough of its words are function words and it
+    isn't mostly capitals. Links and emphasis don't matter; junk between sentences falls out by itself.
     """
     found = []
     for line in plain(text):
         for sentence in sentences(line):
-            words = sentence.encode("ascii").translate(_WORDS, b"'-").split()
+            raw = sentence.encode("ascii")
+            words = raw.translate(_WORDS, b"'-").split()
+            if len(raw) - len(raw.translate(None, _CAPITALS)) > 0.4 * len(raw):
+                continue  # shouting
             if len(words) >= LEAST_UNIT and sum(map(FUNCTION_WORDS.__contains__, words)) >= LEAST_SHARE * len(words):
                 found.append(words)
     return found
