@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessela.functions import text
-from tessela.operators import bench, events, nested, spatial
+from tessela.operators import bench, events, spatial
 from tessela.operators.hierarchy import build_hierarchy, descendants
 from tessela.plans import relations as rel
 from tessela.sources.tables import table
+from tessela.streaming.replay import state_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,8 +65,6 @@ def ema_series(spark, d):
 
 @query(f"WITH {STEPS}, g AS (SELECT *, ink - lag(ink) OVER (PARTITION BY run ORDER BY step) AS dx FROM st) SELECT run, round(coalesce(sum(sqrt(dx * dx + 1)), 0), 4) AS length FROM g GROUP BY run")
 def polyline_length(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run").orderBy("step")
     legs = rel.steps(spark, d).withColumn("dx", F.col("ink") - F.lag("ink").over(w))
     return _r(legs.groupBy("run").agg(F.coalesce(F.sum(F.sqrt(F.col("dx") ** 2 + 1)), F.lit(0.0)).alias("length")), "length", to=4)
@@ -249,8 +249,6 @@ def last_update_wins(spark, d):
 
 @query(f"WITH {STEPS} SELECT run, cls, count(*) AS n, arg_max(ink, step) AS last_ink, CAST(max(step) AS INTEGER) AS last_step FROM st GROUP BY ALL")
 def event_upsert_state(spark, d):
-    from tessela.streaming.replay import state_of
-
     return state_of(rel.steps(spark, d))
 
 
@@ -267,18 +265,6 @@ def descendants_closure(spark, d):
     return descendants(build_hierarchy(c, ("g",), order_col="o"), ("g",)).drop("g")
 
 
-@query()
-def state_roundtrip_counts(spark, d):
-    """States written as JSON again and opened once more hold as many links."""
-    docs = table(spark, d, "state_docs")
-    once = docs.select("record_id", F.explode(nested.open_states(F.col("doc_json"))).alias("s"))
-    again = once.select("record_id", F.to_json(F.from_json("s", "map<string,string>")).alias("doc_json"))
-    a = nested.state_links(docs).groupBy("link_kind").agg(F.count(F.lit(1)).alias("n"))
-    quoted = again.select("record_id", F.explode(F.array("doc_json")).alias("doc_json"))
-    b = quoted.groupBy().agg(F.count(F.lit(1)).alias("n_states"))
-    return a.join(F.broadcast(b))  # one row
-
-
 @query(_SUM + """, m AS (SELECT method, round(avg(mean_miou), 4) AS v FROM su GROUP BY method), t AS (SELECT method, CAST(v AS VARCHAR) AS v, row_number() OVER (ORDER BY v DESC, method) AS no FROM m),
 w AS (SELECT greatest(max(length(method)), 6) AS a, greatest(max(length(v)), 1) AS b FROM t)
 SELECT CAST(no AS INTEGER) AS line_no, '| ' || rpad(method, CAST(a AS INTEGER), ' ') || ' | ' || rpad(v, CAST(b AS INTEGER), ' ') || ' |' AS line FROM t, w

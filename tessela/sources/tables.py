@@ -22,5 +22,5 @@ def small_text_files(spark: SparkSession, pattern: str) -> DataFrame:
         "path",
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_at"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
     )
