@@ -23,7 +23,7 @@ def complete_json(text: Column) -> Column:
 
 
 def _opens(text: Column, mark: str) -> Column:
-    return F.ltrim(F.translate(text, "\n\r\t", "   ")).startswith(mark)
+    return text.rlike(rf"^\s*\{mark}")
 
 
 def json_list(text: Column) -> Column:
@@ -40,16 +40,18 @@ def _or_empty(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.array().cast(kind))
 
 
+def is_state(text: Column) -> Column:
+    """Whether a JSON object has a member that makes a state; only its keys are read."""
+    return F.exists(F.json_object_keys(text), lambda k: k.isin(*_STATE_KEYS))
+
+
 def _unwrap(text: Column) -> Column:
-    members = json_members(text)
-    is_state = F.exists(F.map_keys(members), lambda k: k.isin(*_STATE_KEYS))
-    inner = F.filter(F.map_values(members), lambda v: _opens(v, "{") | _opens(v, "[") | _opens(v, '"'))
+    inner = F.filter(F.map_values(json_members(text)), lambda v: _opens(v, "{") | _opens(v, "[") | _opens(v, '"'))
     quoted = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
     found = (
-        F.when(_opens(text, '"'), quoted)
+        F.when(_opens(text, "{"), F.when(is_state(text), F.array(text)).otherwise(inner))
+        .when(_opens(text, '"'), quoted)
         .when(_opens(text, "["), json_list(text))
-        .when(is_state, F.array(text))
-        .when(_opens(text, "{"), inner)
     )
     return F.filter(_or_empty(found, "array<string>"), lambda v: v.isNotNull())
 
@@ -59,7 +61,7 @@ def open_states(doc_json: Column) -> Column:
     states = F.filter(F.array(complete_json(doc_json)), lambda v: v.isNotNull())
     for _ in range(_WRAPS):
         states = F.flatten(F.transform(states, _unwrap))
-    return F.filter(states, lambda s: F.exists(F.map_keys(json_members(s)), lambda k: k.isin(*_STATE_KEYS)))
+    return F.filter(states, lambda s: _opens(s, "{") & F.coalesce(is_state(s), F.lit(False)))
 
 
 def point_positions(points: Column) -> Column:
@@ -69,17 +71,18 @@ def point_positions(points: Column) -> Column:
     ``{"x": [..], "y": [..]}``, or a text of numbers. Null entries are no points
     but keep their position; half a pair at the end of a flat list is none.
     """
-    items = json_list(points)
-    pairs = F.exists(items, lambda e: _opens(e, "[") | _opens(e, "{"))
+    n = F.json_array_length(points)
+    pairs = points.rlike(r"^\s*\[\s*(?:null\s*,\s*)*[\[{]")
     of_pairs = F.filter(
-        F.transform(items, lambda e, i: F.when(_opens(e, "[") | _opens(e, "{"), i)), lambda i: i.isNotNull()
+        F.transform(json_list(points), lambda e, i: F.when(_opens(e, "[") | _opens(e, "{"), i)), lambda i: i.isNotNull()
     )
-    half = F.floor(F.size(items) / 2).cast("int")
+    half = F.floor(n / 2).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
     xs = json_list(F.element_at(json_members(points), "x"))
     numbers = F.size(F.regexp_extract_all(points, F.lit(r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)))
     found = (
-        F.when(pairs, of_pairs)
+        F.when(pairs & points.contains("null"), of_pairs)
+        .when(pairs, upto(n))
         .when(_opens(points, "["), upto(half))
         .when(_opens(points, "{"), upto(F.size(xs)))
         .otherwise(upto(F.floor(numbers / 2).cast("int")))
@@ -87,21 +90,20 @@ def point_positions(points: Column) -> Column:
     return _or_empty(found, "array<int>")
 
 
-def _by_method(text: Column) -> Column:
+def _items(text: Column, fields: str) -> Column:
+    """The objects of a JSON list, each opened once to the named fields as JSON texts; other entries are left out."""
+    objects = F.filter(_or_empty(json_list(text), "array<string>"), lambda e: _opens(e, "{"))
+    return F.transform(objects, lambda e: F.from_json(e, ", ".join(f"{f} string" for f in fields.split())))
+
+
+def _by_method(text: Column, fields: str) -> Column:
     """``superpixels`` or ``annotations`` as structs (method, item): a map by method, or a list of items that name theirs."""
-    listed = F.transform(json_list(text), lambda e: F.struct(F.element_at(json_members(e), "method").alias("m"), e.alias("e")))
+    listed = F.transform(_items(text, fields), lambda e: F.struct(e["method"].alias("m"), e.alias("e")))
     mapped = F.flatten(
-        F.transform(
-            F.map_entries(json_members(text)),
-            lambda kv: F.transform(_or_empty(json_list(kv["value"]), "array<string>"), lambda e: F.struct(kv["key"].alias("m"), e.alias("e"))),
-        )
+        F.transform(F.map_entries(json_members(text)), lambda kv: F.transform(_items(kv["value"], fields), lambda e: F.struct(kv["key"].alias("m"), e.alias("e"))))
     )
-    found = F.when(_opens(text, "["), listed).when(_opens(text, "{"), mapped)
-    return F.filter(_or_empty(found, "array<struct<m:string,e:string>>"), lambda s: _opens(s["e"], "{"))
-
-
-def _member(item: Column, name: str) -> Column:
-    return F.get_json_object(item, f"$.{name}")
+    kind = "array<struct<m:string,e:struct<" + ",".join(f"{f}:string" for f in fields.split()) + ">>>"
+    return _or_empty(F.when(_opens(text, "["), listed).when(_opens(text, "{"), mapped), kind)
 
 
 def _link(kind: str, parent: Column, child: Column) -> Column:
@@ -111,36 +113,35 @@ def _link(kind: str, parent: Column, child: Column) -> Column:
 _LINKS = "array<struct<link_kind:string,parent_id:string,child_id:string>>"
 
 
-def _scribble_points(state: Column) -> Column:
+def _scribble_points(text: Column) -> Column:
     return F.flatten(
-        F.transform(
-            F.filter(_or_empty(json_list(F.element_at(json_members(state), "scribbles")), "array<string>"), lambda e: _opens(e, "{")),
-            lambda s: F.transform(point_positions(F.element_at(json_members(s), "points")), lambda i: _link("scribble_point", F.element_at(json_members(s), "id"), i)),
-        )
+        F.transform(_items(text, "id points"), lambda s: F.transform(point_positions(s["points"]), lambda i: _link("scribble_point", s["id"], i)))
     )
 
 
-def _holes(state: Column) -> Column:
+def _holes(text: Column) -> Column:
     def of_one(sp: Column) -> Column:
-        item = json_members(sp["e"])
-        parent = F.concat(sp["m"], F.lit("#"), F.element_at(item, "id"))
-        rings = _or_empty(json_list(F.element_at(item, "holes")), "array<string>")
+        rings = _or_empty(json_list(sp["e"]["holes"]), "array<string>")
         kept = F.filter(F.transform(rings, lambda r, i: F.when(F.size(point_positions(r)) >= 3, i)), lambda i: i.isNotNull())
-        return F.transform(kept, lambda i: _link("sp_hole", parent, i))
+        return F.transform(kept, lambda i: _link("sp_hole", F.concat(sp["m"], F.lit("#"), sp["e"]["id"]), i))
 
-    return F.flatten(F.transform(_by_method(F.element_at(json_members(state), "superpixels")), of_one))
+    return F.flatten(F.transform(_by_method(text, "id method holes"), of_one))
 
 
-def _parent_scribbles(state: Column) -> Column:
+def _parent_scribbles(text: Column) -> Column:
     def of_one(an: Column) -> Column:
-        item = json_members(an["e"])
-        parent = F.concat(an["m"], F.lit("#"), F.element_at(item, "id"))
-        raw = F.element_at(item, "parent_scribble")
+        raw = an["e"]["parent_scribble"]
         ids = F.when(_opens(raw, "["), json_list(raw)).otherwise(F.split(raw, r"[;,\s]+"))
         named = F.filter(_or_empty(ids, "array<string>"), lambda i: i.isNotNull() & (F.trim(i) != ""))
-        return F.transform(named, lambda i: _link("anno_scribble", parent, F.trim(i)))
+        return F.transform(named, lambda i: _link("anno_scribble", F.concat(an["m"], F.lit("#"), an["e"]["id"]), F.trim(i)))
+
+    return F.flatten(F.transform(_by_method(text, "id method parent_scribble"), of_one))
 
-    return F.flatten(F.transform(_by_method(F.element_at(json_members(state), "annotations")), of_one))
+
+def _opened(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``record_id, st``: the states with their three members as JSON texts."""
+    states = docs.select(F.col(id_col).alias("record_id"), F.explode(open_states(F.col(json_col))).alias("s"))
+    return states.select("record_id", F.from_json("s", ", ".join(f"{k} string" for k in _STATE_KEYS)).alias("st"))
 
 
 def state_links(docs: DataFrame, id_col: str = "record_id", json_col: str = "doc_json") -> DataFrame:
@@ -152,10 +153,9 @@ def state_links(docs: DataFrame, id_col: str = "record_id", json_col: str = "doc
     * repeated and late copies of a record give each row once;
     * only the two named columns are read; an empty table gives no rows.
     """
-    states = docs.select(F.col(id_col).alias("record_id"), F.explode(open_states(F.col(json_col))).alias("s"))
-    s = F.col("s")
-    links = F.concat(*[F.coalesce(f(s), F.array().cast(_LINKS)) for f in (_scribble_points, _holes, _parent_scribbles)])
-    return states.select("record_id", F.inline(links)).where("parent_id IS NOT NULL AND child_id IS NOT NULL").distinct()
+    parts = zip((_scribble_points, _holes, _parent_scribbles), _STATE_KEYS)
+    links = F.concat(*[F.coalesce(f(F.col(f"st.{k}")), F.array().cast(_LINKS)) for f, k in parts])
+    return _opened(docs, id_col, json_col).select("record_id", F.inline(links)).where("parent_id IS NOT NULL AND child_id IS NOT NULL").distinct()
 
 
 def run_methods(runs: DataFrame) -> DataFrame:
@@ -183,14 +183,11 @@ def nested_links(runs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def scribble_table(docs: DataFrame) -> DataFrame:
     """The scribbles of the states as a flat table: record, position, id, code, radius, number of points."""
-    states = docs.select("record_id", F.explode(open_states(F.col("doc_json"))).alias("s"))
-    items = F.filter(_or_empty(json_list(F.element_at(json_members(F.col("s")), "scribbles")), "array<string>"), lambda e: _opens(e, "{"))
     rows = F.transform(
-        items,
+        _items(F.col("st.scribbles"), "id points params"),
         lambda e, i: F.struct(
-            i.alias("position"), _member(e, "id").alias("scribble_id"), _member(e, "params.code").cast("int").alias("code"),
-            _member(e, "params.radius").cast("double").alias("radius"),
-            F.size(point_positions(F.element_at(json_members(e), "points"))).alias("n_points"),
+            i.alias("position"), e["id"].alias("scribble_id"), F.get_json_object(e["params"], "$.code").cast("int").alias("code"),
+            F.get_json_object(e["params"], "$.radius").cast("double").alias("radius"), F.size(point_positions(e["points"])).alias("n_points"),
         ),
     )
-    return states.select("record_id", F.inline(rows)).distinct()
+    return _opened(docs, "record_id", "doc_json").select("record_id", F.inline(rows)).distinct()
