@@ -1,9 +1,10 @@
 """Far too many small files: consolidation into few sorted files of good size.
 
-Each tiny file is a run. The runs' records are spread by key range and merged in
-order within each range: Spark's external sorter keeps sorted runs in memory or
-spilled and merges them k ways, so a range never has to fit. Outputs are rolled
-by bytes, and a manifest with each file's key range is written beside them.
+The tiny files are read once, many to a task, and each task writes its records as
+one sorted run. The runs are then cut by key range, and each range is merged in
+order: Spark's external sorter merges the sorted pieces k ways, in memory or
+spilled, so a range never has to fit. Outputs are rolled by bytes, and a manifest
+gives each file's key range.
 Nothing is removed: copies of a record stay, and removal of repeats is the
 reader's choice.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessela.operators.nested import json_list
@@ -75,10 +76,10 @@ def consolidate(
 ) -> tuple[str, DataFrame]:
     """Write ``df`` sorted by ``keys`` in files of about ``target_bytes``; return the folder and its manifest.
 
-    The rows' bytes are measured first (one aggregate); ranges are as many as
-    target sizes, each range is merged in order, and a writer starts a new file
-    when it has written the rows of a target size, so a hot range gives several
-    files rather than a large one. An extra ``_h`` of the whole row follows the
+    The first pass writes the sorted runs and measures rows and bytes on the way;
+    ranges are as many as target sizes, each is merged in order, and a writer
+    starts a new file when it has written the rows of a target size, so a hot
+    range gives several files rather than a large one. An extra ``_h`` of the whole row follows the
     keys in the range order, which splits even a single hot key over ranges.
     The manifest holds file, rows, bytes, and the least and greatest key.
     An empty table gives an empty folder and manifest.
@@ -88,13 +89,14 @@ def consolidate(
     width = F.lit(0)
     for name, kind in df.dtypes:
         width = width + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
-    rows, total = df.agg(F.count(F.lit(1)), F.sum(width)).first()
-    total = total or 0
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    seen, runs = Observation(), scratch_path(spark, "runs")
+    df.sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).write.parquet(runs)
+    rows, total = seen.get["rows"], seen.get["bytes"] or 0
     ranges = max(1, math.ceil(total / target_bytes))
     per_file = max(1, int(rows * target_bytes / total)) if total else 1
-    order = [F.col(k).asc_nulls_first() for k in keys]
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    merged = df.repartitionByRange(ranges, *order, spread).sortWithinPartitions(*order)
+    merged = spark.read.schema(df.schema).parquet(runs).repartitionByRange(ranges, *order, spread).sortWithinPartitions(*order)
     merged.write.option("maxRecordsPerFile", per_file).parquet(out)
     return out, manifest(spark.read.schema(df.schema).parquet(out), keys)
 
