@@ -18,13 +18,26 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessela-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessela-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tessela/{what}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table of this application."""
+    return f"{_own(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> int:

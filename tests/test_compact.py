@@ -46,3 +46,14 @@ def test_consolidation_keeps_repeats_and_ranges(spark):
 def test_empty(spark):
     path, made = consolidate(state_records(files(spark, [])), KEYS)
     assert made.count() == 0
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from tessela.storage import clear, materialise, shared_dir
+
+    df = materialise(spark.range(3), "x")
+    assert df.count() == 3 and df.inputFiles()[0].startswith(shared_dir(spark))
+    clear(spark)
+    assert not any(n.startswith("tessela-") for n in os.listdir(shared_dir(spark).removeprefix("file://")))
