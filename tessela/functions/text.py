@@ -69,3 +69,24 @@ def tile_starts(length: Column, size: int, stride: int) -> Column:
 def segment_hint(height: Column, width: Column) -> Column:
     """The number of segments for an image: one for 3920 pixels, two at least, none for an empty image."""
     return F.when((height > 0) & (width > 0), F.greatest(F.lit(2).cast("bigint"), F.floor(height * width / 3920))).otherwise(F.lit(0).cast("bigint"))
+
+
+def canonical_json(params: Column) -> Column:
+    """A map as JSON with its keys in order; null for null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+
+
+def case_label(method: Column, params: Column) -> Column:
+    """A case's label: the method and its parameters in order of their names, each as name and value."""
+    parts = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("_", e["key"], sanitize_token(e["value"])))
+    return F.concat_ws("__", F.concat(F.array(method), parts))
+
+
+def rotated(step: Column, modes: list[str]) -> Column:
+    """The mode of a step in a cycle of modes."""
+    return F.element_at(F.array(*[F.lit(m) for m in modes]), (step % len(modes) + 1).cast("int"))
+
+
+def fixed(value: Column, digits: int = 6) -> Column:
+    """A number with fixed digits; NaN for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value), "NaN").otherwise(F.format_string(f"%.{digits}f", value))

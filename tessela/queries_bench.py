@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessela.functions import text
+from tessela.functions import geometry, text
 from tessela.operators import bench, events, spatial
+from tessela.operators.raster import region_priority
 from tessela.operators.hierarchy import build_hierarchy, descendants
 from tessela.plans import relations as rel
 from tessela.sources.tables import table
@@ -272,3 +273,32 @@ UNION ALL SELECT -1, '| ' || rpad('method', CAST(a AS INTEGER), ' ') || ' | ' ||
 def markdown_report(spark, d):
     m = bench.summarise(rel.bench_rows(spark, d)).groupBy("method").agg(F.round(F.avg("mean_miou"), 4).alias("v"))
     return bench.markdown_table(m, ["method", "v"], [F.col("v").desc(), F.col("method")])
+
+
+@query("""WITH p AS (SELECT DISTINCT case_id, params FROM sweep_cases WHERE params IS NOT NULL), k AS (SELECT case_id, params, unnest(map_keys(params)) AS k, unnest(map_values(params)) AS v FROM p),
+t AS (SELECT case_id, params, string_agg(k || '_' || regexp_replace(replace(replace(trim(v), '.', 'p'), '-', 'm'), '[^A-Za-z0-9_]+', '', 'g'), '__' ORDER BY k) AS l FROM k GROUP BY ALL)
+SELECT DISTINCT case_id, 'case__' || l AS label FROM t""")
+def case_labels(spark, d):
+    c = table(spark, d, "sweep_cases").where("params IS NOT NULL AND size(params) > 0")
+    return c.select("case_id", text.case_label(F.lit("case"), F.col("params")).alias("label")).distinct()
+
+
+@query(f"""WITH {STEPS} SELECT run, CAST(step AS INTEGER) AS step, CASE step % 3 WHEN 0 THEN 'miou_gain' WHEN 1 THEN 'largest_error' ELSE 'unannotated' END AS mode FROM st""")
+def mode_rotation(spark, d):
+    return rel.steps(spark, d).select("run", "step", text.rotated(F.col("step"), ["miou_gain", "largest_error", "unannotated"]).alias("mode"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, least(greatest(p_size / 25.0 - 0.5, 0), 1) AS a, least(greatest((p_retailprice - 900) / 100, 0), 1) AS b FROM part)
+SELECT id, round(least(a, 0.5), 6) AS x0, round(greatest(a, 0.5), 6) AS x1, least(a, 0.5) <= 0.6 AND greatest(a, 0.5) >= 0.4 AND least(b, 0.3) <= 0.5 AND greatest(b, 0.3) >= 0.2 AS meets FROM b""")
+def box_normalise(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), geometry.box(F.col("p_size") / 25.0 - 0.5, (F.col("p_retailprice") - 900) / 100, F.lit(0.5), F.lit(0.3)).alias("b"))
+    other = geometry.box(F.lit(0.4), F.lit(0.2), F.lit(0.6), F.lit(0.5))
+    return _r(p.select("id", F.col("b.x0").alias("x0"), F.col("b.x1").alias("x1"), geometry.overlap(F.col("b"), other).isNotNull().alias("meets")), "x0", "x1")
+
+
+@query("""WITH c AS (SELECT user_id % 10 AS cls, avg(value) / 500 AS iou, count(*) AS n, count(*) FILTER (event_type = 'error') AS fails FROM events GROUP BY 1)
+SELECT cls, round((1 - iou) * 1.0 + 0.75 * (1 - iou) + 0.5 * fails / n + 0.2 / (1 + n) - 0.25 * (fails / n), 6) AS priority FROM c""")
+def class_priority(spark, d):
+    c = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("cls")).agg((F.avg("value") / 500).alias("iou"), F.count(F.lit(1)).alias("n_scribbles"), F.count_if(F.col("event_type") == "error").alias("fails"))
+    state = c.select("cls", "iou", F.lit(1.0).alias("fragments"), (1 - F.col("iou")).alias("deficit"), (F.col("fails") / F.col("n_scribbles")).alias("bad"), "n_scribbles", (F.col("fails") / F.col("n_scribbles")).alias("failures"))
+    return _r(region_priority(state).select("cls", "priority"), "priority")

@@ -3,7 +3,7 @@ import random
 
 from tests.conftest import rows
 from tessela.operators import bench, events, graph, quality, spatial, votes
-from tessela.functions import text
+from tessela.functions import geometry, text
 from pyspark.sql import functions as F
 
 
@@ -113,3 +113,19 @@ def test_text_functions(spark):
     assert (k.family, k.args, k.weights) == ("ssn", [500.0, 0.26], "best.pth")
     pts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (3.0, 4.0), (3.0, 5.0))])
     assert s(text.polyline_length(pts)) == 6.0 and s(text.polyline_length(F.slice(pts, 1, 1))) == 0.0
+
+
+def test_geometry_functions(spark):
+    s = lambda c: spark.range(1).select(c.alias("v")).first().v
+    a, b = geometry.box(F.lit(0.9), F.lit(-1), F.lit(0.1), F.lit(0.5)), geometry.box(F.lit(0.5), F.lit(0.5), F.lit(2), F.lit(1))
+    assert tuple(s(a)) == (0.1, 0.0, 0.9, 0.5) and tuple(s(geometry.overlap(a, b))) == (0.5, 0.5, 0.9, 0.5)
+    assert s(geometry.overlap(a, geometry.box(F.lit(0.95), F.lit(0), F.lit(1), F.lit(1)))) is None
+    assert tuple(s(geometry.pixel_rect(a, 10, 5))) == (1, 0, 9, 2)
+    assert tuple(s(geometry.to_pixel(F.lit(1.0), F.lit(0.5), 10, 11))) == (9, 5) and tuple(s(geometry.to_pixel(F.lit(1.0), F.lit(0.5), 10, 11, False))) == (9, 6)
+    pt = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    boxes = F.array(geometry.box(F.lit(0.1), F.lit(0.1), F.lit(0.35), F.lit(0.3)), geometry.box(F.lit(0.35), F.lit(0.1), F.lit(0.6), F.lit(0.3)))
+    assert s(geometry.covered(F.array(pt(0.2, 0.2), pt(0.35, 0.2), pt(0.5, 0.2)), boxes)) and not s(geometry.covered(F.array(pt(0.2, 0.2), pt(0.7, 0.2)), boxes))
+    assert s(geometry.round_ring(F.lit(None).cast("array<struct<x:double,y:double>>"))) == []
+    assert s(geometry.pulse(F.lit(4), 5)) == 1.0
+    assert s(text.canonical_json(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2")))) == '{"a":"2","b":"1"}'
+    assert s(text.fixed(F.lit(None).cast("double"))) == "NaN" and s(text.fixed(F.lit(0.5), 2)) == "0.50"
