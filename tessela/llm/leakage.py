@@ -33,7 +33,7 @@ _LONGEST = 40  # characters of a word that count; longer words are cut to it in
 _BAND = 128  # half the width of a band, at least EDITS times the longest word
 _Q = (24, 20, 16, 12, 8, 4)
 _SHARED = 12  # q-grams that a match should share at least; q is the greatest that grants it
-BLOCK = 4000  # passages broadcast at once, some 20 MB at most for passages of usual length
+BLOCK = 400_000  # words of passages broadcast at once: some 60 MB in a worker at most
 _CANDIDATES = 256  # aligned together
 _RUN = 6  # equal words on end that every match has: 18 of 20 words lie in 3 runs, 27 of 30 in 4
 
@@ -215,8 +215,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     fewer than 20 words can't be held, repeated rows give one row, and empty
     tables give none. Only the named columns are read.
 
-    The items are collected, as a query set is, and sent out ``block`` passages at
-    a time; the documents stay where they are.
+    The items are collected, as a query set is, and sent out in blocks of about
+    ``block`` words; the documents stay where they are.
     """
     spark = docs.sparkSession
     held = items.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
@@ -226,12 +226,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         if len(words) >= LEAST_WORDS:
             by_words[words].append(item)
     passages = list(enumerate(map(list, by_words)))
+    blocks, size = [[]], 0
+    for key, words in passages:
+        if size and size + len(words) > block:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((key, words))
+        size += len(words)
     items_of = dict(enumerate(by_words.values()))
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text_col).where(F.length(text_col) >= LEAST_WORDS)
     found = None
-    for at in range(0, max(1, len(passages)), block):
-        part = passages[at : at + block]
+    for part in blocks:
         shared = spark.sparkContext.broadcast((passage_table(part), {k: items_of[k] for k, _ in part}))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

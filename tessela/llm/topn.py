@@ -74,8 +74,9 @@ def top_n(steps: DataFrame, cases: DataFrame, n: int = 5) -> DataFrame:
     adaptive execution splits a hot case. A group of any size leaves at most its
     rows above the bound.
     """
-    group = Window.partitionBy("method", "label")
-    ids = cases.select("case_id", F.min("case_id").over(group).alias("gid"))
+    names = cases.groupBy("method", "label").agg(F.min("case_id").alias("gid"))
+    n_ = names.select(F.col("method").alias("m"), F.col("label").alias("l"), "gid")
+    ids = cases.join(n_, cases["method"].eqNullSafe(n_["m"]) & cases["label"].eqNullSafe(n_["l"])).select("case_id", "gid")
     rows = steps.where("miou IS NOT NULL AND NOT isnan(miou)").select(
         "case_id",
         F.col("miou").cast("double").alias("a"),
@@ -90,7 +91,6 @@ def top_n(steps: DataFrame, cases: DataFrame, n: int = 5) -> DataFrame:
     left = rows.join(bounded, "case_id").where(F.col("bound").isNull() | (key >= F.col("bound"))).select("gid", "a", "b", "c", "d")
     order = [F.col(x).desc() for x in ("a", "b", "c", "d")]
     best = left.withColumn("rank", F.dense_rank().over(Window.partitionBy("gid").orderBy(*order))).where(F.col("rank") <= n).distinct()
-    names = cases.groupBy("method", "label").agg(F.min("case_id").alias("gid"))
     return best.join(names, "gid").select(
         "method", "label", F.when(F.col("d") > -(2**63 - 1), -F.col("d")).alias("metric_id"), "rank", F.col("a").alias("miou"),
         F.when(F.col("b") > float("-inf"), F.col("b")).alias("coverage"), F.when(F.col("c") > -(2**31), -F.col("c")).cast("int").alias("step"),
