@@ -24,16 +24,15 @@ from tessela.storage import materialise
 _FIELD = "array<struct<name:string,kind:string,tree:string,content:string>>"
 
 
-def _kind(schema: Column) -> Column:
-    head = F.regexp_extract(schema, r"^([A-Z]+)", 1)
-    return (
-        F.when(head == "VOID", F.lit(None).cast("string"))
-        .when(head == "STRING", "string")
-        .when(head == "BOOLEAN", "boolean")
-        .when(head == "ARRAY", "array")
-        .when(head == "OBJECT", "object")
-        .otherwise("number")
-    )
+#: The heads of variant types that don't stand for a number, and what they are called.
+_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
+def _kind(tree: Column) -> Column:
+    """The JSON type at the head of a variant's schema; null for null."""
+    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    head = F.substring_index(tree, "<", 1)
+    return F.when(tree != "VOID", F.coalesce(F.element_at(names, head), F.lit("number")))
 
 
 def plain_content(js: Column) -> Column:
@@ -61,18 +60,9 @@ def open_records(lines: DataFrame, group: str = "writer", file_no: str = "file_n
         F.col(group).alias("g"), F.col(file_no).alias("f"), complete_json(F.col(text)).alias("t")
     ).where("t IS NOT NULL AND ltrim(t) LIKE '{%'")
     members = F.from_json("t", "map<string,variant>")
-    return rows.select("g", "f", F.get_json_object("t", "$.id").alias("id"), F.map_entries(members).alias("m")).select(
-        "g", "f", "id",
-        F.transform(
-            "m",
-            lambda e: F.struct(
-                e["key"].alias("name"),
-                _kind(F.call_function("schema_of_variant", e["value"])).alias("kind"),
-                F.call_function("schema_of_variant", e["value"]).alias("tree"),
-                plain_content(F.to_json(e["value"])).alias("content"),
-            ),
-        ).cast(_FIELD).alias("fields"),
-    )
+    bare = F.transform("m", lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree"), F.to_json(e["value"]).alias("js")))
+    fields = F.transform(bare, lambda e: F.struct(e["name"].alias("name"), _kind(e["tree"]).alias("kind"), e["tree"].alias("tree"), plain_content(e["js"]).alias("content")))
+    return rows.select("g", "f", F.get_json_object("t", "$.id").alias("id"), F.map_entries(members).alias("m")).select("g", "f", "id", fields.cast(_FIELD).alias("fields"))
 
 
 def _schemas(records: DataFrame) -> DataFrame:
@@ -102,7 +92,7 @@ def _file_pairs(schemas: DataFrame) -> DataFrame:
 def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """The changes, and the lineage of each field: what ``changes`` and ``unified`` share."""
     spark = lines.sparkSession
-    records = open_records(lines, group, file_no, text)
+    records = materialise(open_records(lines, group, file_no, text), "drift-records")
     schemas = materialise(_schemas(records), "drift-schemas")
     names = lambda c: F.transform(c, lambda x: x["name"])
     pairs = materialise(
