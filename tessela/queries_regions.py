@@ -77,11 +77,11 @@ def pair_unmatched(spark, d):
     return docs.join(table(spark, d, "embeddings").select("label").distinct(), "label", "left_anti").select("doc_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 7 <> 0), b AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 0)
+@query("""WITH a AS (SELECT DISTINCT p_size AS k FROM part), b AS (SELECT n_nationkey AS k FROM nation)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'mask' ELSE 'image' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def pair_symdiff(spark, d):
-    a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).where("k % 7 <> 0").distinct().withColumn("a", F.lit(1))
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).where("k % 5 <> 0").withColumn("b", F.lit(1))
+    a = table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().withColumn("a", F.lit(1))
+    b = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).withColumn("b", F.lit(1))
     return a.join(b, "k", "full").where("a IS NULL OR b IS NULL").select("k", F.when(F.col("a").isNull(), "mask").otherwise("image").alias("side"))
 
 
@@ -405,12 +405,12 @@ def linf_similarity(spark, d):
     return _r(a.join(b, "a_id").select("a_id", "b_id", vectors.chebyshev_similarity(F.col("a"), F.col("b"), 0.5).alias("score")), "score", to=5)
 
 
-@query(f"""WITH {_EMB}, sd AS (SELECT * FROM g WHERE sp % 5 = 0), p AS (SELECT b.sp, a.sp AS seed, a.code, {_LINF.format(limit=0.6)} AS score FROM sd a JOIN g b ON b.sp % 5 <> 0
+@query(f"""WITH {_EMB}, sd AS (SELECT * FROM g WHERE sp % 20 = 0), p AS (SELECT b.sp, a.sp AS seed, a.code, {_LINF.format(limit=0.6)} AS score FROM sd a JOIN g b ON b.sp % 20 <> 0
  AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 0.08)
 SELECT sp, seed, code, round(score, 5) AS score FROM p WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY sp ORDER BY score DESC, seed) = 1""")
 def propagate_one_hop(spark, d):
     v = rel.region_vectors(spark, d)
-    return _r(vectors.propagate(v, v.where("sp % 5 = 0"), 0.08, 0.6, 0.3), "score", to=5)
+    return _r(vectors.propagate(v, v.where("sp % 20 = 0"), 0.08, 0.6, 0.3), "score", to=5)
 
 
 @query("WITH " + PX + ", m AS (SELECT gt, pred, count(*) AS n FROM px WHERE gt > 0 OR pred > 0 GROUP BY ALL) SELECT CASE WHEN gt > 0 AND pred = 0 THEN 'FN' WHEN gt = 0 AND pred > 0 THEN 'FP' WHEN gt <> pred THEN 'swap' ELSE 'OK' END AS kind, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1")
