@@ -56,55 +56,46 @@ def build_hierarchy(
       are one node; an empty table gives an empty result. Only the named
       columns are read, so other columns may have any name.
 
-    Scale: the child links are partitioned once by (keys, parent) and kept; a
-    round moves only its frontier. No key is gathered in one task, so one image
+    Scale: the child links are partitioned and sorted once by (keys, parent) and
+    kept; a round moves only its frontier, or broadcasts it where Spark measures
+    it to be small. No key is gathered in one task, so one image
     may hold any share of the rows. Rounds: depth of the deepest tree.
     """
     spark = df.sparkSession
     kn = [f"k{i}" for i in range(len(keys))]
     last = F.when(F.size(parents_col) > 0, F.element_at(F.col(parents_col), -1))
     base = scratch_path(spark, "hierarchy")
-    nodes_path = f"{base}/nodes"
-    latest_links(df, keys, id_col, last, F.col(order_col)).write.parquet(nodes_path)
-    nodes = spark.read.parquet(nodes_path)
-
-    def same(a: DataFrame, a_id: str, b: DataFrame, b_id: str) -> Column:
-        on = a[a_id] == b[b_id]
-        for k in kn:
-            on = on & a[k].eqNullSafe(b[k])
-        return on
-
+    # One key that is never null: joins on it keep the partitioning and order of what is cached.
+    whole_key = F.to_json(F.struct(*kn))
+    latest_links(df, keys, id_col, last, F.col(order_col)).withColumn("k", whole_key).write.parquet(f"{base}/nodes")
+    nodes = spark.read.parquet(f"{base}/nodes")
     linked = nodes.where("parent IS NOT NULL")
-    known = nodes.select(*kn, F.col("id").alias("pid"))
-    kids = linked.join(known, same(linked, "parent", known, "pid"), "left_semi")
-    kids = kids.repartition(*kn, "parent").persist(StorageLevel.MEMORY_AND_DISK)
+    known = nodes.select(F.col("k").alias("pk"), F.col("id").alias("pid"))
+    has_row = (linked["k"] == known["pk"]) & (linked["parent"] == known["pid"])
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kids = linked.join(known, has_row, "left_semi").repartition(width, "k", "parent").sortWithinPartitions("k", "parent")
+    kids = kids.persist(StorageLevel.MEMORY_AND_DISK)
+    path_type = f"array<{nodes.schema['id'].dataType.simpleString()}>"
     try:
-        orphans = linked.join(known, same(linked, "parent", known, "pid"), "left_anti")
-        roots = nodes.where("parent IS NULL").unionByName(orphans).select(
-            *kn, "id", F.col("parent").alias("parent_id"), F.col("id").alias("root_id"), F.lit(0).alias("depth"),
-            (F.array("id") if with_path else F.lit(None).cast(f"array<{nodes.schema['id'].dataType.simpleString()}>")).alias("path"),
+        roots = nodes.where("parent IS NULL").unionByName(linked.join(known, has_row, "left_anti")).select(
+            *kn, "k", "id", F.col("parent").alias("parent_id"), F.col("id").alias("root_id"), F.lit(0).alias("depth"),
+            (F.array("id") if with_path else F.lit(None).cast(path_type)).alias("path"),
         )
         levels = [f"{base}/level-0"]
         found = write_counted(roots, levels[0])
         while found:
-            front = spark.read.parquet(levels[-1])
-            f = front.select(*[F.col(k).alias(f"f{k}") for k in kn], F.col("id").alias("fid"), "root_id", "depth", "path")
-            on = kids["parent"] == f["fid"]
-            for k in kn:
-                on = on & kids[k].eqNullSafe(f[f"f{k}"])
-            step = kids.join(f, on).select(
-                *[kids[k] for k in kn], kids["id"], kids["parent"].alias("parent_id"), "root_id",
-                (F.col("depth") + 1).alias("depth"),
-                (F.concat("path", F.array(kids["id"])) if with_path else F.col("path")).alias("path"),
+            front = spark.read.parquet(levels[-1]).select(F.col("k").alias("fk"), F.col("id").alias("fid"), "root_id", "depth", "path")
+            step = kids.join(front, (kids["k"] == front["fk"]) & (kids["parent"] == front["fid"])).select(
+                *kn, "k", "id", F.col("parent").alias("parent_id"), "root_id", (F.col("depth") + 1).alias("depth"),
+                (F.concat("path", F.array("id")) if with_path else F.col("path")).alias("path"),
             )
-            path = f"{base}/level-{len(levels)}"
-            found = write_counted(step, path)
-            levels.append(path)
+            levels.append(f"{base}/level-{len(levels)}")
+            found = write_counted(step, levels[-1])
         reached = spark.read.parquet(*levels)
-        r = reached.select(*kn, F.col("id").alias("rid"))
-        looped = kids.join(r, same(kids, "id", r, "rid"), "left_anti").select(
-            *kn, "id", F.col("parent").alias("parent_id"), F.lit(-1).cast(nodes.schema["id"].dataType).alias("root_id"),
-            F.lit(-1).alias("depth"), F.lit(None).cast(reached.schema["path"].dataType).alias("path"),
+        r = reached.select(F.col("k").alias("rk"), F.col("id").alias("rid"))
+        looped = kids.join(r, (kids["k"] == r["rk"]) & (kids["id"] == r["rid"]), "left_anti").select(
+            *kn, "k", "id", F.col("parent").alias("parent_id"), F.lit(-1).cast(nodes.schema["id"].dataType).alias("root_id"),
+            F.lit(-1).alias("depth"), F.lit(None).cast(path_type).alias("path"),
         )
         write_counted(looped, f"{base}/looped")
     finally:
