@@ -156,8 +156,7 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     line = seg.withColumn("id", key("name", "seg")).join(lineage, ["g", "id"])
     w = Window.partitionBy("g", "root_id").orderBy("rank")
     line = line.select(
-        "g", "f", "rank", "name", "kind", "tree",
-        F.regexp_replace("root_id", r"^[0-9]+\|", "").alias("first_name"),
+        "g", "f", "rank", "name", "kind", "tree", "root_id",
         F.lag("name").over(w).alias("old_name"),
         F.last("kind", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("old_kind"),
     )
@@ -187,16 +186,59 @@ COLUMNS = {
 }
 
 
+#: Other names that writers give these columns, for lineages in which no column's own name occurs.
+ALIASES = {
+    "propagation_score": ("propagationScore", "prop_score", "spread_score", "score"),
+    "holes": ("holeRings", "inner_rings", "interiors"),
+    "parent_intersect": ("parentIntersect", "intersects_parent", "is_direct"),
+    "code": ("class_code", "cls"),
+    "parent_scribble": ("parentScribbles", "scribble_ids"),
+}
+
+
+def _plans(line: DataFrame) -> DataFrame:
+    """``g, f, plan``: for each file the map from its field names to the names of the common table.
+
+    A lineage has one name: the first name of ``COLUMNS`` along it; else that of
+    the first alias along it; else the column that more than half of all
+    lineages with one of its names, over all writers, belong to; else the name
+    it began with. Where that is also the key of another field of the file, or
+    the name of an older lineage in it, the field keeps its own key, so two
+    fields of a file never meet.
+    """
+    known = F.create_map(*[F.lit(x) for column, others in ALIASES.items() for other in others for x in (other, column)])
+    first = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col("rank")))
+    lineages = line.groupBy("g", "root_id").agg(
+        first(F.when(F.col("name").isin(*COLUMNS), F.col("name"))).alias("own"),
+        first(F.element_at(known, F.col("name"))).alias("alias"),
+        F.min_by("name", "rank").alias("first_name"), F.min("rank").alias("begun"), F.collect_set("name").alias("names"),
+    )
+    held = lineages.select("own", F.explode("names").alias("name")).groupBy("name", "own").agg(F.count("*").alias("n"))
+    share = held.withColumn("all", F.sum("n").over(Window.partitionBy("name"))).where("own IS NOT NULL AND 2 * n > all")
+    agreed = (
+        lineages.where("own IS NULL AND alias IS NULL").select("g", "root_id", F.explode("names").alias("name"))
+        .join(share.select("name", "own", "n"), "name").groupBy("g", "root_id").agg(F.max_by("own", F.struct("n", "own")).alias("agreed"))
+    )
+    called = lineages.join(agreed, ["g", "root_id"], "left").select("g", "root_id", "begun", F.coalesce("own", "alias", "agreed", "first_name").alias("called"))
+    file = Window.partitionBy("g", "f")
+    each = line.select("g", "f", "name", "root_id").join(called, ["g", "root_id"]).withColumn("keys", F.collect_set("name").over(file))
+    each = each.withColumn("called", F.when(F.array_contains("keys", F.col("called")), F.col("name")).otherwise(F.col("called")))
+    nth = F.row_number().over(Window.partitionBy("g", "f", "called").orderBy("begun", "name"))
+    each = each.withColumn("called", F.when(nth == 1, F.col("called")).otherwise(F.col("name")))
+    return each.groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("name", "called"))).alias("plan"))
+
+
 def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> DataFrame:
     """All readable records as one table with one set of columns.
 
     Each file's edit scripts are compiled into a projection: the map from its
-    field names to the names their lineages began with. Columns of ``COLUMNS``
-    are cast to their types (nested lists as JSON text), every other field is kept
-    in the map ``extras``, so no value is lost. Repeats of a line stay.
+    field names to the names of their lineages (see ``_plans``). Columns of
+    ``COLUMNS`` are cast to their types (nested lists as JSON text); every other
+    field is kept in the map ``extras``, and so is, under the column's name, a
+    value that its column can't hold as a whole, so no value is lost. Repeats of
+    a line stay.
     """
-    line = analyse(lines, group, file_no, text)[1]
-    plan = line.groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("name", "first_name"))).alias("plan"))
+    plan = _plans(analyse(lines, group, file_no, text)[1])
     rows = lines.select(
         F.col(group).alias("g"), F.col(file_no).alias("f"), F.col("line_no"), complete_json(F.col(text)).alias("t")
     ).where("t IS NOT NULL AND ltrim(t) LIKE '{%'").join(plan, ["g", "f"])
@@ -207,19 +249,28 @@ def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
         ).alias("v"),
     )
 
+    def inner(raw: Column, key: str) -> Column:
+        """What an object holds under its only key, else the value itself."""
+        return F.when(F.json_object_keys(raw) == F.array(F.lit(key)), F.get_json_object(raw, f"$.{key}")).otherwise(raw)
+
     def typed(name: str, kind: str) -> Column:
+        """The value in the column's type; null if it can't hold all of it."""
         raw = F.element_at("v", name)
-        scalar = F.coalesce(F.get_json_object(raw, "$.value"), raw)
         if kind == "string":
-            return F.coalesce(F.get_json_object(raw, "$.rings"), raw)
+            return F.coalesce(inner(raw, "rings"), raw)
         if kind == "array<int>":
-            return F.transform(F.regexp_extract_all(raw, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.cast("int"))
+            found = F.transform(F.regexp_extract_all(raw, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("int"))
+            return F.when(raw.rlike(r'^[\s\["]*(-?\d+(["\s]*[,;\s]["\s]*-?\d+)*)?[\s\]"]*$') & ~F.exists(found, lambda x: x.isNull()), found)
+        scalar = inner(raw, "value")
         if kind == "boolean":
             return F.when(F.lower(scalar).isin("true", "1"), True).when(F.lower(scalar).isin("false", "0"), False)
+        if kind in ("int", "bigint"):
+            scalar = F.regexp_replace(scalar, r"^(\s*-?\d+)\.0+\s*$", "$1")
         return scalar.try_cast(kind)
 
-    return named.select(
-        F.col("g").alias(group), F.col("f").alias(file_no), "line_no",
-        *[typed(n, k).alias(n) for n, k in COLUMNS.items()],
-        F.map_filter("v", lambda k, _: ~k.isin(*COLUMNS)).alias("extras"),
+    cast = named.select("g", "f", "line_no", "v", *[typed(n, k).alias(n) for n, k in COLUMNS.items()])
+    lost = F.array_compact(F.array(*[F.when(F.col(n).isNull() & F.element_at("v", n).isNotNull(), F.lit(n)) for n in COLUMNS]))
+    return cast.withColumn("lost", lost).select(
+        F.col("g").alias(group), F.col("f").alias(file_no), "line_no", *COLUMNS,
+        F.map_filter("v", lambda k, _: ~k.isin(*COLUMNS) | F.array_contains("lost", k)).alias("extras"),
     )

@@ -55,6 +55,32 @@ def test_unified_keeps_every_value(spark):
     assert got[1].code == got[2].code == 5 and got[2].parent_scribble == [16, 15] and json.loads(got[2].holes) == [[[1, 2]]] and got[1].extras == {"extra": "e"}
 
 
+def test_unified_names_columns_alike_over_writers(spark):
+    one = {1: [{"id": i, "prop_score": 0.25 * i, "interiors": [], "intersects_parent": True} for i in range(3)], 2: [{"id": i, "propagation_score": 0.25 * i, "interiors": [], "intersects_parent": 1} for i in range(3)]}
+    two = {1: [{"id": i, "propagation_score": 0.5 * i} for i in range(3)], 2: [{"id": i, "score": str(0.5 * i)} for i in range(3)], 3: [{"id": i, "propagation_score": 0.5 * i} for i in range(3)]}
+    odd = {n: [{"id": i, name: i + 4} for i in range(3)] for n, name in ((1, "klass"), (2, "code"))}
+    df = lines(spark, one, "a").union(lines(spark, two, "b")).union(lines(spark, odd, "c")).union(lines(spark, {**odd, 3: odd[1]}, "d"))
+    df = df.union(lines(spark, {1: odd[1]}, "e"))  # no column's name and no alias: as in the other writers
+    got = {(r.writer, r.file_no, r.id): r for r in unified(df).collect()}
+    assert len(got) == 33 and all(r.extras == {} for r in got.values())
+    assert all(got["a", f, i].propagation_score == 0.25 * i and got["a", f, i].holes == "[]" and got["a", f, i].parent_intersect is True for f in (1, 2) for i in range(3))
+    assert all(got["b", f, i].propagation_score == 0.5 * i for f in (1, 2, 3) for i in range(3))
+    assert all(got[w, f, i].code == i + 4 for w, n in (("c", 2), ("d", 3), ("e", 1)) for f in range(1, n + 1) for i in range(3))
+
+
+def test_unified_keeps_fields_of_one_name_and_failed_casts(spark):
+    files = {
+        1: [{"id": 1, "score": 0.5, "note": "n", "code": "x", "parent_intersect": "maybe", "parent_scribble": "1.5", "holes": {"rings": [], "by": "me"}}],
+        2: [{"id": 1, "score": 0.5, "propagation_score": 0.75, "memo": "n", "code": 8.0, "parent_scribble": ["7"]}],
+        3: [{"id": 1, "score": 0.5, "propagation_score": {"value": 0.75, "unit": "u"}, "memo": "n", "note": "other", "code": 99999999999, "parent_scribble": []}],
+    }
+    got = {r.file_no: r for r in unified(lines(spark, files)).collect()}
+    assert got[1].propagation_score == 0.5 and got[1].code is None and got[1].parent_intersect is None and got[1].parent_scribble is None
+    assert got[1].extras == {"note": "n", "code": "x", "parent_intersect": "maybe", "parent_scribble": "1.5"} and json.loads(got[1].holes) == {"rings": [], "by": "me"}
+    assert (got[2].propagation_score, got[2].code, got[2].parent_scribble, got[2].extras) == (0.75, 8, [7], {"score": "0.5", "note": "n"})
+    assert got[3].extras == {"score": "0.5", "propagation_score": '{"value":0.75,"unit":"u"}', "memo": "n", "note": "other", "code": "99999999999"} and got[3].parent_scribble == []
+
+
 def test_tree_edit_distance():
     t = parse_type
     assert distance(t("BIGINT"), t("BIGINT")) == 0 and distance(t("BIGINT"), t("STRING")) == 1
