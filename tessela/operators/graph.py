@@ -35,13 +35,15 @@ def smooth(scores: DataFrame, edges: DataFrame, steps: int, alpha: float, k: int
     return scores
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: str = "image", rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, by: str = "image") -> DataFrame:
     """``by, node, comp``: the least node of each connected component.
 
-    Alternates hooking to the least neighbour with jumping to the label's own
-    label, which needs rounds in the order of the logarithm of the diameter.
-    Every round is a written table in the shared folder; it stops when nothing
-    changes. Null nodes and edges don't count.
+    Every round gives each node, and the node that is its label, the least of
+    the labels' own labels around it. As roots are hooked too, whole clusters
+    merge in a round: a path of n nodes takes about log2 n rounds in any order of
+    its nodes. It stops only when nothing changes, which is when both ends of
+    every edge have one label. Every round is a written table in the shared
+    folder. Null nodes and edges don't count.
     """
     spark = nodes.sparkSession
     base = scratch_path(spark, "components")
@@ -49,17 +51,20 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "image", rounds: in
     e.unionByName(e.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().write.parquet(f"{base}/edges")
     e = spark.read.parquet(f"{base}/edges")
     nodes.select(by, "node").where("node IS NOT NULL").distinct().withColumn("comp", F.col("node")).write.parquet(f"{base}/0")
-    for i in range(rounds):
-        now = spark.read.parquet(f"{base}/{i}")
-        at = now.select(by, F.col("node").alias("b"), F.col("comp").alias("near"))
+    i, moving = 0, True
+    while moving:
+        now = spark.read.parquet(f"{base}/{i}").select(by, "node", "comp")
+        jump = now.select(by, F.col("node").alias("comp"), F.col("comp").alias("far"))
+        jumped = now.join(jump, [by, "comp"], "left").select(by, "node", "comp", F.coalesce("far", "comp").alias("low"))
+        at = jumped.select(by, F.col("node").alias("b"), F.col("low").alias("near"))
         least = e.join(at, [by, "b"]).groupBy(by, F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        hooked = now.join(least, [by, "node"], "left").select(by, "node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
-        jump = now.select(by, F.col("node").alias("low"), F.col("comp").alias("far"))
-        step = hooked.join(jump, [by, "low"], "left").select(by, "node", F.least("low", F.coalesce("far", "low")).alias("comp"), (F.least("low", F.coalesce("far", "low")) < F.col("comp")).alias("moved"))
-        write_counted(step, f"{base}/{i + 1}")
-        if not spark.read.parquet(f"{base}/{i + 1}").where("moved").limit(1).count():
-            break
-    return spark.read.parquet(f"{base}/{i + 1}").select(by, "node", "comp")
+        hooked = jumped.join(least, [by, "node"], "left").select(by, "node", "comp", F.least("low", "near").alias("low"))
+        roots = hooked.select(by, F.col("comp").alias("node"), F.lit(None).alias("comp"), "low")
+        step = hooked.unionByName(roots).groupBy(by, "node").agg(F.min("low").alias("low"), F.max("comp").alias("comp"))
+        i += 1
+        write_counted(step.select(by, "node", F.col("low").alias("comp"), (F.col("low") < F.col("comp")).alias("moved")), f"{base}/{i}")
+        moving = spark.read.parquet(f"{base}/{i}").where("moved").limit(1).count() > 0
+    return spark.read.parquet(f"{base}/{i}").select(by, "node", "comp")
 
 
 def relabel(df: DataFrame, label: str = "sp") -> DataFrame:

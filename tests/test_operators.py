@@ -67,6 +67,15 @@ def test_components_equal_union_find(spark):
     assert rows(graph.components(nodes, df)) == {(g, n, find((g, n))[1]) for g, n in list(parent)}
 
 
+def test_components_of_long_paths(spark):
+    far = [*range(1, 300), 0]  # the least node at the far end
+    mixed = random.Random(5).sample(range(3000), 3000)
+    edges = [(g, a, b) for g, path in ((1, far), (2, mixed)) for a, b in zip(path, path[1:])]
+    df = spark.createDataFrame(edges, "image int, u int, v int")
+    nodes = df.select("image", F.col("u").alias("node")).union(df.select("image", "v"))
+    assert rows(graph.components(nodes, df)) == {(1, n, 0) for n in far} | {(2, n, 0) for n in mixed}
+
+
 def test_cleanup_is_sequential(spark):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 0), (1, 9, 5)], "image int, sp long, label int")
     edges = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 2, 2), (1, 2, 3, 1)], "image int, u long, v long, w long")
