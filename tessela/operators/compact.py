@@ -11,11 +11,15 @@ reader's choice.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessela.operators.nested import json_list
 from tessela.storage import scratch_path
@@ -26,6 +30,69 @@ from tessela.storage import scratch_path
 _STRING = r'"(?:[^"\\\r\n]++|\\.)*+"'
 _FLAT = r'\{(?:[^{}"]++|' + _STRING + r")*+\}"
 RECORD = r'\{(?:[^{}"]++|' + _STRING + "|" + _FLAT + r")*+\}"
+#: Three objects open at once: what ``RECORD`` can't match as a whole.
+_DEEP = r'\{(?:[^{}"]++|' + _STRING + "|" + _FLAT + r')*+\{(?:[^{}"]++|' + _STRING + r")*+\{"
+_TOKENS, _BRACE = re.compile(_STRING + r'|[{}"]'), re.compile(r"[{}]")
+_ID, _HOLDER = re.compile(r'"id"\s*:'), re.compile(r'"scribbles"\s*:')
+
+
+def _nested_records(text: str) -> list[str]:
+    """All records of a text, with objects in them to any depth, in one scan that keeps the open braces on a stack.
+
+    A quote whose string doesn't end on its line is a cut, which breaks every
+    open object. The outermost complete object with an id is a record; one with
+    ``scribbles``, without id, or that is no JSON is looked into. What a record
+    that is cut off holds is no record, but one that begins a later line is.
+    """
+
+    def cut() -> None:
+        """Ends the open objects; of what lies in a record among them, only what begins a line stays."""
+        inside, first = False, 0
+        kept: list[tuple[int, int, list]] = []
+        for (start, before), after in zip(stack, [*(b for _, b in stack[1:]), len(spans)]):
+            own = text[start + 1 : next((m.start() for m in _BRACE.finditer(text, start + 1)), len(text))]
+            inside = not _HOLDER.search(own) and (inside or _ID.search(own) is not None)
+            kept += spans[first:before]
+            kept += [x for x in spans[before:after] if not inside or text[x[0] - 1] in "\r\n"]
+            first = after
+        spans[:] = kept + spans[first:]
+        stack.clear()
+
+    spans: list[tuple[int, int, list]] = []
+    stack: list[tuple[int, int]] = []  # an open brace, and how many spans were complete before it
+    for token in _TOKENS.finditer(text):
+        mark = token[0]
+        if mark == "{":
+            stack.append((token.start(), len(spans)))
+        elif mark == '"':
+            cut()
+        elif mark == "}" and stack:
+            start, before = stack.pop()
+            inside = spans[before:]
+            del spans[before:]
+            spans.append((start, token.end(), inside))
+    cut()
+    out, todo = [], spans[::-1]
+    while todo:
+        start, end, inside = todo.pop()
+        if not _ID.search(text, start, end):
+            continue
+        try:
+            value = json.loads(text[start:end], strict=False)
+            whole = value.get("id") is not None and not isinstance(value.get("scribbles"), list)
+        except (ValueError, RecursionError):
+            whole = False
+        if whole:
+            out.append(text[start:end])
+        else:
+            todo += inside[::-1]
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _deep_records(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for block in texts:
+        yield block.map(lambda t: None if t is None else _nested_records(t))
 
 
 def run_dir(path: Column, anchor: str = "interactive_runs/") -> Column:
@@ -44,9 +111,12 @@ def complete_records(content: Column) -> Column:
     """All complete records of a text, in JSON lines, a list or an object, even if the text is cut.
 
     Marks of encoding, mixed line ends and what stands between records are
-    passed over; a record that is cut off, or has no id, is none.
+    passed over; a record that is cut off, or has no id, is none. Texts with
+    objects nested more deeply than ``RECORD`` matches are scanned in Python.
     """
-    objects = F.regexp_extract_all(content, F.lit(RECORD), F.lit(0))
+    headless = F.regexp_replace(content, r'^[^{\["]*\{\s*"scribbles"\s*:\s*\[', "")
+    deep = headless.rlike(_DEEP)
+    objects = F.when(deep, _deep_records(F.when(deep, content))).otherwise(F.regexp_extract_all(content, F.lit(RECORD), F.lit(0)))
     opened = F.flatten(
         F.transform(objects, lambda o: F.coalesce(json_list(F.get_json_object(o, "$.scribbles")), F.array(o)))
     )

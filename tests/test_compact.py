@@ -26,6 +26,23 @@ def test_contents_and_names(spark):
     assert got == want
 
 
+def test_records_with_deeply_nested_params(spark):
+    def deep(i, levels=3):
+        inner = {"id": 99, "s": "} {"}
+        for _ in range(levels):
+            inner = {"o": inner, "n": 1}
+        return rec(i, params=inner)
+
+    data = [
+        (P + "state_1.json", 1, deep(1) + "\r\n" + rec(2) + "\n" + deep(3)[:60] + "\n" + deep(4, 400)), (P + "state_2.json", 2, "\ufeff[" + deep(1) + "," + rec(2) + "]"),
+        (P + "state_3.json", 3, '{"scribbles":[' + deep(1) + "," + rec(2) + "]}"), (P + "state_4.json", 4, '{"scribbles":[' + deep(1) + "," + deep(2)[:-2]),
+        (P + "state_5.json", 5, '{"v":1,"state":{"scribbles":[' + deep(1) + "," + rec(2) + "]}}"), (P + "state_6.json", 6, '{"id":11,"po\n' + deep(1)), (P + "state_7.json", 7, deep(1) + '{"id":2'),
+    ]
+    got = state_records(files(spark, data)).collect()
+    assert {(r.checkpoint_index, r.scribble_id) for r in got} == {(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (3, 1), (3, 2), (4, 1), (5, 1), (5, 2), (6, 1), (7, 1)}
+    assert len(got) == 12 and all("params" in json.loads(r.record) for r in got)
+
+
 def test_very_long_contents(spark):
     text = "\n".join(rec(i) for i in range(5000)) + "\n" + '{"id":9,"points":[' + "[0.1,0.2]," * 200_000
     assert state_records(files(spark, [(P + "state_1.json", 1, text), (P + "state_2.json", 2, '"' * 100_000 + "{" * 10_000)])).count() == 5000
