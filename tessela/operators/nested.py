@@ -8,11 +8,18 @@ needed before the final removal of repeats.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _STATE_KEYS = ("scribbles", "superpixels", "annotations")  # fixed values: the members that make a state
-_WRAPS = 3  # how many values may be wrapped around a state
+_WRAPS = 3  # how many values around a state are opened with functions; more are opened in Python
+_NUMBER = "0b7c8f5e4d6a4f0e9a51-number:"  # marks a number's own notation while it is held as text
 
 
 def complete_json(text: Column) -> Column:
@@ -56,12 +63,41 @@ def _unwrap(text: Column) -> Column:
     return F.filter(_or_empty(found, "array<string>"), lambda v: v.isNotNull())
 
 
+def _states_within(text: str) -> list[str]:
+    """The states under any number of wraps; numbers keep their notation."""
+
+    def read(t: str) -> list:
+        try:
+            return [json.loads(t, parse_int=lambda x: _NUMBER + x, parse_float=lambda x: _NUMBER + x, strict=False)]
+        except (ValueError, RecursionError):
+            return []
+
+    out, todo = [], read(text)
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict) and any(k in value for k in _STATE_KEYS):
+            out.append(re.sub(f'"{_NUMBER}([^"]*)"', r"\1", json.dumps(value, ensure_ascii=False)))
+        elif isinstance(value, (dict, list)):
+            todo += [*(value.values() if isinstance(value, dict) else value)][::-1]
+        elif isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
+            todo += read(value)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _deep_states(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for block in texts:
+        yield block.map(lambda listed: None if listed is None else [s for t in listed for s in _states_within(t)])
+
+
 def open_states(doc_json: Column) -> Column:
     """The states that a text holds, as JSON texts: one, or those wrapped in strings, objects or lists."""
     states = F.filter(F.array(complete_json(doc_json)), lambda v: v.isNotNull())
     for _ in range(_WRAPS):
         states = F.flatten(F.transform(states, _unwrap))
-    return F.filter(states, lambda s: _opens(s, "{") & F.coalesce(is_state(s), F.lit(False)))
+    opened = lambda s: _opens(s, "{") & F.coalesce(is_state(s), F.lit(False))
+    closed = F.filter(states, lambda s: ~opened(s) & (_opens(s, "{") | _opens(s, "[") | _opens(s, '"')))
+    return F.concat(F.filter(states, opened), _or_empty(_deep_states(F.when(F.size(closed) > 0, closed)), "array<string>"))
 
 
 def point_positions(points: Column) -> Column:

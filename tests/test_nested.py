@@ -28,6 +28,17 @@ def test_notations_and_wraps(spark):
     assert found == {(i, *x) for i in range(len(wrapped)) for x in LINKS}
 
 
+def test_states_under_many_wraps(spark):
+    text = json.dumps(STATE)
+    four = json.dumps({"a": {"b": [{"c": STATE}]}})
+    wrapped = [four, json.dumps([[[[[text]]]]]), json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(STATE))))), json.dumps([[[[[{"x": 1}]]], [STATE]]]), four[:-1]]
+    assert rows(state_links(docs(spark, wrapped))) == {(i, *x) for i in range(4) for x in LINKS}
+    alone = '{"scribbles":[{"id":1e2,"points":[[1.0,2]]},{"id":12345678901234567890,"points":[1,2]},{"id":"7.0","points":[1,2]}]}'
+    raw = docs(spark, [alone, '{"a":' * 5 + alone + "}" * 5])
+    got = rows(state_links(raw), "record_id", "parent_id")
+    assert {p for i, p in got if i == 0} == {p for i, p in got if i == 1} and len(got) == 6
+
+
 def test_texts_that_hold_nothing(spark):
     text = json.dumps(STATE)
     bad = [None, "", "  \n", "null", "{}", "[]", "17", '"x"', text[:-1], text + text, text + " x", "{" * 50, text.replace(":", ";", 1), '{"scribbles": 5, "superpixels": "x", "annotations": null}']
