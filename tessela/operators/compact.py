@@ -1,9 +1,9 @@
 """Far too many small files: consolidation into few sorted files of good size.
 
 The tiny files are read once, many to a task, and each task writes its records as
-one sorted run. The runs are then cut by key range, and each range is merged in
-order: Spark's external sorter merges the sorted pieces k ways, in memory or
-spilled, so a range never has to fit. Outputs are rolled by bytes, and a manifest
+one sorted run. The runs are then cut by key range, and each range is sorted
+afresh by Spark's external sorter, which spills, so a range never has to fit; the
+runs' own order isn't used, as it would be in a k-way merge of them. Outputs are rolled by bytes, and a manifest
 gives each file's key range.
 Nothing is removed: copies of a record stay, and removal of repeats is the
 reader's choice.
