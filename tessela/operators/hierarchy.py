@@ -1,22 +1,23 @@
 """Parent-child links to full hierarchies.
 
 ``build_hierarchy`` takes the latest row of each node, finds the roots, and then
-extends the frontier one level a round with a join on the parent. Each level is
-written to the shared folder, so that lineage stays short and a lost executor
-costs one level at most. Nodes that no level reaches lie on a cycle or lead into
-one: in a forest in which each node has one parent, a walk from a root can't
-meet a node twice, so reaching all but those is exact.
+extends the frontier of done levels downwards with joins that lengthen paths and
+depths. A round of joins advances as many levels as are done already, since the
+open links are composed alongside; each is written to the shared folder, so that
+lineage stays short and a lost executor costs one round at most. Nodes that no
+round reaches lie on a cycle or lead into one: in a forest in which each node has
+one parent, a walk from a root can't meet a node twice, so reaching all but those
+is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessela.storage import scratch_path, write_counted
+from tessela.storage import scratch_path
 
 
 def latest_links(
@@ -56,54 +57,57 @@ def build_hierarchy(
       are one node; an empty table gives an empty result. Only the named
       columns are read, so other columns may have any name.
 
-    Scale: the child links are partitioned and sorted once by (keys, parent) and
-    kept; a round moves only its frontier, or broadcasts it where Spark measures
-    it to be small. No key is gathered in one task, so one image
-    may hold any share of the rows. Rounds: depth of the deepest tree.
+    Scale: before round j the levels below 2^j are done, and every other node
+    knows its ancestor 2^j levels up and the ids between. One join on that
+    ancestor lets the frontier advance over the next 2^j levels at once and
+    composes the links of the rest, so a tree of depth d takes log2(d) jobs of
+    one shuffle each, in which only open links and the narrow rows that they
+    may hang from take part. The join key is (keys, ancestor): no key is
+    gathered in one task, an image may hold any share of the rows, and a node
+    with very many children is a skewed join side, which adaptive execution
+    splits. Every round is a written table in the shared folder.
     """
     spark = df.sparkSession
     kn = [f"k{i}" for i in range(len(keys))]
     last = F.when(F.size(parents_col) > 0, F.element_at(F.col(parents_col), -1))
     base = scratch_path(spark, "hierarchy")
-    # One key that is never null: joins on it keep the partitioning and order of what is cached.
-    whole_key = F.to_json(F.struct(*kn))
-    latest_links(df, keys, id_col, last, F.col(order_col)).withColumn("k", whole_key).write.parquet(f"{base}/nodes")
-    nodes = spark.read.parquet(f"{base}/nodes")
-    linked = nodes.where("parent IS NOT NULL")
-    known = nodes.select(F.col("k").alias("pk"), F.col("id").alias("pid"))
-    has_row = (linked["k"] == known["pk"]) & (linked["parent"] == known["pid"])
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kids = linked.join(known, has_row, "left_semi").repartition(width, "k", "parent").sortWithinPartitions("k", "parent")
-    kids = kids.persist(StorageLevel.MEMORY_AND_DISK)
-    path_type = f"array<{nodes.schema['id'].dataType.simpleString()}>"
-    try:
-        roots = nodes.where("parent IS NULL").unionByName(linked.join(known, has_row, "left_anti")).select(
-            *kn, "k", "id", F.col("parent").alias("parent_id"), F.col("id").alias("root_id"), F.lit(0).alias("depth"),
-            (F.array("id") if with_path else F.lit(None).cast(path_type)).alias("path"),
-        )
-        levels = [f"{base}/level-0"]
-        found = write_counted(roots, levels[0])
-        while found:
-            front = spark.read.parquet(levels[-1]).select(F.col("k").alias("fk"), F.col("id").alias("fid"), "root_id", "depth", "path")
-            step = kids.join(front, (kids["k"] == front["fk"]) & (kids["parent"] == front["fid"])).select(
-                *kn, "k", "id", F.col("parent").alias("parent_id"), "root_id", (F.col("depth") + 1).alias("depth"),
-                (F.concat("path", F.array("id")) if with_path else F.col("path")).alias("path"),
-            )
-            levels.append(f"{base}/level-{len(levels)}")
-            found = write_counted(step, levels[-1])
-        reached = spark.read.parquet(*levels)
-        r = reached.select(F.col("k").alias("rk"), F.col("id").alias("rid"))
-        looped = kids.join(r, (kids["k"] == r["rk"]) & (kids["id"] == r["rid"]), "left_anti").select(
-            *kn, "k", "id", F.col("parent").alias("parent_id"), F.lit(-1).cast(nodes.schema["id"].dataType).alias("root_id"),
-            F.lit(-1).alias("depth"), F.lit(None).cast(path_type).alias("path"),
+    nodes = latest_links(df, keys, id_col, last, F.col(order_col)).withColumn("k", F.to_json(F.struct(*kn)))  # a key that is never null
+    kind = nodes.schema["id"].dataType.simpleString()
+    ids = F.array("id") if with_path else F.lit(None).cast(f"array<{kind}>")
+    known = nodes.select("k", F.col("id").alias("up"), F.lit(True).alias("has_row"))
+    first = nodes.withColumn("up", F.col("parent").cast(kind)).join(known, ["k", "up"], "left").select(
+        *kn, "k", "id", F.col("parent").alias("parent_id"), F.when(F.col("has_row").isNull(), F.col("id")).alias("root_id"),
+        F.when(F.col("has_row").isNull(), 0).alias("depth"), ids.alias("path"), "up",
+    )
+    rounds, shape = [f"{base}/0"], first.schema
+
+    def write(step: DataFrame) -> tuple[int, int]:
+        """Write a round; how many nodes it reached, and how many are open."""
+        seen = Observation()
+        step.observe(seen, F.count("root_id").alias("done"), F.count_if(F.col("root_id").isNull()).alias("open")).write.parquet(rounds[-1])
+        return seen.get["done"], seen.get["open"]
+
+    done, open_ = write(first)
+    while done and open_:
+        left = spark.read.schema(shape).parquet(rounds[-1]).where("root_id IS NULL").select(*kn, "k", "id", "parent_id", F.col("path").alias("below"), F.col("up").alias("on"))
+        reached = spark.read.schema(shape).parquet(*rounds).where("root_id IS NOT NULL").select("k", F.col("id").alias("on"), "root_id", "depth", "path", F.lit(None).cast(kind).alias("up"))
+        links = spark.read.schema(shape).parquet(rounds[-1]).where("root_id IS NULL").select("k", F.col("id").alias("on"), "root_id", "depth", "path", "up")
+        step = left.join(reached.unionByName(links), ["k", "on"]).select(
+            *kn, "k", "id", "parent_id", "root_id", (F.col("depth") + (1 << (len(rounds) - 1))).alias("depth"),
+            (F.concat("path", "below") if with_path else F.col("path")).alias("path"), "up",
         )
-        write_counted(looped, f"{base}/looped")
-    finally:
-        kids.unpersist()
-    whole = reached.withColumn("in_cycle", F.lit(False)).unionByName(
-        spark.read.schema(reached.schema).parquet(f"{base}/looped").withColumn("in_cycle", F.lit(True))
+        rounds.append(f"{base}/{len(rounds)}")
+        done, open_ = write(step)
+    whole = spark.read.schema(shape).parquet(*rounds).where("root_id IS NOT NULL")
+    names = [F.col(k).alias(n) for k, n in zip(kn, keys)]
+    out = whole.select(*names, "id", "parent_id", "root_id", "depth", "path", F.lit(False).alias("in_cycle"))
+    if not open_:
+        return out
+    # What no round reached leads into a cycle.
+    looped = spark.read.schema(shape).parquet(rounds[-1]).where("root_id IS NULL").select(
+        *names, "id", "parent_id", F.lit(-1).cast(kind).alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast(shape["path"].dataType).alias("path"), F.lit(True).alias("in_cycle")
     )
-    return whole.select(*[F.col(k).alias(n) for k, n in zip(kn, keys)], "id", "parent_id", "root_id", "depth", "path", "in_cycle")
+    return out.unionByName(looped)
 
 
 def descendants(hierarchy: DataFrame, keys: Sequence[str] = ("image", "method")) -> DataFrame:

@@ -62,3 +62,15 @@ def test_deep_chain_and_descendants(spark):
     tree = build_hierarchy(table(spark, [("a", "m", i, [i - 1] if i else None, 1) for i in range(12)]))
     pairs = rows(descendants(tree), "ancestor_id", "descendant_id", "distance")
     assert pairs == {(a, b, b - a) for b in range(12) for a in range(b)}
+
+
+def test_chain_of_two_thousand_with_a_star_and_a_cycle(spark):
+    n = 2000
+    data = [("a", "m", i, [i - 1] if i else None, 1) for i in range(n)]
+    data += [("a", "m", n + i, [n - 1], 1) for i in range(500)]  # many children of the deepest node
+    data += [("a", "m", 9000 + i, [9000 + (i + 1) % 37], 1) for i in range(37)] + [("a", "m", 9500, [9001], 1)]
+    tree = build_hierarchy(table(spark, data), with_path=False)
+    got_ = {r.id: (r.root_id, r.depth) for r in tree.collect()}
+    assert got_ == {**{i: (0, i) for i in range(n)}, **{n + i: (0, n) for i in range(500)}, **{9000 + i: (-1, -1) for i in range(37)}, 9500: (-1, -1)}
+    jobs = len({f.rsplit("/", 2)[1] for f in tree.inputFiles()})
+    assert jobs <= 14  # about log2 of the depth
