@@ -1,8 +1,8 @@
 """Schemas that drift between files: one table, and a report of every change.
 
-The rows are opened with ``from_json``/variant functions and summarised to one
-schema per file and to one row per changed field and shared annotation; only
-these summaries are shuffled. The script of a pair of files is the cheapest
+The lines are opened with ``from_json``/variant functions and summarised to one
+schema per file; then only the files in which fields both went and came are opened
+again, for the contents of those fields. Only such summaries are shuffled. The script of a pair of files is the cheapest
 under tree edit distance (see ``schematree``), where a rename needs contents
 that agree. Lineages of fields over renames are trees of name segments, followed
 with the hierarchy operator; types are compared along them in a window.
@@ -21,9 +21,6 @@ from tessela.operators.hierarchy import build_hierarchy
 from tessela.operators.nested import complete_json
 from tessela.storage import materialise
 
-_FIELD = "array<struct<name:string,kind:string,tree:string,content:string>>"
-
-
 #: The heads of variant types that don't stand for a number, and what they are called.
 _KINDS = {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
 
@@ -51,24 +48,49 @@ def plain_content(js: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r'[\s\[\]{}",;\\]+', " "))
 
 
-def open_records(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> DataFrame:
-    """``g, f, id, fields`` of every readable record: fields with name, kind, schema tree and plain content.
+def _members(text: Column) -> Column:
+    """The members of a complete JSON object as (key, value) entries, values as variants; null for anything else."""
+    return F.map_entries(F.from_json(F.when(F.ltrim(text).startswith("{"), complete_json(text)), "map<string,variant>"))
+
+
+def _keyed(lines: DataFrame, group: str, file_no: str, *more: Column) -> DataFrame:
+    """``g, f`` and ``more`` of the lines in numbered files; ``g`` is the group as JSON, which is never null."""
+    g = F.to_json(F.struct(F.col(group).alias("v")))
+    return lines.where(F.col(file_no).isNotNull()).select(g.alias("g"), F.col(file_no).alias("f"), *more)
+
+
+def _group(lines: DataFrame, group: str) -> Column:
+    """The group again from ``g``."""
+    return F.from_json("g", f"v {lines.schema[group].dataType.simpleString()}")["v"].alias(group)
+
+
+def _schemas(lines: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
+    """``g, f, name, kind, tree``: one row per file and field, with the greatest of its types that isn't null.
 
     Readable is a complete JSON object; null, blank and broken lines are not.
+    A record whose key is written twice has both values.
     """
-    rows = lines.select(
-        F.col(group).alias("g"), F.col(file_no).alias("f"), complete_json(F.col(text)).alias("t")
-    ).where("t IS NOT NULL AND ltrim(t) LIKE '{%'")
-    members = F.from_json("t", "map<string,variant>")
-    bare = F.transform("m", lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree"), F.to_json(e["value"]).alias("js")))
-    fields = F.transform(bare, lambda e: F.struct(e["name"].alias("name"), _kind(e["tree"]).alias("kind"), e["tree"].alias("tree"), plain_content(e["js"]).alias("content")))
-    return rows.select("g", "f", F.get_json_object("t", "$.id").alias("id"), F.map_entries(members).alias("m")).select("g", "f", "id", fields.cast(_FIELD).alias("fields"))
+    kinds = F.transform(_members(F.col(text)), lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree")))
+    each = _keyed(lines, group, file_no, F.inline(kinds))
+    return each.groupBy("g", "f", "name").agg(F.max(_kind(F.col("tree"))).alias("kind"), F.max("tree").alias("tree"))
+
 
+def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
+    """``g, pair, side, id, name, content`` of the wanted fields: of one annotation the greatest content, values that are null left out.
 
-def _schemas(records: DataFrame) -> DataFrame:
-    """One row per file and field: its kind (the greatest non-null), the schema tree, and whether any value isn't null."""
-    each = records.select("g", "f", F.inline("fields"))
-    return each.groupBy("g", "f", "name").agg(F.max("kind").alias("kind"), F.max("tree").alias("tree"))
+    ``wanted``: ``g, f, pair, side, names``; only the lines of its files are
+    opened, and only the values of its names are made comparable.
+    """
+    w = wanted.select(F.col("g").alias("wg"), F.col("f").alias("wf"), "pair", "side", "names")
+    at = _keyed(lines, group, file_no, F.col(text).alias("t"))
+    hit = at.join(w, (at["g"] == w["wg"]) & (at["f"] == w["wf"])).select("g", "pair", "side", "names", _members(F.col("t")).alias("m"))
+    written = lambda e: plain_content(F.to_json(e["value"]))
+    kept = F.filter("m", lambda e: F.array_contains("names", e["key"]) & (F.call_function("schema_of_variant", e["value"]) != "VOID"))
+    rows = hit.select(
+        "g", "pair", "side", F.transform(F.filter("m", lambda e: e["key"] == "id"), written)[0].alias("id"),
+        F.inline(F.transform(kept, lambda e: F.struct(e["key"].alias("name"), written(e).alias("content")))),
+    )
+    return rows.where("id <> ''").groupBy("g", "pair", "side", "id", "name").agg(F.max("content").alias("content"))
 
 
 def _scripts(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,9 +113,7 @@ def _file_pairs(schemas: DataFrame) -> DataFrame:
 
 def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """The changes, and the lineage of each field: what ``changes`` and ``unified`` share."""
-    spark = lines.sparkSession
-    records = materialise(open_records(lines, group, file_no, text), "drift-records")
-    schemas = materialise(_schemas(records), "drift-schemas")
+    schemas = materialise(_schemas(lines, group, file_no, text), "drift-schemas")
     names = lambda c: F.transform(c, lambda x: x["name"])
     pairs = materialise(
         _file_pairs(schemas).withColumn(
@@ -101,40 +121,20 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
         ).withColumn("new", F.filter("now", lambda x: ~F.array_contains(names(F.col("before")), x["name"]))),
         "drift-pairs",
     )
-    both = pairs.where("size(gone) > 0 AND size(new) > 0").select("g", "f", "pf", names(F.col("gone")).alias("gn"), names(F.col("new")).alias("nn"))
-
-    def side(at: str, wanted: str, col: str) -> DataFrame:
-        """The contents of the wanted fields by annotation, in files where fields both went and came."""
-        b = both.select(F.col("g").alias("bg"), F.col(at).alias("bf"), F.col("f").alias("pair"), wanted)
-        r = records.where("id IS NOT NULL")
-        hit = r.join(b, (r["g"] == b["bg"]) & (r["f"] == b["bf"]))
-        value = F.map_from_entries(
-            F.array_distinct(F.transform(F.filter("fields", lambda x: F.array_contains(F.col(wanted), x["name"])), lambda x: F.struct(x["name"], x["content"])))
-        )
-        return hit.groupBy("g", "pair", "id").agg(F.max_by(value, F.xxhash64(F.to_json(value))).alias(col))
-
-    old, new = side("pf", "gn", "o"), side("f", "nn", "n")
-    shared = old.join(new, ["g", "pair", "id"]).join(both.select("g", F.col("f").alias("pair"), "gn", "nn"), ["g", "pair"])
-    agree = F.flatten(
-        F.transform(
-            "gn",
-            lambda a: F.transform(
-                F.col("nn"),
-                lambda b: F.struct(
-                    a.alias("old"), b.alias("new"),
-                    (F.coalesce(F.element_at("o", a), F.lit("")) == F.coalesce(F.element_at("n", b), F.lit(""))).alias("same"),
-                ),
-            ),
-        )
-    )
+    both = pairs.where("size(gone) > 0 AND size(new) > 0")
+    sides = [both.select("g", F.col(at).alias("f"), F.col("f").alias("pair"), F.lit(at).alias("side"), names(F.col(c)).alias("names")) for at, c in (("pf", "gone"), ("f", "new"))]
+    values = _contents(lines, sides[0].unionByName(sides[1]), group, file_no, text)
+    met = values.groupBy("g", "pair", "id").agg(*[
+        F.collect_list(F.when(F.col("side") == at, F.struct("name", "content"))).alias(at) for at in ("pf", "f")
+    ])
+    agree = F.flatten(F.transform("pf", lambda a: F.transform(F.col("f"), lambda b: F.struct(a["name"].alias("old"), b["name"].alias("new"), (a["content"] == b["content"]).alias("same")))))
     same = (
-        shared.select("g", "pair", F.inline(agree)).groupBy("g", "pair", "old", "new").agg(F.min("same").alias("same"))
+        met.select("g", "pair", F.inline(agree)).groupBy("g", "pair", "old", "new").agg(F.min("same").alias("same"))
         .where("same").groupBy("g", F.col("pair").alias("f")).agg(F.collect_list(F.struct("old", "new")).alias("same"))
     )
-    changed = pairs.where("pf IS NOT NULL AND (size(gone) > 0 OR size(new) > 0)").select("g", "f", "rank", "gone", "new").join(same, ["g", "f"], "left")
-    kinds = dict(lines.dtypes)
+    changed = pairs.where("pf IS NOT NULL AND (size(gone) > 0 OR size(new) > 0)").select("g", "f", "rank", "gone", "new")
     moves = materialise(
-        changed.mapInPandas(_scripts, f"g {kinds[group]}, f {kinds[file_no]}, rank int, change_kind string, old_name string, new_name string"),
+        changed.join(same, ["g", "f"], "left").mapInPandas(_scripts, f"g string, f {dict(lines.dtypes)[file_no]}, rank int, change_kind string, old_name string, new_name string"),
         "drift-moves",
     )
 
@@ -163,7 +163,7 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     line = materialise(line, "drift-lineage")
     retyped = line.where("kind <> old_kind").select("g", "f", F.lit("retyped").alias("change_kind"), "old_name", F.col("name").alias("new_name"))
     changes = moves.select("g", "f", "change_kind", "old_name", "new_name").unionByName(retyped)
-    return changes.select(F.col("g").alias(group), F.col("f").alias(file_no), "change_kind", "old_name", "new_name"), line
+    return changes.select(_group(lines, group), F.col("f").alias(file_no), "change_kind", "old_name", "new_name"), line
 
 
 def changes(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> DataFrame:
@@ -171,9 +171,13 @@ def changes(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
 
     ``added``, ``removed``, ``renamed``, ``retyped`` as rows with old and new
     name. A file counts if it has a readable record. A rename needs equal plain
-    contents for all annotations (``id``) that both files share, and at least one
-    of those; among rivals the edit script of least cost decides. If a field has
-    several types in one file, the greatest name of a type stands for it.
+    contents for all annotations (``id``) that have a value under the old name
+    in the one file and under the new name in the other, and at least one of
+    those: a value that is null, or whose key is missing, on either side says
+    nothing, while an empty list is a content. Among rivals the edit script of least cost decides. If a field has
+    several types in one file, the greatest name of a type stands for it. Null
+    groups are a group; lines without a file number have no place in the order
+    and don't count.
     Repeated lines and files change nothing; an empty table gives no rows.
     """
     return analyse(lines, group, file_no, text)[0].distinct()
@@ -239,15 +243,11 @@ def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     a line stay.
     """
     plan = _plans(analyse(lines, group, file_no, text)[1])
-    rows = lines.select(
-        F.col(group).alias("g"), F.col(file_no).alias("f"), F.col("line_no"), complete_json(F.col(text)).alias("t")
-    ).where("t IS NOT NULL AND ltrim(t) LIKE '{%'").join(plan, ["g", "f"])
-    named = rows.select(
-        "g", "f", "line_no",
-        F.map_from_entries(
-            F.transform(F.map_entries(F.from_json("t", "map<string,string>")), lambda e: F.struct(F.element_at("plan", e["key"]), e["value"]))
-        ).alias("v"),
-    )
+    rows = _keyed(lines, group, file_no, F.col("line_no"), complete_json(F.col(text)).alias("t")).where("t IS NOT NULL AND ltrim(t) LIKE '{%'").join(plan, ["g", "f"])
+    # Of a key that a record has twice the last value counts, as it does for JSON readers.
+    entries = rows.withColumn("m", F.map_entries(F.from_json("t", "map<string,string>"))).withColumn("k", F.transform("m", lambda e: e["key"]))
+    last = F.filter("m", lambda e, i: ~F.array_contains(F.slice("k", i + 2, F.size("k")), e["key"]))
+    named = entries.select("g", "f", "line_no", F.map_from_entries(F.transform(last, lambda e: F.struct(F.element_at("plan", e["key"]), e["value"]))).alias("v"))
 
     def inner(raw: Column, key: str) -> Column:
         """What an object holds under its only key, else the value itself."""
@@ -271,6 +271,6 @@ def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     cast = named.select("g", "f", "line_no", "v", *[typed(n, k).alias(n) for n, k in COLUMNS.items()])
     lost = F.array_compact(F.array(*[F.when(F.col(n).isNull() & F.element_at("v", n).isNotNull(), F.lit(n)) for n in COLUMNS]))
     return cast.withColumn("lost", lost).select(
-        F.col("g").alias(group), F.col("f").alias(file_no), "line_no", *COLUMNS,
+        _group(lines, group), F.col("f").alias(file_no), "line_no", *COLUMNS,
         F.map_filter("v", lambda k, _: ~k.isin(*COLUMNS) | F.array_contains("lost", k)).alias("extras"),
     )

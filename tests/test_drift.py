@@ -42,6 +42,27 @@ def test_rename_and_retype_at_once_and_type_over_nulls(spark):
     assert found(lines(spark, files)) == {(2, "renamed", "code", "cls"), (2, "retyped", "code", "cls"), (3, "retyped", "s", "s")}
 
 
+def test_rename_with_values_on_one_side_only(spark):
+    a = [{"id": i, "holes": [[[0.5, i]]], "score": 0.25 * i, "flag": i % 2 == 0} for i in range(6)]
+    b = [{"id": i, "rings": [[[0.5, i]]], "prop": 0.25 * i, "direct": 1 - i % 2} for i in range(6)]
+    a[0]["holes"], b[1]["rings"], a[2]["holes"], b[2]["rings"] = None, None, [], []
+    del a[3]["score"], b[4]["prop"]
+    b[5]["direct"] = None
+    all_ = {(2, "renamed", "holes", "rings"), (2, "renamed", "score", "prop"), (2, "renamed", "flag", "direct"), (2, "retyped", "flag", "direct")}
+    assert found(lines(spark, {1: a, 2: b})) == all_
+    b[2]["rings"] = [[[9, 9]]]  # an empty list is a content: here it was [] before
+    assert found(lines(spark, {1: a, 2: b})) == {x for x in all_ if x[2] != "holes"} | {(2, "removed", "holes", ""), (2, "added", "", "rings")}
+    none = [{"id": 1, "old": None}], [{"id": 1, "new": None}]  # no value that both files hold: not enough for a rename
+    assert found(lines(spark, {1: none[0], 2: none[1]})) == {(2, "removed", "old", ""), (2, "added", "", "new")}
+
+
+def test_same_key_twice_and_null_writer(spark):
+    twice = '{"id":1,"code":3,"code":4}'
+    df = lines(spark, {1: [twice, {"id": 2, "code": 5}], 2: [{"id": 2, "cls": "5"}], None: [{"id": 2, "x": 1}]}, None)
+    assert rows(changes(df)) == {(None, 2, "renamed", "code", "cls"), (None, 2, "retyped", "code", "cls")}
+    assert {(r.file_no, r.id, r.code) for r in unified(df).collect()} == {(1, 1, 4), (1, 2, 5), (2, 2, 5)}
+
+
 def test_empty_nulls_and_one_file(spark):
     assert changes(lines(spark, {})).count() == 0
     assert found(lines(spark, {1: [None, "", "[1]", "{"], 2: [{"id": 1}]})) == set()
