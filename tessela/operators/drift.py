@@ -21,15 +21,15 @@ from tessela.operators.hierarchy import build_hierarchy
 from tessela.operators.nested import complete_json
 from tessela.storage import materialise
 
-#: The heads of variant types that don't stand for a number, and what they are called.
-_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+#: The JSON types, and the heads of variant types that stand for them; any other head is a number's.
+_TYPES = ("array", "boolean", "number", "object", "string")
+_HEADS = {"ARRAY": "array", "BOOLEAN": "boolean", "OBJECT": "object", "STRING": "string"}
 
 
 def _kind(tree: Column) -> Column:
-    """The JSON type at the head of a variant's schema; null for null."""
-    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
-    head = F.substring_index(tree, "<", 1)
-    return F.when(tree != "VOID", F.coalesce(F.element_at(names, head), F.lit("number")))
+    """The place in ``_TYPES`` of the JSON type at the head of a variant's schema; null for null."""
+    places = F.create_map(*[F.lit(x) for head, name in _HEADS.items() for x in (head, _TYPES.index(name))])
+    return F.when(tree != "VOID", F.coalesce(F.element_at(places, F.substring_index(tree, "<", 1)), F.lit(_TYPES.index("number"))))
 
 
 def plain_content(js: Column) -> Column:
@@ -65,18 +65,18 @@ def _group(lines: DataFrame, group: str) -> Column:
 
 
 def _schemas(lines: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
-    """``g, f, name, kind, tree``: one row per file and field, with the greatest of its types that isn't null.
+    """``g, f, name, kind``: one row per file and field, with the greatest of its types (places in ``_TYPES``) that isn't null.
 
     Readable is a complete JSON object; null, blank and broken lines are not.
     A record whose key is written twice has both values.
     """
     kinds = F.transform(_members(F.col(text)), lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree")))
     each = _keyed(lines, group, file_no, F.inline(kinds))
-    return each.groupBy("g", "f", "name").agg(F.max(_kind(F.col("tree"))).alias("kind"), F.max("tree").alias("tree"))
+    return each.groupBy("g", "f", "name").agg(F.max(_kind(F.col("tree"))).alias("kind"))
 
 
 def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
-    """``g, pair, side, id, name, content`` of the wanted fields: of one annotation the greatest content, values that are null left out.
+    """``g, pair, side, id, name, content, tree`` of the wanted fields: of one annotation the greatest content, values that are null left out.
 
     ``wanted``: ``g, f, pair, side, names``; only the lines of its files are
     opened, and only the values of its names are made comparable.
@@ -85,20 +85,20 @@ def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, tex
     at = _keyed(lines, group, file_no, F.col(text).alias("t"))
     hit = at.join(w, (at["g"] == w["wg"]) & (at["f"] == w["wf"])).select("g", "pair", "side", "names", _members(F.col("t")).alias("m"))
     written = lambda e: plain_content(F.to_json(e["value"]))
-    kept = F.filter("m", lambda e: F.array_contains("names", e["key"]) & (F.call_function("schema_of_variant", e["value"]) != "VOID"))
+    kept = F.filter("m", lambda e: F.array_contains("names", e["key"]))
     rows = hit.select(
         "g", "pair", "side", F.transform(F.filter("m", lambda e: e["key"] == "id"), written)[0].alias("id"),
-        F.inline(F.transform(kept, lambda e: F.struct(e["key"].alias("name"), written(e).alias("content")))),
-    )
-    return rows.where("id <> ''").groupBy("g", "pair", "side", "id", "name").agg(F.max("content").alias("content"))
+        F.inline(F.transform(kept, lambda e: F.struct(e["key"].alias("name"), written(e).alias("content"), F.call_function("schema_of_variant", e["value"]).alias("tree")))),
+    ).where("tree <> 'VOID'")
+    return rows.groupBy("g", "pair", "side", "id", "name").agg(F.max(F.struct("content", "tree")).alias("v")).select("g", "pair", "side", "id", "name", "v.*")
 
 
 def _scripts(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for block in pairs:
         out = []
         for row in block.itertuples(index=False):
-            gone = {x["name"]: x["tree"] or "VOID" for x in row.gone}
-            new = {x["name"]: x["tree"] or "VOID" for x in row.new}
+            tree = dict(row.trees or {})
+            gone, new = ({name: tree.get(name, "VOID") for name in names} for names in (row.gone, row.new))
             same = {(x["old"], x["new"]) for x in (row.same if row.same is not None else ())}
             out += [(row.g, row.f, row.rank, *change) for change in script(gone, new, same)]
         yield pd.DataFrame(out, columns=["g", "f", "rank", "change_kind", "old_name", "new_name"])
@@ -106,7 +106,7 @@ def _scripts(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _file_pairs(schemas: DataFrame) -> DataFrame:
     """Each file with its rank and fields, and those of the group's nearest earlier file."""
-    files = schemas.groupBy("g", "f").agg(F.sort_array(F.collect_list(F.struct("name", "tree"))).alias("now"))
+    files = schemas.groupBy("g", "f").agg(F.sort_array(F.collect_list("name")).alias("now"))
     w = Window.partitionBy("g").orderBy("f")
     return files.select("g", "f", "now", F.row_number().over(w).alias("rank"), F.lag("f").over(w).alias("pf"), F.lag("now").over(w).alias("before"))
 
@@ -114,17 +114,12 @@ def _file_pairs(schemas: DataFrame) -> DataFrame:
 def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """The changes, and the lineage of each field: what ``changes`` and ``unified`` share."""
     schemas = materialise(_schemas(lines, group, file_no, text), "drift-schemas")
-    names = lambda c: F.transform(c, lambda x: x["name"])
-    pairs = materialise(
-        _file_pairs(schemas).withColumn(
-            "gone", F.filter("before", lambda x: ~F.array_contains(names(F.col("now")), x["name"]))
-        ).withColumn("new", F.filter("now", lambda x: ~F.array_contains(names(F.col("before")), x["name"]))),
-        "drift-pairs",
-    )
+    pairs = materialise(_file_pairs(schemas).withColumns({"gone": F.array_except("before", "now"), "new": F.array_except("now", "before")}), "drift-pairs")
     both = pairs.where("size(gone) > 0 AND size(new) > 0")
-    sides = [both.select("g", F.col(at).alias("f"), F.col("f").alias("pair"), F.lit(at).alias("side"), names(F.col(c)).alias("names")) for at, c in (("pf", "gone"), ("f", "new"))]
-    values = _contents(lines, sides[0].unionByName(sides[1]), group, file_no, text)
-    met = values.groupBy("g", "pair", "id").agg(*[
+    sides = [both.select("g", F.col(at).alias("f"), F.col("f").alias("pair"), F.lit(at).alias("side"), F.col(c).alias("names")) for at, c in (("pf", "gone"), ("f", "new"))]
+    values = materialise(_contents(lines, sides[0].unionByName(sides[1]), group, file_no, text), "drift-values")
+    trees = values.groupBy("g", F.col("pair").alias("f"), "name").agg(F.max("tree").alias("tree")).groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("name", "tree"))).alias("trees"))
+    met = values.where("id <> ''").groupBy("g", "pair", "id").agg(*[
         F.collect_list(F.when(F.col("side") == at, F.struct("name", "content"))).alias(at) for at in ("pf", "f")
     ])
     agree = F.flatten(F.transform("pf", lambda a: F.transform(F.col("f"), lambda b: F.struct(a["name"].alias("old"), b["name"].alias("new"), (a["content"] == b["content"]).alias("same")))))
@@ -134,7 +129,7 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     )
     changed = pairs.where("pf IS NOT NULL AND (size(gone) > 0 OR size(new) > 0)").select("g", "f", "rank", "gone", "new")
     moves = materialise(
-        changed.join(same, ["g", "f"], "left").mapInPandas(_scripts, f"g string, f {dict(lines.dtypes)[file_no]}, rank int, change_kind string, old_name string, new_name string"),
+        changed.join(same, ["g", "f"], "left").join(trees, ["g", "f"], "left").mapInPandas(_scripts, f"g string, f {dict(lines.dtypes)[file_no]}, rank int, change_kind string, old_name string, new_name string"),
         "drift-moves",
     )
 
@@ -156,7 +151,7 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     line = seg.withColumn("id", key("name", "seg")).join(lineage, ["g", "id"])
     w = Window.partitionBy("g", "root_id").orderBy("rank")
     line = line.select(
-        "g", "f", "rank", "name", "kind", "tree", "root_id",
+        "g", "f", "rank", "name", "kind", "root_id",
         F.lag("name").over(w).alias("old_name"),
         F.last("kind", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("old_kind"),
     )
