@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tessela.operators.compact import consolidate, state_records
@@ -51,7 +54,7 @@ def test_very_long_contents(spark):
 def test_consolidation_keeps_repeats_and_ranges(spark):
     data = [(P + f"state_{i}.json", i, rec(1) + "\n" + rec(2)) for i in range(300)] + [(P + "state_5.json", 5, "\n".join([rec(1)] * 400))]
     records = state_records(files(spark, data))
-    path, made = consolidate(records, KEYS, target_bytes=20_000)
+    path, made = consolidate(records, KEYS, target_bytes=2_000)  # bytes as written, compressed
     back = spark.read.parquet(path)
     assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
     files_made = made.collect()
@@ -60,6 +63,26 @@ def test_consolidation_keeps_repeats_and_ranges(spark):
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
+def test_merge_of_runs_is_sorted_rolled_by_bytes_and_keeps_copies(spark):
+    rnd = random.Random(8)
+    # A hot key holds a third of the rows, copies of one row another tenth, and records differ in size a thousandfold.
+    data = [(rnd.choice(["hot", "hot", None, "a", "z", "\u00e9"]), rnd.choice([None, *range(50)]), rnd.randbytes(rnd.choice([10, 10, 100, 5000])).hex(), i) for i in range(12_000)] + [("hot", 1, "same", 0)] * 1200
+    df = spark.createDataFrame(data, "k string, n int, body string, i int").repartition(13).withColumn("at", F.timestamp_seconds("i"))
+    path, made = consolidate(df, ["k", "n"], target_bytes=400_000)
+    back = spark.read.schema(df.schema).parquet(path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    order = lambda r: (r.k is not None, (r.k or "").encode(), r.n is not None, r.n or 0)
+    files_made = sorted(made.collect(), key=lambda r: r.file)
+    assert sum(f.rows for f in files_made) == len(data) and {f.file for f in files_made} == {p.rsplit("/", 1)[1] for p in back.inputFiles()}
+    last = None
+    for f in files_made:
+        keys = [order(r) for r in spark.read.schema(df.schema).parquet(f"{path}/{f.file}").collect()]
+        assert keys == sorted(keys) and len(keys) == f.rows and (keys[0], keys[-1]) == (order(f.least), order(f.greatest))
+        assert last is None or last <= keys[0]
+        last = keys[-1]
+    assert sum(0.8 * 400_000 <= f.bytes <= 1.2 * 400_000 for f in files_made) >= 0.9 * len(files_made)
+
+
 def test_empty(spark):
     path, made = consolidate(state_records(files(spark, [])), KEYS)
     assert made.count() == 0
