@@ -12,29 +12,33 @@ of their passage are retained. Verification: a banded alignment by words finds,
 for 0 to 3 edits, the longest stretch of the passage that ends at each place.
 Three suffice: a longer match with more edits has a half that is a match itself.
 
-The items are the broadcast side, in blocks of a stated size; documents are read
-once a block, whole, and are never shuffled.
+The items are the broadcast side, in blocks of a stated size. Documents are read
+and cleaned once for several blocks, whole, and are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessela.llm.batches import pieces
 from tessela.llm.markup import flat_words
 
 LEAST_WORDS, PER_EDIT, EDITS = 20, 10, 3
-_LONGEST = 40  # characters of a word that count; longer words are cut to it in both texts
+_LONGEST = 40  # characters of a word in the stream of characters that is filtered; words are compared whole
 _BAND = 128  # half the width of a band, at least EDITS times the longest word
 _Q = (24, 20, 16, 12, 8, 4)
 _SHARED = 12  # q-grams that a match should share at least; q is the greatest that grants it
-BLOCK = 400_000  # words of passages broadcast at once: some 60 MB in a worker at most
+BLOCK = 400_000  # words of passages in a block: some 60 MB in a worker at most
+BLOCKS = 4  # blocks that go through the documents together
 _CANDIDATES = 256  # aligned together
+_HITS = 2_000_000  # shared q-grams looked at together
 _RUN = 6  # equal words on end that every match has: 18 of 20 words lie in 3 runs, 27 of 30 in 4
 
 
@@ -56,12 +60,11 @@ def passage_table(passages: Sequence[tuple[int, list[bytes]]]) -> dict:
     table: dict = {"keys": [], "words": [], "runs": [], "chars": [], "bound": [], "grams": {}, "vocabulary": vocabulary}
     by_q = defaultdict(list)
     for key, words in passages:
-        words = [w[:_LONGEST] for w in words]
-        lengths = [len(w) for w in words]
+        lengths = [min(len(w), _LONGEST) for w in words]
         bounds = {q: lemma_bound(lengths, q) for q in _Q}
         q = next((q for q in _Q if bounds[q] >= _SHARED), max(_Q, key=bounds.get))
         bound = max(1, bounds[q])
-        by_q[q].append((len(table["keys"]), b"".join(words)))
+        by_q[q].append((len(table["keys"]), b"".join(w[:_LONGEST] for w in words)))
         table["keys"].append(key)
         table["words"].append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32))
         table["runs"].append(np.unique(gram_hashes(table["words"][-1], _RUN)))
@@ -126,15 +129,22 @@ def _candidates(chars: np.ndarray, doc_start: np.ndarray, table: dict) -> tuple[
         hit = (row < len(distinct)) & (distinct[np.minimum(row, len(distinct) - 1)] == codes[place])
         place, row = place[hit], row[hit]
         many = start[row + 1] - start[row]
-        total = int(many.sum())
-        if not total:
+        if not len(many):
             continue
-        entry = np.repeat(start[row] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(total)
-        place = np.repeat(place, many)
-        doc = np.searchsorted(doc_start, place, "right") - 1
-        passage = own[entry].astype(np.int64)
-        band = (place - doc_start[doc] - at[entry]) // _BAND + (1 << 20)
-        code, n = np.unique((doc * size + passage) << 22 | band, return_counts=True)
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.searchsorted(np.cumsum(many), np.arange(_HITS, int(many.sum()) + _HITS, _HITS), "left") + 1
+        low = 0
+        for high in np.minimum(cuts, len(many)).tolist():  # a common q-gram meets many passages: only so many hits are spelled out at a time
+            if high > low:
+                n, p, r = many[low:high], place[low:high], row[low:high]
+                entry = np.repeat(start[r] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+                p = np.repeat(p, n)
+                doc = np.searchsorted(doc_start, p, "right") - 1
+                band = (p - doc_start[doc] - at[entry]) // _BAND + (1 << 20)
+                counts.append(np.unique((doc * size + own[entry].astype(np.int64)) << 22 | band, return_counts=True))
+                low = high
+        code, back = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([x for _, x in counts]), len(code)).astype(np.int64)
         # A band and the next make one of the overlapping bands.
         follows = np.r_[code[1:] == code[:-1] + 1, False] if len(code) else np.zeros(0, bool)
         pair = n + np.where(follows, np.r_[n[1:], 0], 0)
@@ -179,11 +189,15 @@ def aligned(passages: Sequence[np.ndarray], regions: Sequence[np.ndarray]) -> np
     return won
 
 
-def scan(docs: Sequence[tuple[int, str]], table: dict) -> list[tuple[int, int]]:
-    """(place of the document, key of the passage) for every passage that a document holds."""
-    words = [[w if len(w) <= _LONGEST else w[:_LONGEST] for w in flat_words(t)] if t else [] for _, t in docs]
-    joined = b"\0".join(map(b"".join, words)) + b"\0"
-    chars = _bytes(joined)
+def cleaned(texts: Sequence[str | None]) -> tuple[list[list[bytes]], np.ndarray]:
+    """The words of the documents, and their characters one document after the other, each ended by a zero."""
+    words = [flat_words(t) if t else [] for t in texts]
+    stream = b"\0".join(b"".join(ws if max(map(len, ws), default=0) <= _LONGEST else [w[:_LONGEST] for w in ws]) for ws in words) + b"\0"
+    return words, _bytes(stream)
+
+
+def scan(words: Sequence[list[bytes]], chars: np.ndarray, table: dict) -> list[tuple[int, int]]:
+    """(place of the document, key of the passage) for every passage that one of the ``cleaned`` documents holds."""
     doc_start = np.r_[0, np.flatnonzero(chars == 0)[:-1] + 1]
     vocabulary = table["vocabulary"]
     numbers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -191,7 +205,7 @@ def scan(docs: Sequence[tuple[int, str]], table: dict) -> list[tuple[int, int]]:
     for x, p, first, last in zip(*(a.tolist() for a in _candidates(chars, doc_start, table))):
         if x not in numbers:
             ids = np.array([vocabulary.get(w, 0) for w in words[x]], np.int32)
-            numbers[x] = np.cumsum([0, *map(len, words[x])]), ids, gram_hashes(ids, _RUN)
+            numbers[x] = np.cumsum(np.minimum([0, *map(len, words[x])], _LONGEST)), ids, gram_hashes(ids, _RUN)
         ends, ids, runs = numbers[x]
         low = max(0, int(np.searchsorted(ends, (first - 1) * _BAND - _LONGEST)))
         high = int(np.searchsorted(ends, (last + 3) * _BAND + table["chars"][p] + _LONGEST))
@@ -215,41 +229,47 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     fewer than 20 words can't be held, repeated rows give one row, and empty
     tables give none. Only the named columns are read.
 
-    The items are collected, as a query set is, and sent out in blocks of about
-    ``block`` words; the documents stay where they are.
+    The items are a query set: their passages come to the driver one block of
+    about ``block`` words at a time and are sent out from there; ``BLOCKS`` blocks
+    go through the documents in one pass, in which each text is cleaned once, in
+    pieces of bounded bytes. The documents stay where they are.
     """
     spark = docs.sparkSession
-    held = items.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
-    by_words: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-    for item, text in held.toLocalIterator():
-        words = tuple(flat_words(text))
-        if len(words) >= LEAST_WORDS:
-            by_words[words].append(item)
-    passages = list(enumerate(map(list, by_words)))
-    blocks, size = [[]], 0
-    for key, words in passages:
-        if size and size + len(words) > block:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((key, words))
-        size += len(words)
-    items_of = dict(enumerate(by_words.values()))
+    held = items.where("passage IS NOT NULL AND item_id IS NOT NULL").groupBy("passage").agg(F.collect_set(F.col("item_id").cast("long")).alias("items"))
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text_col).where(F.length(text_col) >= LEAST_WORDS)
-    found = None
-    for part in blocks:
-        shared = spark.sparkContext.broadcast((passage_table(part), {k: items_of[k] for k, _ in part}))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, own = shared.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    some = batch.slice(start, 256)
-                    hits = scan(list(enumerate(some.column(1).to_pylist())), table)
-                    rows = [(x, item) for x, key in hits for item in own[key]]
-                    where = pa.array([x for x, _ in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(where), pa.array([i for _, i in rows], pa.int64())], names=["doc_id", "item_id"])
-
-        rows = source.mapInArrow(run, f"doc_id {kind}, item_id long") if part else source.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("long").alias("item_id")).limit(0)
-        found = rows if found is None else found.unionByName(rows)
-    return found.distinct()
+
+    def blocks() -> Iterator[list[tuple[list[int], list[bytes]]]]:
+        part, size = [], 0
+        for text, own in held.toLocalIterator():
+            words = flat_words(text)
+            if len(words) >= LEAST_WORDS:
+                if size and size + len(words) > block:
+                    yield part
+                    part, size = [], 0
+                part.append((own, words))
+                size += len(words)
+        if part:
+            yield part
+
+    def search(sent: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in pieces(batches):
+                words, chars = cleaned(some.column(1).to_pylist())
+                rows = [(x, item) for b in sent for x, key in scan(words, chars, b.value[0]) for item in b.value[1][key]]
+                where = pa.array([x for x, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(where), pa.array([i for _, i in rows], pa.int64())], names=["doc_id", "item_id"])
+
+        return source.mapInArrow(run, f"doc_id {kind}, item_id long")
+
+    parts, sent = [], []
+    for part in blocks():
+        sent.append(spark.sparkContext.broadcast((passage_table([(k, w) for k, (_, w) in enumerate(part)]), [own for own, _ in part])))
+        if len(sent) == BLOCKS:
+            parts.append(search(sent))
+            sent = []
+    if sent:
+        parts.append(search(sent))
+    if not parts:
+        return source.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("long").alias("item_id")).limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -29,6 +29,10 @@ def edits(p, region):
     return False
 
 
+def scan(docs, table):
+    return leakage.scan(*leakage.cleaned([t for _, t in docs]), table)
+
+
 def test_alignment_equals_brute_force():
     rnd = random.Random(1)
     for k in range(150):
@@ -42,7 +46,7 @@ def test_alignment_equals_brute_force():
         ids = np.array([table["vocabulary"].get(w.encode(), 0) for w in region], np.int32)
         want = edits(p, region)
         assert bool(leakage.aligned([table["words"][0]], [ids])[0]) == want
-        assert bool(leakage.scan([(0, " ".join(region))], table)) == want, (k, part)
+        assert bool(scan([(0, " ".join(region))], table)) == want, (k, part)
 
 
 def test_ways_of_writing():
@@ -57,10 +61,52 @@ def test_ways_of_writing():
     ]
     table = leakage.passage_table([(5, plain)])
     for f in forms:
-        assert leakage.scan([(0, "Before it all. " + f + " And after.")], table) == [(0, 5)], f[:80]
+        assert scan([(0, "Before it all. " + f + " And after.")], table) == [(0, 5)], f[:80]
     assert flat_words("--- ''' {{ [[ <ref> \x00 \x1a") == [b"\x1a"]
 
 
+def test_texts_within_templates_comments_and_references():
+    p = passage(77, 40)
+    t = lambda a, b: " ".join(p[a:b])
+    table = leakage.passage_table([(5, [w.encode() for w in p])])
+    held = [
+        t(0, 10) + " {{nowrap|" + t(10, 14) + "}} " + t(14, 25),  # a short argument in its place
+        t(0, 8) + " {{lang|fr|" + t(8, 12) + "}} " + t(12, 30) + " {{small|" + t(30, 33) + "}} " + t(33, 40),
+        "{{box|" + t(0, 7) + "|b=" + t(7, 14) + "|" + t(14, 21) + "}}",  # over several short arguments
+        "{{quote|see [[a|" + t(0, 3) + "]] [[b|" + t(3, 5) + "]] " + t(5, 24) + "}}",  # links with pipes in an argument
+        t(0, 9) + " <!-- " + t(9, 13) + " --> " + t(13, 26), "{{q|" + t(0, 12) + " {{convert|5|km|mi}} " + t(12, 24) + " {{nb|x}} z}}", "<ref>{{cite|" + t(0, 22) + "}}</ref>",
+        "[[x|{{nowrap|" + t(0, 4) + "}}]] " + t(4, 24), "{{a|" + t(0, 20), " ".join(f"{{{{nowrap|{w}}}}}" for w in p), "pad " * 500 + t(0, 10) + "{{sub|" + t(10, 12) + "}}" + t(12, 22) + " pad" * 500,
+    ]
+    for h in held:
+        assert scan([(0, h)], table) == [(0, 5)], h
+    for h in ("{{a|" + t(0, 10) + "}} <!-- " + t(30, 40) + " -->", t(0, 12) + "<ref>" + t(20, 30) + "</ref>", "{{a|" + t(0, 17) + "}}", "\x01 " + t(0, 17) + " \x02"):
+        assert scan([(0, h)], table) == [], h
+
+
+def test_very_long_words_are_compared_whole():
+    p = passage(78, 20)
+    for i in (3, 9, 15):
+        p[i] = "x" * 45 + p[i]
+    table = leakage.passage_table([(5, [w.encode() for w in p])])
+    other = lambda n: " ".join(w + "y" if w.startswith("xx") and i < n else w for i, w in enumerate(p))
+    assert scan([(0, other(0))], table) == scan([(0, other(10))], table) == [(0, 5)]
+    assert scan([(0, other(20))], table) == []  # three of twenty words differ, if only at their ends
+
+
+def test_hits_in_portions_and_pieces_of_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from tessela.llm.batches import pieces
+
+    docs = [(i, "the " * 30 + " ".join(passage(i % 5)) + " the" * 30) for i in range(12)]
+    table = leakage.passage_table([(k, [w.encode() for w in ["the"] * 25 + passage(k)]) for k in range(5)])
+    want = scan(docs, table)
+    monkeypatch.setattr(leakage, "_HITS", 97)
+    assert scan(docs, table) == want and {k for _, k in want} == set(range(5))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "", "c" * 5, "d"])], names=["i", "t"])
+    assert [p.num_rows for p in pieces(iter([batch]), rows=4, size=16)] == [2, 1, 3] and [p.num_rows for p in pieces(iter([batch]), rows=2, size=1000)] == [2, 2, 2]
+
+
 def test_tables(spark):
     p = [passage(i) for i in range(4)]
     items = [(1, " ".join(p[0]), "x"), (2, " ".join(p[0]).upper(), "x"), (3, " ".join(p[1][:19]), "x"), (4, None, "x"), (5, "", "x"), (None, " ".join(p[2]), "x"), (6, " ".join(p[3]), "x"), (6, " ".join(p[3]), "x")]
