@@ -17,24 +17,33 @@ from pyspark.sql import functions as F
 
 ERROR = 0.005  # greatest relative error of a percentile
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-#: Added to a bucket's number so that it stays positive; then the sign can carry the value's sign.
-_SHIFT = 1 << 20
 _LEAST = 1e-300  # magnitudes below count as zero
 
 
+def shift(error: float) -> int:
+    """What is added to a bucket's number so that it stays positive; then the sign can carry the value's sign.
+
+    The least power of two, from 2^20 on, beyond the number of any finite value.
+    An error so small that numbers wouldn't fit is a ValueError.
+    """
+    if not 1e-6 <= error < 1:
+        raise ValueError("the relative error must be from 1e-6 to below 1")
+    return 1 << max(20, math.ceil(math.log2(711 / math.log((1 + error) / (1 - error)))))
+
+
 def bucket(value: Column, error: float = ERROR) -> Column:
     """The signed bucket of a number, in the order of the values; null for null and NaN. Infinities have buckets of their own."""
-    width = math.log((1 + error) / (1 - error))
+    width, up = math.log((1 + error) / (1 - error)), shift(error)
     size = F.abs(value)
-    number = F.when(size == float("inf"), F.lit(2 * _SHIFT)).otherwise(F.ceil(F.log(size) / F.lit(width)).cast("int") + _SHIFT)
+    number = F.when(size == float("inf"), F.lit(2 * up)).otherwise(F.ceil(F.log(size) / F.lit(width)).cast("int") + up)
     signed = F.when(size < _LEAST, F.lit(0)).otherwise(F.signum(value).cast("int") * number)
     return F.when(value.isNotNull() & ~F.isnan(value), signed)
 
 
 def bucket_value(number: Column, error: float = ERROR) -> Column:
     """The representative of a bucket, within the relative error of each of its values."""
-    g = (1 + error) / (1 - error)
-    size = F.when(F.abs(number) == 2 * _SHIFT, F.lit(float("inf"))).otherwise(F.pow(F.lit(g), F.abs(number) - _SHIFT) * F.lit(2 / (g + 1)))
+    g, up = (1 + error) / (1 - error), shift(error)
+    size = F.when(F.abs(number) == 2 * up, F.lit(float("inf"))).otherwise(F.pow(F.lit(g), F.abs(number) - up) * F.lit(2 / (g + 1)))
     return F.when(number == 0, F.lit(0.0)).otherwise(F.signum(number.cast("double")) * size)
 
 
@@ -68,7 +77,7 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], quantiles: Sequence[
     picked = run.groupBy(*by).agg(
         F.max("total").alias("n_values"), *[F.min(F.when(F.col("upto") >= at(q), F.col("bucket"))).alias(column(q)) for q in quantiles]
     )
-    return picked.select(*by, "n_values", *[F.round(bucket_value(F.col(column(q)), error), 9).alias(column(q)) for q in quantiles])
+    return picked.select(*by, "n_values", *[bucket_value(F.col(column(q)), error).alias(column(q)) for q in quantiles])
 
 
 def step_sketch(steps: DataFrame, cases: DataFrame, error: float = ERROR) -> DataFrame:

@@ -33,6 +33,7 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each listed method, one row each: of every day, and of the days' sketches added together.
 
+    Values are shares, rounded to nine digits so that other engines give the same.
     ``span`` is ``day`` or ``all``; a listed method without values has only its row of ``all``, with nulls.
     """
     daily = _daily(spark, d)
@@ -41,14 +42,15 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     wanted = _listed(spark, d).select("method", F.explode(F.array(F.lit("miou"), F.lit("coverage"))).alias("metric"))
     of_all = wanted.join(of_all, ["method", "metric"], "left").na.fill(0, ["n_values"]).select("*", F.lit(None).cast("date").alias("day"), F.lit("all").alias("span"))
     both = of_day.join(_listed(spark, d), "method").unionByName(of_all)
-    each = F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(percentiles.column(q)).alias("value")) for q in percentiles.QUANTILES])
+    each = F.array(*[F.struct(F.lit(q).alias("quantile"), F.round(F.col(percentiles.column(q)), 9).alias("value")) for q in percentiles.QUANTILES])
     return both.select("method", "span", "day", "metric", "n_values", F.inline(each))
 
 
 def p3_methods(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each listed method over all days, side by side."""
     whole = percentiles.percentiles(percentiles.merge(_daily(spark, d), ["method"]), ["method"])
-    return whole.join(_listed(spark, d), "method")
+    named = [F.round(F.col(percentiles.column(q)), 9).alias(percentiles.column(q)) for q in percentiles.QUANTILES]
+    return whole.join(_listed(spark, d), "method").select("method", "metric", "n_values", *named)
 
 
 def p3_sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +127,13 @@ found AS (SELECT method, span, day, metric, CAST(total AS BIGINT) AS n_values, q
 SELECT method, span, day, metric, n_values, quantile, {_VALUE} AS value FROM found JOIN listed USING (method)
 UNION ALL SELECT method, 'all', NULL, metric, 0, quantile, NULL FROM listed, (VALUES ('miou'), ('coverage')) m(metric), q
   WHERE NOT EXISTS (SELECT 1 FROM sketch s WHERE s.method = listed.method AND s.metric = m.metric)""",
+    "p3_methods": _SKETCH
+    + f""",
+whole AS (SELECT method, metric, bucket, sum(n) AS n FROM sketch JOIN listed USING (method) GROUP BY ALL),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY method, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY method, metric) AS total FROM whole)
+SELECT method, metric, CAST(max(total) AS BIGINT) AS n_values, """
+    + ", ".join(f"min({_VALUE}) FILTER (upto >= greatest(1, ceil({q!r} * total))) AS {percentiles.column(q)}" for q in percentiles.QUANTILES)
+    + " FROM runs GROUP BY method, metric",
     "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
     "p3_sketches": _SKETCH + " SELECT method, day, metric, bucket, n FROM sketch",
 }

@@ -13,7 +13,7 @@ def check(got, values, error=p.ERROR):
     for q in p.QUANTILES:
         exact = values[max(1, math.ceil(q * len(values))) - 1]
         value = got[p.column(q)]
-        assert value == exact or abs(value - exact) <= error * abs(exact) * (1 + 1e-6) + 1e-9, (q, value, exact)
+        assert value == exact or abs(value - exact) <= error * abs(exact) * (1 + 1e-6), (q, value, exact)
 
 
 def test_error_bound_and_merging(spark):
@@ -30,6 +30,19 @@ def test_error_bound_and_merging(spark):
     check(one, [x[2] for x in data if x[0] == "g" and x[1] == 1 and x[2] is not None and x[2] == x[2]])
 
 
+def test_very_small_values_and_errors(spark):
+    values = [k * 1e-11 for k in range(1, 100)] + [1e250, -1e-250]
+    df = spark.createDataFrame([("g", v) for v in values], "k string, v double")
+    for error in (0.2, p.ERROR, 1e-4, 1e-6):
+        check(p.percentiles(p.sketch(df, ["k"], ["v"], error), ["k"], error=error).first(), values, error)
+    for error in (0.0, 1e-9, 1.0):
+        try:
+            p.shift(error)
+            assert False
+        except ValueError:
+            pass
+
+
 def test_buckets_keep_the_order(spark):
     vs = sorted([-1e9, -3.0, -0.5, -1e-9, 0.0, 1e-310, 1e-9, 0.5, 3.0, 1e9])
     df = spark.createDataFrame([(v,) for v in vs], "v double").select(p.bucket(F.col("v")).alias("b"), p.bucket_value(p.bucket(F.col("v"))).alias("w"), "v")
