@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessela.llm.batches import pieces
 from tessela.llm.prose import FUNCTION_WORDS, prose
+from tessela.storage import materialise
 
 LEAST_WORDS = 60  # words of English prose that a document must have
+WORDS = 200_000  # words whose share in the corpus is sent to the workers, the most frequent ones; others are as rare as the rarest of these
 SAMPLE = 20_000  # graded texts used for fitting, at most: those of the least hashes of their ids
 RIDGE = 0.02  # weight of the penalty on the squared coefficients, per unit
 
@@ -49,37 +52,38 @@ def _syllables(word: bytes) -> int:
 class _Rows(dict):
     """From a word to its row in a table of word features that grows as words come up."""
 
-    def __init__(self, counts: dict[bytes, int]) -> None:
-        self.counts, self.total = counts, sum(counts.values()) + len(counts) + 1
+    def __init__(self, counts: dict[bytes, int], total: int) -> None:
+        self.counts, self.total = counts, total + len(counts) + 1
+        self.least = min(counts.values(), default=0) if len(counts) >= WORDS else 0
         self.table = np.zeros((1024, 7))
 
     def __missing__(self, w: bytes) -> int:
         row = len(self)
         if row == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        rarity = -math.log((self.counts.get(w, 0) + 1) / self.total)
+        rarity = -math.log((self.counts.get(w, self.least) + 1) / self.total)
         self.table[row] = len(w), len(w) >= 9, _syllables(w), w in FUNCTION_WORDS, w in CONNECTIVES, w in SUBORDINATORS, rarity
         self[w] = row
         return row
 
 
 class Features:
-    """Unit features; ``rarity`` is minus the log of a word's share in the reference texts."""
+    """Unit features; ``rarity`` is minus the log of a word's share of ``total`` words, of which ``counts`` knows the frequent ones."""
 
-    def __init__(self, counts: dict[bytes, int]) -> None:
-        self.counts = counts
-        self.rows = _Rows(counts)
+    def __init__(self, counts: dict[bytes, int], total: int | None = None) -> None:
+        self.counts, self.total = counts, sum(counts.values()) if total is None else total
+        self.rows = _Rows(self.counts, self.total)
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts}
+        return {"counts": self.counts, "total": self.total}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["counts"])
+        self.__init__(**state)
 
     def units(self, sentences: Sequence[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Features and number of words of each sentence; none may be empty."""
         if len(self.rows) > 500_000:
-            self.rows = _Rows(self.counts)
+            self.rows = _Rows(self.counts, self.total)
         rows = self.rows
         at = [rows[w] for s in sentences for w in s]
         n = np.array([len(s) for s in sentences], float)
@@ -135,14 +139,18 @@ def weighted_median(score: np.ndarray, weight: np.ndarray) -> float:
 
 
 class Model:
-    """The fitted scale: text to score and level."""
+    """The fitted scale: text to score and level.
 
-    def __init__(self, texts: Sequence[tuple[str, int]]) -> None:
+    ``words``: the counts of a corpus' words and their total; those of the
+    graded texts by default.
+    """
+
+    def __init__(self, texts: Sequence[tuple[str, int]], words: tuple[dict[bytes, int], int] | None = None) -> None:
         split = [(prose(t), g) for t, g in texts if t and g is not None]
         split = [(s, g) for s, g in split if s]
         if not split:
             raise ValueError("no graded text holds English prose")
-        self.features = Features(Counter(w for s, _ in split for x in s for w in x))
+        self.features = Features(*(words or (Counter(w for s, _ in split for x in s for w in x),)))
         self.levels = sorted({g for _, g in split})
         parts = [self.features.units(s) for s, _ in split]
         grade = np.array([self.levels.index(g) for _, g in split])
@@ -176,32 +184,59 @@ class Model:
         return out
 
 
-def fit(graded: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the graded texts ``text, grade_level`` (``ref_id`` picks the sample); nulls don't count."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n``: how often each word occurs in the English prose of all documents; counted in the tasks before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+        seen: Counter[bytes] = Counter()
+        for part in pieces(batches, 0):
+            for text in part.column(0).to_pylist():
+                for sentence in prose(text):
+                    seen.update(sentence)
+            if len(seen) > WORDS:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    return docs.select(text_col).where(F.length(text_col) > 0).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
+    """The counts of the ``WORDS`` most frequent words, and the number of all words, of the documents' prose."""
+    counts = materialise(word_counts(docs, text_col), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    best = counts.orderBy(F.desc("n"), "word").limit(WORDS)
+    return {r.word.encode(): r.n for r in best.toLocalIterator()}, total
+
+
+def fit(graded: DataFrame, sample: int = SAMPLE, words: tuple[dict[bytes, int], int] | None = None) -> Model:
+    """The model of the graded texts ``text, grade_level`` (``ref_id`` picks the sample) and a corpus' words; nulls don't count."""
     rows = graded.select("ref_id", "text", "grade_level").where("text IS NOT NULL AND grade_level IS NOT NULL")
     rows = rows.orderBy(F.xxhash64("ref_id"), "ref_id", "text").limit(sample)
-    return Model([(r.text, r.grade_level) for r in rows.toLocalIterator()])
+    return Model([(r.text, r.grade_level) for r in rows.toLocalIterator()], words)
 
 
 def reading_levels(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, score, grade_level`` of every document with enough English prose.
 
     Whole texts are read; null, empty and other texts give no row, repeated rows
-    one row each. Documents are not shuffled; only the model is sent out, as large
-    as the reference's words.
+    one row each. The texts are read twice: for the counts of their words, which
+    say how rare a word is, and for their levels. Documents are not shuffled; the
+    model is sent out, with the counts of ``WORDS`` words at most.
     """
-    model = fit(graded)
+    model = fit(graded, words=corpus_words(docs, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [(i, g) for i, g in enumerate(m.grades(part.column(1).to_pylist())) if g]
-                keys = part.column(0).take(pa.array([i for i, _ in found], pa.int64()))
-                cols = [pa.array([g[j] for _, g in found], t) for j, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([keys, *cols], names=["doc_id", "n_words", "score", "grade_level"])
+        for part in pieces(batches):
+            found = [(i, g) for i, g in enumerate(m.grades(part.column(1).to_pylist())) if g]
+            keys = part.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            cols = [pa.array([g[j] for _, g in found], t) for j, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([keys, *cols], names=["doc_id", "n_words", "score", "grade_level"])
 
     return docs.select(id_col, text_col).where(F.length(text_col) > 0).mapInArrow(run, f"doc_id {kind}, n_words int, score double, grade_level int")

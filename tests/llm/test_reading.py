@@ -58,3 +58,18 @@ def test_held_out_accuracy(spark):
     found = model.grades([t for t, _ in held])
     scored = [(f[2], g) for f, (_, g) in zip(found, held) if f]
     assert len(scored) >= 0.9 * len(held) and np.mean([a == b for a, b in scored]) >= 0.95
+
+
+def test_words_are_counted_over_all_documents(spark, monkeypatch):
+    from collections import Counter
+
+    docs = [(i, t) for i, t in enumerate([text(0), text(1), None, "", "lol", text(0, 40, 3), text(1, 30, 4)])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = Counter(w for _, t in docs if t for s in prose(t) for w in s)
+    assert {(w.encode(), n) for w, n in rows(reading.word_counts(df), "word", "n")} == set(want.items())
+    counts, total = reading.corpus_words(df)
+    assert counts == want and total == sum(want.values())
+    monkeypatch.setattr(reading, "WORDS", 3)  # the counts sent out are bounded, the total isn't
+    counts, total = reading.corpus_words(df)
+    assert counts == dict(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]) and total == sum(want.values())
+    assert reading.corpus_words(df.limit(0)) == ({}, 0)
