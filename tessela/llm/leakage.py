@@ -33,13 +33,13 @@ from tessela.llm.markup import flat_words
 LEAST_WORDS, PER_EDIT, EDITS = 20, 10, 3
 _LONGEST = 40  # characters of a word in the stream of characters that is filtered; words are compared whole
 _BAND = 128  # half the width of a band, at least EDITS times the longest word
-_Q = (24, 20, 16, 12, 8, 4)
+_Q = (24, 12, 8, 4)
 _SHARED = 12  # q-grams that a match should share at least; q is the greatest that grants it
 BLOCK = 400_000  # words of passages in a block: some 60 MB in a worker at most
 BLOCKS = 4  # blocks that go through the documents together
 _CANDIDATES = 256  # aligned together
 _HITS = 2_000_000  # shared q-grams looked at together
-_RUN = 6  # equal words on end that every match has: 18 of 20 words lie in 3 runs, 27 of 30 in 4
+_RUN, _RUNS = 5, 6  # a match shares so many runs of five words: 18 of 20 words in 3 stretches hold 6, 19 in 2 hold 11, 27 of 30 in 4 hold 11
 
 
 def lemma_bound(lengths: Sequence[int], q: int) -> int:
@@ -209,7 +209,7 @@ def scan(words: Sequence[list[bytes]], chars: np.ndarray, table: dict) -> list[t
         ends, ids, runs = numbers[x]
         low = max(0, int(np.searchsorted(ends, (first - 1) * _BAND - _LONGEST)))
         high = int(np.searchsorted(ends, (last + 3) * _BAND + table["chars"][p] + _LONGEST))
-        if np.isin(runs[low:high], table["runs"][p]).any():
+        if np.count_nonzero(np.isin(runs[low:high], table["runs"][p])) >= _RUNS:
             retained.append((len(table["words"][p]), x, p, ids[low:high]))
     retained.sort(key=lambda c: c[:3])
     known: dict[tuple[int, int], None] = {}
