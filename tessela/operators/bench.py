@@ -27,14 +27,14 @@ def with_mean_row(rows: DataFrame, name: str, metrics: tuple[str, ...], label: s
 
 
 def leaderboard(summary: DataFrame, budget: int | None = None, score: str = "mean_miou") -> DataFrame:
-    """``rank, method, ..`` at a budget (the greatest by default); scores descending, null last, then the name."""
+    """``rank, method, ..`` of the methods that are ok at a budget (the greatest by default); scores descending, null last, then the name."""
     if budget is None:
         top = summary.agg(F.max("budget").alias("budget"))
         rows = summary.join(F.broadcast(top), "budget")  # one row
     else:
         rows = summary.where(F.col("budget") == budget)
     w = Window.orderBy(F.col(score).desc_nulls_last(), "method")
-    return rows.withColumn("rank", F.row_number().over(w))  # one row a method
+    return rows.where("status = 'ok'").withColumn("rank", F.row_number().over(w))  # one row a method
 
 
 def best_per_group(rows: DataFrame, group: str, order: list[Column], n: int = 1) -> DataFrame:
@@ -78,17 +78,29 @@ def ordered_case(text: Column, rules: list[tuple[tuple[str, ...], str]], otherwi
     return F.coalesce(*[F.when(hit(parts), F.lit(label)) for parts, label in rules], F.lit(otherwise))
 
 
-#: Parts of a path and the family or status they stand for, in order.
+#: Parts of a lower-case path and the family that they stand for, the first that occurs.
 FAMILIES = [
-    (("case_study", "case-study"), "case-study"), (("_debug", "debug"), "debug"), (("interactive_runs",), "interactive"),
-    (("postprocess",), "postprocessing"), (("refinement", "refine"), "refinement"), (("sweep",), "sweep"), (("optuna", "tuning"), "tuning"), (("benchmark",), "benchmark"),
+    (("/interactive_runs/",), "interactive-run"), (("/sweeps/",), "sweep"), (("/refinement/",), "refinement"), (("/postprocessing/",), "postprocessing"),
+    (("/case_studies/",), "case-study"), (("/training/",), "training"), (("/precomputed/",), "precomputed"), (("/debug/",), "debug"),
 ]
-STATUSES = [(("debug",), "debug"), (("smoke",), "smoke"), (("case_study",), "case-study"), (("archive",), "archive"), (("artifacts", "runs"), "main")]
+#: The same for the status of what lies there; all else is main.
+STATUSES = [
+    (("/uncategorized/",), "uncategorized"), (("/debug/", "_tmp_eval_", "tmp_replay_debug"), "debug"), (("smoke",), "smoke"), (("/training/",), "main"),
+    (("/case_studies/", "_quarter_run", "_two_quarters"), "case-study"), (("/sweeps/", "/refinement/"), "archive"),
+]
+
+
+def family(path: Column) -> Column:
+    return ordered_case(path, FAMILIES, "uncategorized")
+
+
+def status(path: Column) -> Column:
+    return ordered_case(path, STATUSES, "main")
 
 
 def family_report(runs: DataFrame) -> DataFrame:
     """``family, n, sample, statuses``: runs by family, the least path, and a histogram of their statuses as text."""
-    named = runs.withColumn("family", ordered_case(F.col("path"), FAMILIES, "uncategorized")).withColumn("kind", ordered_case(F.col("path"), STATUSES, "uncategorized"))
+    named = runs.withColumn("family", family(F.col("path"))).withColumn("kind", status(F.col("path")))
     cells = named.groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("sample"))
     hist = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["kind"], F.lit("="), x["n"].cast("string"))), ", ")
     return cells.groupBy("family").agg(F.sum("n").alias("n"), F.min("sample").alias("sample"), hist.alias("statuses"))

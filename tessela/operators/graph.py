@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.storage import scratch_path, write_counted
+from tessela.storage import materialise, scratch_path, write_counted
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
-    """Both directions of undirected edges ``image, u, v, w``."""
-    return edges.unionByName(edges.select("image", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    """Both directions of undirected edges ``image, u, v, w``; each edge is read once."""
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    return edges.select("image", "w", F.inline(F.array(pair("u", "v"), pair("v", "u")))).select("image", "u", "v", "w")
 
 
 def smooth(scores: DataFrame, edges: DataFrame, steps: int, alpha: float, k: int = 3) -> DataFrame:
-    """``steps`` rounds of (1-a) s + a (weighted mean of neighbours), normalised; lone regions keep their scores.
+    """``steps`` rounds of (1-a) s + a (weighted mean of neighbours), normalised each round.
 
-    ``scores``: ``image, sp, s0..``. The plan is unrolled: one join and one
-    aggregate a round, for the few rounds that smoothing takes.
+    A region without neighbours keeps its scores. ``scores``: ``image, sp, s0..``.
+    The edges are materialised once; the plan is then unrolled, with one join and
+    one aggregate a round, for the few rounds that smoothing takes.
     """
-    both = mirrored(edges)
+    both = materialise(mirrored(edges), "neighbours") if steps > 0 else None
+    floor = lambda c: F.greatest(c, F.lit(1e-8))
     for _ in range(steps):
         near = both.join(scores.withColumnRenamed("sp", "v"), ["image", "v"]).groupBy("image", F.col("u").alias("sp")).agg(
             F.sum("w").alias("w"), *[F.sum(F.col(f"s{i}") * F.col("w")).alias(f"n{i}") for i in range(k)]
@@ -30,8 +31,8 @@ def smooth(scores: DataFrame, edges: DataFrame, steps: int, alpha: float, k: int
         mixed = scores.join(near, ["image", "sp"], "left").select(
             "image", "sp", *[F.when(F.col("w") > 0, (1 - alpha) * F.col(f"s{i}") + alpha * F.col(f"n{i}") / F.col("w")).otherwise(F.col(f"s{i}")).alias(f"s{i}") for i in range(k)]
         )
-        total = sum((F.col(f"s{i}") for i in range(k)), F.lit(0.0))
-        scores = mixed.select("image", "sp", *[(F.col(f"s{i}") / F.greatest(total, F.lit(1e-8))).alias(f"s{i}") for i in range(k)])
+        total = sum((floor(F.col(f"s{i}")) for i in range(k)), F.lit(0.0))
+        scores = mixed.select("image", "sp", *[(floor(F.col(f"s{i}")) / floor(total)).alias(f"s{i}") for i in range(k)])
     return scores
 
 
@@ -73,34 +74,41 @@ def relabel(df: DataFrame, label: str = "sp") -> DataFrame:
     return df.join(order, ["image", label])
 
 
-def _clean(limit: int):
-    def run(pdf: pd.DataFrame) -> Iterator[tuple]:
+def _clean(limit: int, threshold: float | None = None, ratio: float = 0.0):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One image's region labels, cleaned in the order of the regions; later components see earlier changes."""
         label = dict(zip(pdf["sp"], pdf["label"]))
         near = {sp: list(zip(v, w)) for sp, v, w in zip(pdf["sp"], pdf["near"], pdf["weight"])}
+        if threshold is not None:
+            known = {sp: (n, n * conf, stands) for sp, n, conf, stands in zip(pdf["sp"], pdf["n"], pdf["conf"], pdf["label"] != pdf["base"])}
         done: set[int] = set()
         for start in sorted(label):
             if start in done:
                 continue
-            part, todo = [], [start]
+            own, part, todo = label[start], [], [start]
             done.add(start)
             while todo:
                 u = todo.pop()
                 part.append(u)
                 for v, _ in near[u]:
-                    if v in label and v not in done and label[v] == label[start]:
+                    if v in label and v not in done and label[v] == own:
                         done.add(v)
                         todo.append(v)
-            if len(part) <= limit:
-                inside, votes = set(part), {}
-                for u in part:
-                    for v, w in near[u]:
-                        if v in label and v not in inside:
-                            votes[label[v]] = votes.get(label[v], 0) + w
-                if votes:
-                    best = max(votes.items(), key=lambda x: (x[1], -x[0]))[0]
-                    for u in part:
-                        label[u] = best
+            if len(part) > limit:
+                continue
+            if threshold is not None:
+                size, sure, changed = zip(*(known[u] for u in part))
+                if not any(changed) or sum(sure) / max(sum(size), 1) >= threshold:
+                    continue
+            votes: dict[int, int] = {}
+            for u in part:
+                for v, w in near[u]:
+                    if v in label and label[v] != own:
+                        votes[label[v]] = votes.get(label[v], 0) + w
+            if votes:
+                best, most = max(votes.items(), key=lambda x: (x[1], -x[0]))
+                if most >= ratio * sum(votes.values()):
+                    label.update(dict.fromkeys(part, best))
         out = pdf[["image", "sp", "label"]].copy()
         out["clean"] = out["sp"].map(label).astype("int32")
         return out
@@ -108,17 +116,31 @@ def _clean(limit: int):
     return run
 
 
+def _with_neighbours(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    near = mirrored(edges).groupBy("image", F.col("u").alias("sp")).agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("e"))
+    side = lambda name: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast("array<bigint>"))
+    return labels.join(near, ["image", "sp"], "left").withColumns({"near": side("v"), "weight": side("w")}).drop("e")
+
+
+def _cleaned(rows: DataFrame, run) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("image").applyInPandas(run, f"image {kinds['image']}, sp {kinds['sp']}, label {kinds['label']}, clean int")
+
+
 def cleanup(labels: DataFrame, edges: DataFrame, limit: int = 2) -> DataFrame:
     """Components of equal label of at most ``limit`` regions take the label with most support around them.
 
     Sequential by definition, so one image's region graph is one group; it holds
     regions, not pixels, and is as large as an image has regions.
     """
-    near = mirrored(edges).groupBy("image", F.col("u").alias("sp")).agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("e"))
-    rows = labels.join(near, ["image", "sp"], "left").select(
-        "image", "sp", "label",
-        F.coalesce(F.transform("e", lambda x: x["v"]), F.array().cast("array<bigint>")).alias("near"),
-        F.coalesce(F.transform("e", lambda x: x["w"]), F.array().cast("array<bigint>")).alias("weight"),
-    )
-    kinds = dict(labels.dtypes)
-    return rows.groupBy("image").applyInPandas(_clean(limit), f"image {kinds['image']}, sp {kinds['sp']}, label {kinds['label']}, clean int")
+    return _cleaned(_with_neighbours(labels.select("image", "sp", "label"), edges), _clean(limit))
+
+
+def cleanup_conservative(labels: DataFrame, edges: DataFrame, limit: int = 3, threshold: float = 0.75, ratio: float = 0.6) -> DataFrame:
+    """As ``cleanup``, but only for components that hold a changed region and aren't sure, and only to a label with enough support.
+
+    ``labels``: ``image, sp, label``, ``base`` (the label before), ``n`` pixels
+    and ``conf``. A component changes if its mean confidence by pixels is below
+    ``threshold`` and the best label around has at least ``ratio`` of the support.
+    """
+    return _cleaned(_with_neighbours(labels.select("image", "sp", "label", "base", "n", "conf"), edges), _clean(limit, threshold, ratio))

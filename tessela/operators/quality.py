@@ -123,7 +123,7 @@ def compactness(df: DataFrame) -> DataFrame:
     return shape.groupBy("image").agg(F.avg(F.least(F.lit(1.0), 4 * math.pi * F.col("a") / (F.col("p") * F.col("p")))).alias("compactness"))
 
 
-def boundary_recall(df: DataFrame, tolerance: int = 1) -> DataFrame:
+def boundary_recall(df: DataFrame, tolerance: int = 2) -> DataFrame:
     """``image, recall``: class boundary pixels within the tolerance of a region boundary; 1 if there is none.
 
     The near places of a pixel are (2t+1)^2 equal keys, so the join stays an equality join.

@@ -58,18 +58,27 @@ def distance_inside(mask: np.ndarray) -> np.ndarray:
     return out[1:-1, 1:-1]
 
 
-def _spread(mask: np.ndarray, op: Callable, outside: bool) -> np.ndarray:
-    p = np.pad(mask, 1, constant_values=outside)
+def _spread(mask: np.ndarray, op: Callable, outside: bool, radius: int = 1) -> np.ndarray:
+    p = np.pad(mask, radius, constant_values=outside)
     h, w = mask.shape
-    return op.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
+    rows = op.reduce([p[i : i + h] for i in range(2 * radius + 1)])
+    return op.reduce([rows[:, j : j + w] for j in range(2 * radius + 1)])
 
 
-def close_open(mask: np.ndarray, keep: float = 0.5) -> np.ndarray:
-    """A mask closed, then opened with 3 x 3; the mask itself if less than ``keep`` of it would stay."""
+def close_open(mask: np.ndarray, radius: int = 1, keep: float = 0.2) -> np.ndarray:
+    """A mask closed, then opened with a square of ``radius``; beyond the frame is outside.
+
+    If opening leaves less than ``keep`` of the mask's pixels (rounded down, one
+    at least), the closed mask stays; if that is empty too, the mask itself.
+    """
     m = mask > 0
-    closed = _spread(_spread(m, np.logical_or, False), np.logical_and, True)
-    opened = _spread(_spread(closed, np.logical_and, True), np.logical_or, False)
-    return (opened if opened.sum() >= keep * m.sum() else m).astype(np.int32)
+    if radius <= 0 or not m.any():
+        return m.astype(np.int32)
+    closed = _spread(_spread(m, np.logical_or, False, radius), np.logical_and, False, radius)
+    opened = _spread(_spread(closed, np.logical_and, False, radius), np.logical_or, False, radius)
+    if opened.sum() >= max(1, int(keep * m.sum())):
+        return opened.astype(np.int32)
+    return (closed if closed.any() else m).astype(np.int32)
 
 
 def label_components(labels: np.ndarray, zero: bool = True) -> np.ndarray:
@@ -201,13 +210,17 @@ def principal_axes(points: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return m.select(*by, "n", "cx", "cy", (half + root).alias("major"), (half - root).alias("minor"), (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("angle"))
 
 
+#: The weights of deficit, bad scribbles, few scribbles and failures in a class's priority.
+PRIORITY = {"deficit": 0.75, "bad": 0.5, "few": 0.2, "failures": 0.25}
+
+
 def region_priority(df: DataFrame) -> DataFrame:
     """Adds ``priority`` of a class to be annotated next: worse overlap, fewer scribbles and larger errors first.
 
     ``iou, fragments, deficit, bad, n_scribbles, failures`` are a class's state.
     """
     c = F.col
-    return df.withColumn("priority", (1 - c("iou")) * c("fragments") + 0.75 * c("deficit") + 0.5 * c("bad") + 0.2 / (1 + c("n_scribbles")) - 0.25 * c("failures"))
+    return df.withColumn("priority", (1 - c("iou")) * c("fragments") + PRIORITY["deficit"] * c("deficit") + PRIORITY["bad"] * c("bad") + PRIORITY["few"] / (1 + c("n_scribbles")) - PRIORITY["failures"] * c("failures"))
 
 
 def neighbour_cells(df: DataFrame, nx: int, ny: int) -> DataFrame:

@@ -40,6 +40,11 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
     """``image, x, y, sp, gt, pred``: pixels with places; equal rows may change places."""
+    return grid_pixels(spark, d).select("image", "x", "y", "sp", "gt", "pred")
+
+
+def grid_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """``image, x, y, sp, gt, pred, lg0..lg2``: as ``grid``, with logits."""
     t = table(spark, d, "lineitem")
     w = Window.partitionBy("l_linenumber").orderBy(*[c for c in t.columns if c != "l_linenumber"])
     rows = t.withColumn("rn", F.row_number().over(w) - 1)
@@ -47,9 +52,9 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     out = rows.select(
         c("l_linenumber").alias("image"), (c("rn") % GRID_WIDTH).alias("x"), F.floor(c("rn") / GRID_WIDTH).cast("int").alias("y"),
         c("l_suppkey").alias("sp"), (c("l_partkey") % 3).cast("int").alias("gt"),
-        argmax_class([c("l_quantity") / 10, c("l_discount") * 50, c("l_tax") * 60]).alias("pred"),
+        (c("l_quantity") / 10).alias("lg0"), (c("l_discount") * 50).alias("lg1"), (c("l_tax") * 60).alias("lg2"),
     )
-    return out
+    return out.withColumn("pred", argmax_class([c("lg0"), c("lg1"), c("lg2")]))
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +95,8 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     folder = (
         F.when(c("o_orderpriority") == "1-URGENT", "/repo/artifacts/sweeps/").when(c("o_orderpriority") == "2-HIGH", "/repo/artifacts/interactive_runs/")
-        .when(c("o_orderpriority") == "3-MEDIUM", "/repo/artifacts/postprocessing/").when(c("o_orderpriority") == "5-LOW", "/repo/_debug/smoke/")
-        .otherwise("/repo/other/")
+        .when(c("o_orderpriority") == "3-MEDIUM", "/repo/artifacts/case_studies/").when(c("o_orderpriority") == "5-LOW", "/repo/artifacts/debug/smoke_")
+        .otherwise("/repo/Other/Smoke_")
     )
     return table(spark, d, "orders").select(
         c("o_orderkey").alias("run_id"), F.concat(folder, F.lit("run_"), c("o_orderkey").cast("string")).alias("path"), c("o_orderstatus").alias("status"), c("o_totalprice").alias("metric")

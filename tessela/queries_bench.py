@@ -18,8 +18,8 @@ ORACLE: dict[str, str] = {}
 BENCH = """b AS (SELECT event_id, event_type AS method, CAST(user_id % 5 AS INTEGER) AS budget, user_id AS image, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'ok' END AS status,
  value / 500 AS miou, event_id % 100 / 100 AS coverage FROM events)"""
 STEPS = "st AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value AS ink, event_type AS cls, value / 500 AS miou FROM events)"
-RUNS = """rn AS (SELECT o_orderkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN '/repo/artifacts/sweeps/' WHEN '2-HIGH' THEN '/repo/artifacts/interactive_runs/' WHEN '3-MEDIUM' THEN '/repo/artifacts/postprocessing/'
- WHEN '5-LOW' THEN '/repo/_debug/smoke/' ELSE '/repo/other/' END || 'run_' || o_orderkey AS path, o_orderstatus AS status, o_totalprice AS metric FROM orders)"""
+RUNS = """rn AS (SELECT o_orderkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN '/repo/artifacts/sweeps/' WHEN '2-HIGH' THEN '/repo/artifacts/interactive_runs/' WHEN '3-MEDIUM' THEN '/repo/artifacts/case_studies/'
+ WHEN '5-LOW' THEN '/repo/artifacts/debug/smoke_' ELSE '/repo/Other/Smoke_' END || 'run_' || o_orderkey AS path, o_orderstatus AS status, o_totalprice AS metric FROM orders)"""
 
 
 def query(sql: str | None = None):
@@ -86,7 +86,7 @@ def resource_summary(spark, d):
     return _r(out.agg(F.avg("value").alias("mean_wall"), F.max("value").alias("max_wall"), F.count_if(F.col("value") > 100).alias("limit_hits")), "mean_wall", to=5)
 
 
-@query(_SUM + " SELECT CAST(row_number() OVER (ORDER BY mean_miou DESC NULLS LAST, method) AS INTEGER) AS rank, method, round(mean_miou, 6) AS mean_miou FROM su WHERE budget = (SELECT max(budget) FROM su)")
+@query(_SUM + " SELECT CAST(row_number() OVER (ORDER BY mean_miou DESC NULLS LAST, method) AS INTEGER) AS rank, method, round(mean_miou, 6) AS mean_miou FROM su WHERE budget = (SELECT max(budget) FROM su) AND n_ok > 0")
 def leaderboard(spark, d):
     return _r(bench.leaderboard(bench.summarise(rel.bench_rows(spark, d))).select("rank", "method", "mean_miou"), "mean_miou")
 
@@ -132,22 +132,26 @@ def best_flag_per_metric(spark, d):
 def param_grid(spark, d):
     dims = table(spark, d, "region").select(F.col("r_name").alias("method"))
     grid = bench.parameter_grid(spark, {"compactness": [5, 10, 20]})
-    return dims.join(F.broadcast(grid)).join(F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("n_segments"))))  # a grid of 5 x 25 x 3 parameters
+    return dims.crossJoin(grid).crossJoin(table(spark, d, "nation").select(F.col("n_nationkey").alias("n_segments")))  # all combinations are the result
 
 
-_FAM = """CASE WHEN contains(lower(path), 'case_study') OR contains(lower(path), 'case-study') THEN 'case-study' WHEN contains(lower(path), 'debug') THEN 'debug' WHEN contains(lower(path), 'interactive_runs') THEN 'interactive'
- WHEN contains(lower(path), 'postprocess') THEN 'postprocessing' WHEN contains(lower(path), 'refine') THEN 'refinement' WHEN contains(lower(path), 'sweep') THEN 'sweep' ELSE 'uncategorized' END"""
-_STA = "CASE WHEN contains(lower(path), 'debug') THEN 'debug' WHEN contains(lower(path), 'smoke') THEN 'smoke' WHEN contains(lower(path), 'artifacts') OR contains(lower(path), 'runs') THEN 'main' ELSE 'uncategorized' END"
+def _rules(rules, otherwise):
+    """Rules of parts of a path as SQL."""
+    cases = " ".join(f"WHEN {' OR '.join(f"contains(lower(path), '{p}')" for p in parts)} THEN '{label}'" for parts, label in rules)
+    return f"CASE {cases} ELSE '{otherwise}' END"
+
+
+_FAM, _STA = _rules(bench.FAMILIES, "uncategorized"), _rules(bench.STATUSES, "main")
 
 
 @query(f"WITH {RUNS} SELECT run_id, {_FAM} AS family FROM rn")
 def classify_family(spark, d):
-    return rel.runs(spark, d).select("run_id", bench.ordered_case(F.col("path"), bench.FAMILIES, "uncategorized").alias("family"))
+    return rel.runs(spark, d).select("run_id", bench.family(F.col("path")).alias("family"))
 
 
 @query(f"WITH {RUNS} SELECT run_id, {_STA} AS kind FROM rn")
 def classify_status(spark, d):
-    return rel.runs(spark, d).select("run_id", bench.ordered_case(F.col("path"), bench.STATUSES, "uncategorized").alias("kind"))
+    return rel.runs(spark, d).select("run_id", bench.status(F.col("path")).alias("kind"))
 
 
 @query(f"""WITH {RUNS}, k AS (SELECT {_FAM} AS family, {_STA} AS kind, path FROM rn), c AS (SELECT family, kind, count(*) AS n, min(path) AS sample FROM k GROUP BY ALL)
@@ -189,9 +193,12 @@ def method_union_distinct(spark, d):
     return p.where("p_size < 3").select(F.col("p_brand").alias("method")).union(p.select("p_type")).distinct()
 
 
-@query("SELECT p_partkey, regexp_replace(replace(replace(trim(CAST(p_name || '-' || p_retailprice AS VARCHAR)), '.', 'p'), '-', 'm'), '[^A-Za-z0-9_]+', '', 'g') AS token FROM part")
+_TOKEN = "coalesce(nullif(regexp_replace(regexp_replace(replace(%s, '.', 'p'), '[^\\p{L}\\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')"
+
+
+@query(f"SELECT p_partkey, {_TOKEN % "'. ' || p_name || '-' || CAST(p_retailprice AS VARCHAR)"} AS token FROM part")
 def token_sanitize(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.sanitize_token(F.concat_ws("-", "p_name", F.col("p_retailprice").cast("string"))).alias("token"))
+    return table(spark, d, "part").select("p_partkey", text.sanitize_token(F.concat(F.lit(". "), "p_name", F.lit("-"), F.col("p_retailprice").cast("string"))).alias("token"))
 
 
 @query("""WITH h AS (SELECT p_partkey, printf('#%06X', (p_partkey * 7919) % 16777216) AS hex FROM part)
@@ -275,12 +282,20 @@ def markdown_report(spark, d):
     return bench.markdown_table(m, ["method", "v"], [F.col("v").desc(), F.col("method")])
 
 
-@query("""WITH p AS (SELECT DISTINCT case_id, params FROM sweep_cases WHERE params IS NOT NULL), k AS (SELECT case_id, params, unnest(map_keys(params)) AS k, unnest(map_values(params)) AS v FROM p),
-t AS (SELECT case_id, params, string_agg(k || '_' || regexp_replace(replace(replace(trim(v), '.', 'p'), '-', 'm'), '[^A-Za-z0-9_]+', '', 'g'), '__' ORDER BY k) AS l FROM k GROUP BY ALL)
-SELECT DISTINCT case_id, 'case__' || l AS label FROM t""")
+_PARAMS = f"""WITH p AS (SELECT DISTINCT case_id, method, params FROM sweep_cases WHERE params IS NOT NULL AND method IS NOT NULL), k AS (SELECT case_id, method, params, unnest(map_keys(params)) AS k, unnest(map_values(params)) AS v FROM p),
+t AS (SELECT case_id, method, params, string_agg(k || '_' || {_TOKEN % 'v'}, '__' ORDER BY k) AS l FROM k GROUP BY ALL)"""
+
+
+@query(_PARAMS + " SELECT DISTINCT case_id, method || '__' || l AS label FROM t")
 def case_labels(spark, d):
-    c = table(spark, d, "sweep_cases").where("params IS NOT NULL AND size(params) > 0")
-    return c.select("case_id", text.case_label(F.lit("case"), F.col("params")).alias("label")).distinct()
+    c = table(spark, d, "sweep_cases").where("params IS NOT NULL AND size(params) > 0 AND method IS NOT NULL")
+    return c.select("case_id", text.case_label(F.col("method"), F.col("params")).alias("label")).distinct()
+
+
+@query(_PARAMS + " SELECT DISTINCT case_id, 'study__' || l AS label FROM t")
+def study_labels(spark, d):
+    c = table(spark, d, "sweep_cases").where("params IS NOT NULL AND size(params) > 0 AND method IS NOT NULL")
+    return c.select("case_id", text.study_label(F.lit("study"), F.col("params")).alias("label")).distinct()
 
 
 @query(f"""WITH {STEPS} SELECT run, CAST(step AS INTEGER) AS step, CASE step % 3 WHEN 0 THEN 'miou_gain' WHEN 1 THEN 'largest_error' ELSE 'unannotated' END AS mode FROM st""")

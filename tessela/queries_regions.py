@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessela.operators import graph, quality, spatial, strategies, vectors, votes
 from tessela.plans import relations as rel
+from tessela.sources import images
 from tessela.sources.tables import table
 
 PX = """px AS (SELECT l_linenumber AS image, l_suppkey AS sp, CAST(l_partkey % 3 AS INTEGER) AS gt, l_quantity / 10 AS lg0, l_discount * 50 AS lg1, l_tax * 60 AS lg2,
@@ -65,24 +66,36 @@ def sp_vote_confusion(spark, d):
     return quality.confusion(voted.where("valid"), pred="label")
 
 
-@query("WITH d AS (SELECT DISTINCT label FROM embeddings) SELECT doc_id, CAST(doc_id % 16 AS INTEGER) AS label FROM documents JOIN d ON doc_id % 16 = d.label")
+_LISTS = """li AS (SELECT DISTINCT '/imgs/p' || p_size || '_' || p_partkey % 7 || CASE WHEN p_partkey % 3 = 0 THEN '.JPG' WHEN p_partkey % 5 = 0 THEN '.txt' ELSE '.png' END AS path FROM part),
+lm AS (SELECT DISTINCT '/masks/p' || s_suppkey % 60 || '_' || s_suppkey % 11 || CASE WHEN s_suppkey % 2 = 0 THEN '.tif' ELSE '.png' END AS path FROM supplier),
+im AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM li WHERE path NOT LIKE '%.txt'),
+mk AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM lm)"""
+
+
+def _listings(spark, d):
+    c, text = F.col, lambda x: F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+    ext = F.when(c("p_partkey") % 3 == 0, ".JPG").when(c("p_partkey") % 5 == 0, ".txt").otherwise(".png")
+    i = table(spark, d, "part").select(F.concat(F.lit("/imgs/p"), text("p_size"), F.lit("_"), text(c("p_partkey") % 7), ext).alias("path"))
+    end = F.when(c("s_suppkey") % 2 == 0, ".tif").otherwise(".png")
+    m = table(spark, d, "supplier").select(F.concat(F.lit("/masks/p"), text(c("s_suppkey") % 60), F.lit("_"), text(c("s_suppkey") % 11), end).alias("path"))
+    return i, m
+
+
+@query(f"""WITH {_LISTS} SELECT im.path AS image, arg_min(mk.path, {{'a': im.name <> mk.name, 'b': mk.path LIKE '%.tif', 'c': mk.path}}) AS mask FROM im JOIN mk USING (stem) GROUP BY im.path""")
 def pair_inner(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 16).cast("int").alias("label"))
-    return docs.join(table(spark, d, "embeddings").select("label").distinct(), "label").select("doc_id", "label")
+    return images.pair(*_listings(spark, d))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 16 NOT IN (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)")
+@query(f"WITH {_LISTS} SELECT path AS image FROM im WHERE stem NOT IN (SELECT stem FROM mk)")
 def pair_unmatched(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 16).cast("int").alias("label"))
-    return docs.join(table(spark, d, "embeddings").select("label").distinct(), "label", "left_anti").select("doc_id")
+    i, m = _listings(spark, d)
+    return images.images(i).select(F.col("path").alias("image")).join(images.pair(i, m), "image", "left_anti")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_size AS k FROM part), b AS (SELECT n_nationkey AS k FROM nation)
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'mask' ELSE 'image' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+@query(f"""WITH {_LISTS}, a AS (SELECT stem, count(*) AS i FROM im GROUP BY stem), b AS (SELECT stem, count(*) AS m FROM mk GROUP BY stem),
+p AS (SELECT stem, CASE WHEN i IS NULL THEN 'no image' WHEN m IS NULL THEN 'no mask' WHEN i > 1 OR m > 1 THEN 'repeated' END AS problem FROM a FULL JOIN b USING (stem)) SELECT * FROM p WHERE problem IS NOT NULL""")
 def pair_symdiff(spark, d):
-    a = table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().withColumn("a", F.lit(1))
-    b = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).withColumn("b", F.lit(1))
-    return a.join(b, "k", "full").where("a IS NULL OR b IS NULL").select("k", F.when(F.col("a").isNull(), "mask").otherwise("image").alias("side"))
+    return images.pairing_errors(*_listings(spark, d))
 
 
 @query("SELECT coalesce(n_regionkey, -1) AS class_idx, l_suppkey IN (SELECT n_nationkey FROM nation) AS valid, count(*) AS n FROM lineitem LEFT JOIN nation ON l_suppkey = n_nationkey GROUP BY ALL")
@@ -136,12 +149,14 @@ def step_metrics(spark, d):
 
 @query("""WITH s AS (SELECT DISTINCT * EXCLUDE (ingested_at, per_class_iou, per_class_n_scribbles, per_class_ink_px) FROM step_metrics WHERE miou IS NOT NULL AND NOT isnan(miou))
 SELECT image, count(*) AS n, round(avg(miou / greatest(n_scribbles, 1)), 6) AS miou_per_scribble, round(avg(miou / greatest(1e-6, total_ink_px / 1000)), 6) AS miou_per_1kpx,
- round(avg(correctly_annotated_px / greatest(n_scribbles, 1)), 4) AS correct_px_per_scribble FROM s WHERE total_ink_px IS NOT NULL AND NOT isnan(total_ink_px) AND n_scribbles IS NOT NULL GROUP BY image""")
+ round(avg(correctly_annotated_px / greatest(n_scribbles, 1)), 4) AS correct_px_per_scribble, round(avg(correctly_annotated_px / greatest(1e-6, total_ink_px)), 4) AS correct_px_per_px_ink,
+ round(avg(miou * coverage) FILTER (NOT isnan(coverage)), 6) AS quality_x_coverage FROM s WHERE total_ink_px IS NOT NULL AND NOT isnan(total_ink_px) AND n_scribbles IS NOT NULL GROUP BY image""")
 def step_efficiency(spark, d):
     s = table(spark, d, "step_metrics").drop("ingested_at", "per_class_iou", "per_class_n_scribbles", "per_class_ink_px").where("miou IS NOT NULL AND NOT isnan(miou)")
     e = quality.efficiency(s.distinct()).where("total_ink_px IS NOT NULL AND NOT isnan(total_ink_px) AND n_scribbles IS NOT NULL")
-    out = e.groupBy("image").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("miou_per_scribble", "miou_per_1kpx", "correct_px_per_scribble")])
-    return _r(_r(out, "miou_per_scribble", "miou_per_1kpx"), "correct_px_per_scribble", to=4)
+    names = ("miou_per_scribble", "miou_per_1kpx", "correct_px_per_scribble", "correct_px_per_px_ink", "quality_x_coverage")
+    out = e.groupBy("image").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in names])
+    return _r(_r(out, "miou_per_scribble", "miou_per_1kpx", "quality_x_coverage"), "correct_px_per_scribble", "correct_px_per_px_ink", to=4)
 
 
 @query("WITH " + _CLS + """ SELECT image, round(max(CASE WHEN class = 0 THEN tp / (tp + fp + fn) END), 6) AS iou_0, round(max(CASE WHEN class = 1 THEN tp / (tp + fp + fn) END), 6) AS iou_1,
@@ -173,9 +188,9 @@ def sp_stats_meanvar(spark, d):
     return _r(_r(stats, *[c for c in stats.columns if c[:4] == "mean"], to=5), *[c for c in stats.columns if c[:4] == "var_"], to=9)
 
 
-def _scores(mode):
+def _scores(mode, prior_power):
     def run(spark, d):
-        return _r(votes.region_scores(_prob(spark, d), mode), "s0", "s1", "s2")
+        return _r(votes.region_scores(_prob(spark, d), mode, prior_power=prior_power), "s0", "s1", "s2")
 
     return run
 
@@ -183,19 +198,19 @@ def _scores(mode):
 _OUT = f"SELECT image, sp, n, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, {_ARG} AS sp_label FROM sc"
 for _name, _mode, _sql in (
     ("sp_mean_proba", "mean_proba", "sc AS (SELECT image, sp, count(*) AS n, avg(p0) AS s0, avg(p1) AS s1, avg(p2) AS s2 FROM cf GROUP BY ALL)"),
-    ("sp_weighted_conf", "weighted_conf", "W(conf)"),
-    ("sp_weighted_margin", "weighted_margin", "W(margin)"),
-    ("sp_weighted_entropy", "weighted_entropy", "W(1 - entropy)"),
+    ("sp_weighted_conf", "confidence_weighted_mean", "W(conf)"),
+    ("sp_weighted_margin", "margin_weighted_mean", "W(margin)"),
+    ("sp_weighted_entropy", "entropy_weighted_mean", "W(1 - entropy)"),
     ("sp_logit_mean", "logit_mean", """m AS (SELECT image, sp, count(*) AS n, avg(lg0) AS a, avg(lg1) AS b, avg(lg2) AS c FROM cf GROUP BY ALL),
  e AS (SELECT *, exp(a - greatest(a, b, c)) AS x, exp(b - greatest(a, b, c)) AS y, exp(c - greatest(a, b, c)) AS z FROM m), sc AS (SELECT image, sp, n, x / (x + y + z) AS s0, y / (x + y + z) AS s1, z / (x + y + z) AS s2 FROM e)"""),
-    ("sp_prior_corrected", "prior_corrected", """m AS (SELECT image, sp, count(*) AS n, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c FROM cf GROUP BY ALL),
+    ("sp_prior_corrected", "mean_proba", """m AS (SELECT image, sp, count(*) AS n, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c FROM cf GROUP BY ALL),
  q AS (SELECT image, avg(p0) AS u, avg(p1) AS v, avg(p2) AS w FROM cf GROUP BY ALL), e AS (SELECT m.*, a / sqrt(u) AS x, b / sqrt(v) AS y, c / sqrt(w) AS z FROM m JOIN q USING (image)),
  sc AS (SELECT image, sp, n, x / (x + y + z) AS s0, y / (x + y + z) AS s1, z / (x + y + z) AS s2 FROM e)"""),
 ):
     if _sql.startswith("W("):
         _w = f"greatest({_sql[2:-1]}, 1e-6)"
         _sql = f"sc AS (SELECT image, sp, count(*) AS n, sum(p0 * {_w}) / sum({_w}) AS s0, sum(p1 * {_w}) / sum({_w}) AS s1, sum(p2 * {_w}) / sum({_w}) AS s2 FROM cf GROUP BY ALL)"
-    QUERIES[_name] = _scores(_mode)
+    QUERIES[_name] = _scores(_mode, 0.5 if _name == "sp_prior_corrected" else 0.0)
     ORACLE[_name] = f"WITH {PROB}, {_sql} {_OUT}"
 
 
@@ -236,12 +251,13 @@ def _overwrite(policy):
     return run
 
 
+_BASE = """, mv AS (SELECT image, sp, pred AS base_label FROM (SELECT image, sp, pred, count(*) AS votes FROM px GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY image, sp ORDER BY votes DESC, pred) = 1)"""
 for _name, _policy, _when in (
-    ("overwrite_all", "all", "true"), ("overwrite_low", "low_pixel_conf", "conf < 0.75"), ("overwrite_disagree", "disagree", "sp_label <> pred AND sp_conf > conf"),
-    ("overwrite_high", "high_sp_conf", "sp_conf >= 0.75"), ("overwrite_changed", "changed_only", "sp_label <> pred AND conf < 0.75"),
+    ("overwrite_all", "all", "true"), ("overwrite_low", "low_pixel_conf", "conf < 0.75"), ("overwrite_disagree", "disagree_low_pixel_conf", "sp_label <> pred AND conf < 0.75"),
+    ("overwrite_high", "high_sp_conf", "sp_conf >= 0.75"), ("overwrite_changed", "changed_high_sp_conf", "base_label <> sp_label AND sp_conf >= 0.75"),
 ):
     QUERIES[_name] = _overwrite(_policy)
-    ORACLE[_name] = f"WITH {_ACC} SELECT image, gt, CASE WHEN {_when} THEN sp_label ELSE pred END AS pred, count(*) AS n FROM j WHERE valid GROUP BY ALL"
+    ORACLE[_name] = f"WITH {_ACC}{_BASE} SELECT image, gt, CASE WHEN {_when} THEN sp_label ELSE pred END AS pred, count(*) AS n FROM j JOIN mv USING (image, sp) WHERE valid GROUP BY ALL"
 
 
 @query("WITH " + _ACC + """ SELECT image, gt, CASE WHEN conf < 0.75 AND gap >= 0.05 AND share <= 0.6 THEN sp_label ELSE pred END AS pred, count(*) AS n FROM j JOIN ac USING (image, sp) WHERE valid GROUP BY ALL""")
@@ -250,16 +266,28 @@ def guarded_vote(spark, d):
     return quality.confusion(voted.where("valid"), pred="label", by=("image",))
 
 
-@query("""WITH m AS (SELECT unnest(['mean_proba', 'weighted_conf', 'weighted_margin', 'weighted_entropy', 'logit_mean']) AS mode, unnest(range(5)) AS i),
-p AS (SELECT unnest(['all', 'low_pixel_conf', 'disagree', 'changed_only']) AS policy, unnest(range(4)) AS j), f(profile, threshold, min_margin, max_changed) AS
- (VALUES (1, 0.55, 0.0, 1.0), (2, 0.65, 0.02, 0.9), (3, 0.75, 0.05, 0.8), (4, 0.85, 0.08, 0.6), (5, 0.95, 0.12, 0.4))
-SELECT printf('novel_%02d_%02d', i * 4 + j + 1, profile) AS strategy_id, mode, policy, CAST(threshold AS DOUBLE) AS threshold, CAST(min_margin AS DOUBLE) AS min_margin, CAST(max_changed AS DOUBLE) AS max_changed FROM m, p, f""")
+_SHARES = ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]}, {r[4]})" for r in (line.split() for line in strategies.RECIPES.strip().splitlines()))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER () AS i FROM (VALUES {_SHARES}) v(family, aggregate_mode, temperature, prior_power, weight_power)),
+p(j, overwrite_policy, pixel, region, graph_steps, graph_alpha, cleanup_mode, small) AS (VALUES (1, 'all', 0.75, 0.75, 0, 0.0, 'none', 3), (2, 'low_pixel_conf', 0.6, 0.75, 0, 0.0, 'none', 3),
+ (3, 'low_pixel_conf', 0.75, 0.75, 1, 0.2, 'none', 3), (4, 'disagree_low_pixel_conf', 0.7, 0.75, 1, 0.35, 'simple', 2), (5, 'high_sp_conf', 0.75, 0.65, 2, 0.25, 'conservative', 3))
+SELECT printf('novel_%02d_%02d', i, j) AS strategy_id, family, aggregate_mode, overwrite_policy, CAST(pixel AS DOUBLE) AS pixel_confidence_threshold, CAST(region AS DOUBLE) AS superpixel_confidence_threshold,
+ CAST(prior_power AS DOUBLE) AS prior_power, CAST(temperature AS DOUBLE) AS temperature, CAST(weight_power AS DOUBLE) AS weight_power, graph_steps, CAST(graph_alpha AS DOUBLE) AS graph_alpha, cleanup_mode,
+ small AS small_component_superpixels, CAST(0.6 AS DOUBLE) AS neighbor_ratio_threshold, CAST(0 AS DOUBLE) AS min_superpixel_margin, CAST(1 AS DOUBLE) AS max_change_fraction, CAST(1 AS DOUBLE) AS max_changed_mean_confidence,
+ false AS enforce_superpixel_confidence_guard FROM r, p""")
 def strategy_catalog(spark, d):
-    return strategies.catalog(spark)
+    return strategies.catalog(spark).where("name LIKE 'novel%'").drop("name")
+
+
+_MODE_LABELS = (
+    ("mean_proba", "avg(p{i})"), ("majority_argmax", "count(*) FILTER (pred = {i})"), ("logit_mean", "avg(lg{i})"), ("confidence_weighted_mean", "sum(p{i} * greatest(conf, 1e-6)) / sum(greatest(conf, 1e-6))"),
+    ("margin_weighted_mean", "sum(p{i} * greatest(margin, 1e-6)) / sum(greatest(margin, 1e-6))"), ("entropy_weighted_mean", "sum(p{i} * greatest(1 - entropy, 1e-6)) / sum(greatest(1 - entropy, 1e-6))"),
+)
+_VOTES = " UNION ALL ".join(f"SELECT image, sp, {', '.join(sql.format(i=i) + f' AS s{i}' for i in range(3))}, '{mode}' AS mode FROM cf GROUP BY image, sp" for mode, sql in _MODE_LABELS)
 
 
-@query("WITH " + PROB + f""", v AS (SELECT image, sp, avg(p0) AS s0, avg(p1) AS s1, avg(p2) AS s2, 'mean_proba' AS mode FROM cf GROUP BY ALL
- UNION ALL SELECT image, sp, sum(p0 * greatest(conf, 1e-6)), sum(p1 * greatest(conf, 1e-6)), sum(p2 * greatest(conf, 1e-6)), 'weighted_conf' FROM cf GROUP BY ALL),
+@query("WITH " + PROB + f""", v AS ({_VOTES}),
 cells AS (SELECT mode, gt, CASE WHEN conf < 0.75 THEN {_ARG} ELSE pred END AS pred, count(*) AS n FROM cf JOIN v USING (image, sp) WHERE valid GROUP BY ALL
  UNION ALL SELECT 'baseline', gt, pred, count(*) FROM cf WHERE valid GROUP BY ALL),
 side AS (SELECT mode, gt AS class, n AS g, 0 AS p, CASE WHEN gt = pred THEN n ELSE 0 END AS tp FROM cells UNION ALL SELECT mode, pred, 0, n, 0 FROM cells),
@@ -267,7 +295,26 @@ iou AS (SELECT mode, class, sum(tp) / (sum(p) + sum(g) - sum(tp)) AS iou FROM si
 a AS (SELECT mode, sum(CASE WHEN gt = pred THEN n ELSE 0 END) / sum(n) AS accuracy FROM cells GROUP BY mode)
 SELECT mode, round(accuracy, 6) AS accuracy, round(miou, 6) AS miou, round(miou - (SELECT miou FROM mi WHERE mode = 'baseline'), 6) AS d_miou FROM a JOIN mi USING (mode)""")
 def strategy_compare(spark, d):
-    return _r(strategies.compare(_px(spark, d), ("mean_proba", "weighted_conf")), "accuracy", "miou", "d_miou")
+    return _r(strategies.compare(_px(spark, d)), "accuracy", "miou", "d_miou")
+
+
+def _refined(strategy_id):
+    def run(spark, d):
+        px = rel.grid_pixels(spark, d)
+        out = strategies.refine(px, strategies.resolve(strategy_id), quality.adjacency(px))
+        return quality.confusion(out, pred="label", by=("image",))
+
+    return run
+
+
+# Whole strategies: temperature and smoothing by SQL; with cleanup against brute force in the tests.
+for _name in ("novel_05_01", "novel_12_02", "novel_20_04", "novel_09_05", "safe_non_degrading", "legacy_hybrid_conservative"):
+    QUERIES[f"refine_{_name}"] = _refined(_name)
+_P15 = ", ".join(f"avg(p{i}) AS s{i}" for i in range(3))
+ORACLE["refine_novel_05_01"] = f"""WITH {PROB}, m AS (SELECT image, sp, {_P15} FROM cf GROUP BY ALL), q AS (SELECT image, avg(p0) AS u, avg(p1) AS v, avg(p2) AS w FROM cf GROUP BY image),
+v AS (SELECT image, sp, s0 / sqrt(u) AS s0, s1 / sqrt(v) AS s1, s2 / sqrt(w) AS s2 FROM m JOIN q USING (image)) SELECT image, gt, {_ARG} AS pred, count(*) AS n FROM cf JOIN v USING (image, sp) GROUP BY ALL"""
+_W2 = ", ".join(f"sum(p{i} * conf * conf) / sum(conf * conf) AS s{i}" for i in range(3))
+ORACLE["refine_novel_12_02"] = f"""WITH {PROB}, v AS (SELECT image, sp, {_W2} FROM cf GROUP BY ALL) SELECT image, gt, CASE WHEN conf < 0.6 THEN {_ARG} ELSE pred END AS pred, count(*) AS n FROM cf JOIN v USING (image, sp) GROUP BY ALL"""
 
 
 _THRESH = "WITH " + MEAN + """, t AS (SELECT CAST(unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS DOUBLE) AS threshold), cells AS (SELECT threshold, gt, CASE WHEN conf < threshold THEN sp_label ELSE pred END AS pred, count(*) AS n
@@ -307,7 +354,7 @@ def compactness(spark, d):
     return _r(quality.compactness(rel.grid(spark, d)), "compactness")
 
 
-@query("WITH " + EDGES + """, near AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM marked, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE se)
+@query("WITH " + EDGES + """, near AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM marked, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE se)
 SELECT image, round(avg(CASE WHEN near.x IS NOT NULL THEN 1 ELSE 0 END), 6) AS recall FROM marked LEFT JOIN near USING (image, x, y) WHERE ge GROUP BY image""")
 def boundary_recall(spark, d):
     return _r(quality.boundary_recall(rel.grid(spark, d)), "recall")

@@ -41,6 +41,33 @@ def test_low_confidence_vote(spark):
     assert all(r.label == r.pred for r in guarded.collect())
 
 
+def test_case_labels(spark):
+    s = lambda c: spark.range(1).select(c.alias("v")).first().v
+    m = lambda **kv: F.create_map(*[F.lit(x) for k, v in kv.items() for x in (k, v)])
+    slic = m(n_segments="12", compactness="3.5", sigma="0.0")
+    assert s(text.case_label(F.lit("slic"), slic)) == s(text.study_label(F.lit("slic"), slic)) == "slic__compactness_3p5__n_segments_12__sigma_0p0"
+    deep = m(weights="/a/b/best.pth", method_config='{"lr":0.5,"deep":true,"name":null}')
+    assert s(text.case_label(F.lit("x"), deep)) == "x__cfg_deep_True__cfg_lr_0p5__cfg_name_None__weights_bestppth"
+    assert s(text.study_label(F.lit("x"), m(ssn_weights="/a/b.pth"))) == "x__ssn_weights_a_bppth"
+    assert s(text.neural_case_params(F.lit('{"b":1,"a":"x","weights":"/w.pth"}'))) == {"method_config": '{"a":"x","b":1}', "weights": "/w.pth"}
+    assert s(text.neural_case_params(F.lit('{"weight_path":" "}'))) == {} and s(text.neural_case_params(F.lit("[1]"))) is None
+    assert s(text.method_key(F.concat(F.lit("M"), F.repeat(F.lit("_1"), 1500))))["args"] == [1.0] * 1500
+
+
+def test_families_and_statuses(spark):
+    paths = ["/r/Sweeps/a", "/r/refinement/x", "/r/training/smoke_1", "/r/training/x", "/r/interactive_runs/a_smoke", "/r/interactive_runs/_quarter_run", "/r/debug/smoke", "/r/uncategorized/debug/", "/r/precomputed/", "/r/sweepsy"]
+    got = [(r.f, r.s) for r in spark.createDataFrame([(p,) for p in paths], "p string").select(bench.family(F.col("p")).alias("f"), bench.status(F.col("p")).alias("s")).collect()]
+    assert got == [
+        ("sweep", "archive"), ("refinement", "archive"), ("training", "smoke"), ("training", "main"), ("interactive-run", "smoke"), ("interactive-run", "case-study"), ("debug", "debug"),
+        ("debug", "uncategorized"), ("precomputed", "main"), ("uncategorized", "main"),
+    ]
+
+
+def test_leaderboard_ranks_only_what_is_ok(spark):
+    rows_ = spark.createDataFrame([("a", 5, 0.5, "ok"), ("b", 5, None, "failed"), ("c", 5, 0.9, "failed"), ("d", 3, 0.9, "ok"), ("e", 5, 0.6, "ok")], "method string, budget int, mean_miou double, status string")
+    assert [(r["rank"], r.method) for r in bench.leaderboard(rows_).orderBy("rank").collect()] == [(1, "e"), (2, "a")]
+
+
 def test_metrics_on_empty_union_and_table(spark):
     cells = spark.createDataFrame([(0, 0, 5)], "gt int, pred int, n long")
     assert [tuple(r) for r in quality.summary(cells).select("accuracy", "miou").collect()] == [(1.0, 1.0)]
@@ -80,7 +107,8 @@ def test_cleanup_is_sequential(spark):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 0), (1, 9, 5)], "image int, sp long, label int")
     edges = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 2, 2), (1, 2, 3, 1)], "image int, u long, v long, w long")
     got = dict(rows(graph.cleanup(labels, edges, 1), "sp", "clean"))
-    assert got[9] == 5 and got[2] == got[3] == 0 and got[0] == got[1]
+    # 0 takes the label of 1; then 1, which has only 2 of another label around it, takes that of 2.
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0, 9: 5}
 
 
 def test_boundaries_and_adjacency(spark):
@@ -113,7 +141,7 @@ def test_reports(spark):
 def test_text_functions(spark):
     one = spark.range(1)
     s = lambda c: one.select(c.alias("v")).first().v
-    assert s(text.sanitize_token(F.lit("0.26-x y"))) == "0p26mxy"
+    assert s(text.sanitize_token(F.lit("0.26-x y/é "))) == "0p26-x_y_é" and s(text.sanitize_token(F.lit(" /_ "))) == "x" and s(text.sanitize_token(F.lit(3.5))) == "3p5"
     assert s(text.csv_ints(F.lit("3, 1,,x,3"))) == [1, 3]
     assert s(text.hex_to_rgb(F.lit("#ff0080"))) == [1.0, 0.0, 128 / 255]
     assert s(text.human_size(F.lit(1536))) == "1.5 KB" and s(text.human_size(F.lit(5 * 1024**5).cast("double"))) == "5120.0 TB"
