@@ -126,3 +126,30 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[Column]) ->
     head = widths.select(F.lit(-1).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.expr(f"rpad('{c}', `w_{c}`, ' ')") for c in columns]), F.lit(" |")).alias("line"))
     rule = widths.select(F.lit(0).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.expr(f"repeat('-', `w_{c}`)") for c in columns]), F.lit(" |")).alias("line"))
     return head.unionByName(rule).unionByName(both.select("line_no", line.alias("line")))
+
+
+def suggest(spark: SparkSession, space: dict[str, tuple], trials: int, seed: int = 0) -> DataFrame:
+    """``trial`` and a value of each parameter, drawn at random but alike on any cluster.
+
+    A parameter is ``(low, high)``, ``(low, high, "log")``, ``(low, high, step)``
+    with a whole step, or a list of choices. Low and high are both possible.
+    """
+    out = spark.range(trials).select(F.col("id").alias("trial"))
+    for name, kind in space.items():
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "trial"), F.lit(1 << 52)) / float((1 << 52) - 1)
+        if isinstance(kind, list):
+            value = F.element_at(F.array(*[F.lit(v) for v in kind]), F.least(F.floor(u * len(kind)), F.lit(len(kind) - 1)).cast("int") + 1)
+        elif len(kind) == 2:
+            value = kind[0] + u * (kind[1] - kind[0])
+        elif kind[2] == "log":
+            value = F.exp(F.log(F.lit(float(kind[0]))) + u * (F.log(F.lit(float(kind[1]))) - F.log(F.lit(float(kind[0])))))
+        else:
+            n = (kind[1] - kind[0]) // kind[2] + 1
+            value = (F.lit(kind[0]) + F.least(F.floor(u * n), F.lit(n - 1)) * kind[2]).cast("int")
+        out = out.withColumn(name, value)
+    return out
+
+
+def best_trials(trials: DataFrame, by: str = "method", score: str = "score") -> DataFrame:
+    """The best trial of each method, the first on a tie; null and NaN don't count."""
+    return best_per_group(trials.where(F.col(score).isNotNull() & ~F.isnan(score)), by, [F.col(score).desc(), F.col("trial")])

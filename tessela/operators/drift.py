@@ -87,7 +87,7 @@ def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, tex
     written = lambda e: plain_content(F.to_json(e["value"]))
     kept = F.filter("m", lambda e: F.array_contains("names", e["key"]))
     rows = hit.select(
-        "g", "pair", "side", F.transform(F.filter("m", lambda e: e["key"] == "id"), written)[0].alias("id"),
+        "g", "pair", "side", F.get(F.transform(F.filter("m", lambda e: e["key"] == "id"), written), F.lit(0)).alias("id"),
         F.inline(F.transform(kept, lambda e: F.struct(e["key"].alias("name"), written(e).alias("content"), F.call_function("schema_of_variant", e["value"]).alias("tree")))),
     ).where("tree <> 'VOID'")
     return rows.groupBy("g", "pair", "side", "id", "name").agg(F.max(F.struct("content", "tree")).alias("v")).select("g", "pair", "side", "id", "name", "v.*")

@@ -58,3 +58,44 @@ def snapshot_changes(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("run", "item").orderBy("step")
     marked = events.withColumn("before", F.lag("code").over(w)).withColumn("first", F.row_number().over(w) == 1)
     return marked.groupBy("run", "step").agg(F.count_if("first").alias("added"), F.count_if(~F.col("first") & (F.col("before") != F.col("code"))).alias("changed"))
+
+
+def signature(code: Column, direct: Column, parents: Column) -> Column:
+    """What an annotation is compared by: its code, whether a scribble meets it, and its scribbles in their order."""
+    return F.struct(code.alias("code"), F.coalesce(direct, F.lit(True)).alias("direct"), F.coalesce(parents, F.array().cast("array<int>")).alias("parents"))
+
+
+def build_events(states: DataFrame, scribbles: DataFrame, annotations: DataFrame) -> DataFrame:
+    """What each saved state of a run adds to the one before it; one row a state.
+
+    ``states``: ``run, index``; ``scribbles``: ``run, index, sid``;
+    ``annotations``: ``run, index, sp, code, direct, parents``. Result: ``run,
+    index, prev_step, cur_step, step_delta, exact, new_scribbles, direct_sps,
+    propagated_sps``. Steps are numbers of scribbles; a delta is never negative,
+    and exact if it is one. An annotation is new where the state before has none
+    or another for its superpixel. The first state is compared with nothing.
+    Rows delivered twice change nothing; of an annotation's several rows in one
+    state the greatest counts. Only one superpixel's or scribble's own rows
+    meet in a window.
+    """
+    order = states.select("run", "index").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("run").orderBy("index")))
+    own = scribbles.select("run", "index", "sid").where("sid IS NOT NULL").distinct().join(order, ["run", "index"])
+    before = F.lag("nth").over(Window.partitionBy("run", "sid").orderBy("nth"))
+    new = own.withColumn("before", before).groupBy("run", "nth").agg(
+        F.count(F.lit(1)).alias("cur"), F.array_sort(F.collect_list(F.when(F.col("before").isNull() | (F.col("before") != F.col("nth") - 1), F.col("sid")))).alias("new_scribbles")
+    )
+    sig = annotations.select("run", "index", "sp", signature(F.col("code"), F.col("direct"), F.col("parents")).alias("s")).where("sp IS NOT NULL")
+    at = sig.groupBy("run", "index", "sp").agg(F.max("s").alias("s")).join(order, ["run", "index"])
+    w = Window.partitionBy("run", "sp").orderBy("nth")
+    same = (F.lag("nth").over(w) == F.col("nth") - 1) & (F.lag("s").over(w) == F.col("s"))
+    changed = at.withColumn("same", F.coalesce(same, F.lit(False))).where("NOT same").groupBy("run", "nth").agg(
+        F.array_sort(F.collect_list(F.when(F.col("s.direct"), F.col("sp")))).alias("direct_sps"), F.array_sort(F.collect_list(F.when(~F.col("s.direct"), F.col("sp")))).alias("propagated_sps")
+    )
+    out = order.join(new, ["run", "nth"], "left").join(changed, ["run", "nth"], "left").withColumn("cur", F.coalesce("cur", F.lit(0)))
+    prev = F.coalesce(F.lag("cur").over(Window.partitionBy("run").orderBy("nth")), F.lit(0))
+    out = out.withColumn("prev", prev)
+    none = lambda c, df: F.coalesce(F.col(c), F.array().cast(dict(df.dtypes)[c]))
+    return out.select(
+        "run", "index", F.col("prev").alias("prev_step"), F.col("cur").alias("cur_step"), F.greatest(F.col("cur") - F.col("prev"), F.lit(0)).alias("step_delta"), (F.col("cur") - F.col("prev") == 1).alias("exact"),
+        none("new_scribbles", new).alias("new_scribbles"), none("direct_sps", changed).alias("direct_sps"), none("propagated_sps", changed).alias("propagated_sps"),
+    )

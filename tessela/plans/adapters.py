@@ -6,6 +6,9 @@ name, it runs inside ``mapInPandas`` on the executors.
 
 from __future__ import annotations
 
+import json
+import shutil
+import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -67,6 +70,37 @@ def predict(prompts: DataFrame, method_id: str) -> DataFrame:
     return prompts.where(F.col("prompt_type").isin(*a.prompt_types)).mapInPandas(run, PROPOSAL)
 
 
+def external(method_id: str, command: list[str], prompt_types: tuple[str, ...] = ("point", "line", "scribble", "box"), timeout: float = 600.0) -> Adapter:
+    """An adapter that runs a program once a batch: prompts as JSON lines on its input, proposals (``PROPOSAL``) as JSON lines on its output.
+
+    Unavailable where the program isn't found. A program that fails fails its
+    task, with the end of what it said. Nothing is written to disk.
+    """
+    names = [c.split()[0] for c in PROPOSAL.split(", ")]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        done = subprocess.run(command, input=f.to_json(orient="records", lines=True), capture_output=True, text=True, timeout=timeout, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{method_id} ended with {done.returncode}: {done.stderr[-2000:]}")
+        rows = [json.loads(line) for line in done.stdout.splitlines() if line.strip()]
+        return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+
+    found = shutil.which(command[0]) is not None
+    return Adapter(method_id, run, prompt_types, found, "" if found else f"{command[0]} isn't installed", {"command": " ".join(command)})
+
+
+def runtime_payload(rows: DataFrame) -> DataFrame:
+    """``image, payload``: the state of each image's session as JSON: its prompts in their order, and the step it has reached."""
+    item = F.struct("interaction_id", "class_id", "prompt_type", "x", "y", "radius")
+    out = rows.groupBy("image").agg(F.array_sort(F.collect_list(item)).alias("prompts"), F.max("interaction_id").alias("step"))
+    return out.select("image", F.to_json(F.struct("step", "prompts")).alias("payload"))
+
+
+def history(rows: DataFrame, class_id: int) -> DataFrame:
+    """``image, interactions``: the prompts of one class in their order."""
+    return rows.where(F.col("class_id") == class_id).groupBy("image").agg(F.array_sort(F.collect_set("interaction_id")).alias("interactions"))
+
+
 def best_proposals(proposals: DataFrame) -> DataFrame:
     """For each interaction the proposal of the greatest ``iou``, then score (null last), then the least candidate."""
     order = F.struct("iou", F.coalesce("score", F.lit(float("-inf"))), -F.col("candidate_id"))

@@ -57,11 +57,6 @@ def richest_image(spark, d):
     return images.richest_image(rel.pixels(spark, d).select("image", F.col("sp").alias("gt")), [1, 2])
 
 
-@query()
-def state_headers(spark, d):
-    return states.states(table(spark, d, "state_docs")).drop("state").distinct()
-
-
 @query()
 def state_superpixels(spark, d):
     return states.superpixels(states.states(table(spark, d, "state_docs"))).distinct()
@@ -69,17 +64,7 @@ def state_superpixels(spark, d):
 
 @query()
 def state_violations(spark, d):
-    return states.violations(states.states(table(spark, d, "state_docs").dropDuplicates(["record_id"])))
-
-
-@query()
-def state_roundtrip_counts(spark, d):
-    """States taken apart, put together again, and taken apart once more: the counts of both sides by record."""
-    once = states.states(table(spark, d, "state_docs").dropDuplicates(["record_id"]))
-    sp, an = states.superpixels(once).distinct(), states.annotations(once).distinct()
-    again = states.states(states.to_documents(sp.withColumn("border", F.array(F.array(F.lit(0.0), F.lit(0.0)))), an))
-    a = sp.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_before"))
-    return a.join(states.superpixels(again).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_after")), "record_id", "left")
+    return states.violations(states.states(states.latest(table(spark, d, "state_docs"))))
 
 
 @query("SELECT DISTINCT metric_id, CASE WHEN isnan(miou) THEN NULL ELSE miou END AS miou FROM step_metrics")
@@ -133,18 +118,6 @@ def painted_shapes(spark, d):
     return raster.paint(g, shapes).groupBy("image", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def distance_transform(spark, d):
-    g = rel.grid(spark, d).select("image", "x", "y", (F.col("gt") > 0).cast("int").alias("mask"))
-    return raster.per_image(g, raster.distance_inside, "mask", "dist", "double").groupBy("image").agg(F.round(F.max("dist"), 6).alias("deepest"), F.round(F.sum("dist"), 4).alias("total"))
-
-
-@query()
-def raster_components(spark, d):
-    g = rel.grid(spark, d).select("image", "x", "y", F.col("gt").alias("value"))
-    return raster.per_image(g, raster.label_components, "value", "comp", "long").where("comp > 0").groupBy("image").agg(F.count_distinct("comp").alias("n_components"))
-
-
 @query()
 def grid_segmentation(spark, d):
     t = rel.grid(spark, d).select("image", "x", "y", F.col("sp").cast("double").alias("value"))

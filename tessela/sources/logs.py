@@ -66,3 +66,27 @@ def help_options(text: DataFrame) -> DataFrame:
     joined = F.regexp_replace("text", r"\n {12,}(?!-)", " ")
     rows = text.select("script", F.explode(F.split(joined, "\n")).alias("l")).where(F.col("l").rlike(r"^\s+-"))
     return rows.select("script", F.regexp_extract("l", r"^\s+(-{1,2}[\w-]+)", 1).alias("option"), F.trim(F.regexp_replace("l", r"^\s+-\S+(?:,? (?:-\S+|[A-Z_]+|\{[^}]*\}))*\s*", "")).alias("description"))
+
+
+def gpu_memory(text: DataFrame) -> DataFrame:
+    """``host, pid, mib``: memory by process from lines ``pid, used`` of ``host, text``; other lines are left out, several of a process added."""
+    rows = text.select("host", F.explode(F.split("text", "\n")).alias("l")).select("host", F.transform(F.split("l", ","), lambda p: F.trim(p)).alias("p")).where("size(p) >= 2")
+    named = rows.select("host", F.col("p")[0].try_cast("int").alias("pid"), F.col("p")[1].try_cast("int").alias("mib")).where("pid IS NOT NULL AND mib IS NOT NULL")
+    return named.groupBy("host", "pid").agg(F.sum("mib").alias("mib"))
+
+
+def child_pids(text: DataFrame) -> DataFrame:
+    """``pid, child`` from texts ``pid, children`` of numbers between blanks; other words are left out."""
+    return text.select("pid", F.explode(F.split(F.trim("children"), r"\s+")).alias("w")).select("pid", F.col("w").try_cast("int").alias("child")).where("child IS NOT NULL")
+
+
+def resident_bytes(status: Column) -> Column:
+    """Resident memory from a process' status text; 0 where it isn't given."""
+    return F.coalesce(F.regexp_extract(status, r"(?m)^VmRSS:\s*(\d+)", 1).try_cast("bigint") * 1024, F.lit(0).cast("bigint"))
+
+
+def finished(files: DataFrame) -> DataFrame:
+    """``run_dir`` of the runs that have both the log of their interactions and the summary that is written last."""
+    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/[^/]*$", "")
+    marks = files.select(folder.alias("run_dir"), name.alias("n")).groupBy("run_dir").agg(F.bool_or(F.col("n") == "interactive_log.json").alias("a"), F.bool_or(F.col("n") == "summary_metrics.json").alias("b"))
+    return marks.where("a AND b").select("run_dir")

@@ -2,7 +2,7 @@
 
 The state of a (run, class) is its number of events, the last value and the step
 of that value: an upsert by the order of the events, not of their arrival, so
-late and repeated events change nothing that they shouldn't.
+late events change nothing that they shouldn't; repeats are told by their id.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+IDLE_MS = 24 * 3600 * 1000  # how long a key is kept without events
 STATE = "run bigint, cls string, n bigint, last_ink double, last_step int"
 
 
@@ -25,6 +26,9 @@ def state_of(events: DataFrame) -> DataFrame:
 
 
 def _upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, ink, step = state.get if state.exists else (0, None, -1)
     for b in batches:
         n += len(b)
@@ -32,12 +36,19 @@ def _upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         if top["step"] > step:
             ink, step = float(top["ink"]), int(top["step"])
     state.update((n, ink, step))
+    state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame({"run": [key[0]], "cls": [key[1]], "n": [n], "last_ink": [ink], "last_step": [step]})
 
 
-def stream_state(events: DataFrame) -> DataFrame:
-    """The changing states of a stream of ``run, cls, step, ink``; write it in update mode, keyed by (run, cls)."""
-    return events.groupBy("run", "cls").applyInPandasWithState(_upsert, STATE, "n bigint, ink double, step int", "update", GroupStateTimeout.NoTimeout)
+def stream_state(events: DataFrame, event_id: str | None = None, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The changing states of a stream of ``run, cls, step, ink``; write it in update mode, keyed by (run, cls).
+
+    With ``event_id``, an event delivered again within ``late`` of ``time``
+    counts once. A key that has had no event for ``IDLE_MS`` is forgotten, so
+    that the state doesn't grow for ever.
+    """
+    rows = events if event_id is None else events.withWatermark(time, late).dropDuplicatesWithinWatermark([event_id])
+    return rows.select("run", "cls", "step", "ink").groupBy("run", "cls").applyInPandasWithState(_upsert, STATE, "n bigint, ink double, step int", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, width: str = "10 minutes", late: str = "1 hour", time: str = "ts") -> DataFrame:

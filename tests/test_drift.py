@@ -56,6 +56,12 @@ def test_rename_with_values_on_one_side_only(spark):
     assert found(lines(spark, {1: none[0], 2: none[1]})) == {(2, "removed", "old", ""), (2, "added", "", "new")}
 
 
+def test_records_without_id(spark):
+    files = {1: [{"a": 1}, {"id": 2, "a": 5}, {}], 2: [{"b": 1}, {"id": 2, "b": 5}]}
+    assert found(lines(spark, files)) == {(2, "renamed", "a", "b")}
+    assert found(lines(spark, {1: [{"a": 1}], 2: [{"b": 1}]})) == {(2, "removed", "a", ""), (2, "added", "", "b")}
+
+
 def test_same_key_twice_and_null_writer(spark):
     twice = '{"id":1,"code":3,"code":4}'
     df = lines(spark, {1: [twice, {"id": 2, "code": 5}], 2: [{"id": 2, "cls": "5"}], None: [{"id": 2, "x": 1}]}, None)
