@@ -25,30 +25,44 @@ def state_of(events: DataFrame) -> DataFrame:
     )
 
 
-def _upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    n, ink, step = state.get if state.exists else (0, None, -1)
-    for b in batches:
-        n += len(b)
-        top = b.loc[b["step"].idxmax()]
-        if top["step"] > step:
-            ink, step = float(top["ink"]), int(top["step"])
-    state.update((n, ink, step))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame({"run": [key[0]], "cls": [key[1]], "n": [n], "last_ink": [ink], "last_step": [step]})
-
-
-def stream_state(events: DataFrame, event_id: str | None = None, time: str = "ts", late: str = "1 hour") -> DataFrame:
+def _upserter(time: str | None):
+    def upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, ink, step, seen = state.get if state.exists else (0, None, -1, 0)
+        for b in batches:
+            n += len(b)
+            top = b.loc[b["step"].idxmax()]
+            if top["step"] > step:
+                ink, step = float(top["ink"]), int(top["step"])
+            if time:
+                seen = max(seen, int(b["ms"].max()))
+        state.update((n, ink, step, seen))
+        if time:
+            state.setTimeoutTimestamp(max(seen + IDLE_MS, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run": [key[0]], "cls": [key[1]], "n": [n], "last_ink": [ink], "last_step": [step]})
+
+    return upsert
+
+
+def stream_state(events: DataFrame, event_id: str | None = None, time: str | None = None, late: str = "1 hour") -> DataFrame:
     """The changing states of a stream of ``run, cls, step, ink``; write it in update mode, keyed by (run, cls).
 
-    With ``event_id``, an event delivered again within ``late`` of ``time``
-    counts once. A key that has had no event for ``IDLE_MS`` is forgotten, so
-    that the state doesn't grow for ever.
+    With ``time``, events may come as ``late`` as that, and a key whose last
+    event is ``IDLE_MS`` before the watermark is forgotten, so that the state
+    doesn't grow for ever. With ``event_id`` too, an event delivered again
+    within ``late`` counts once. Without ``time`` keys are kept.
     """
-    rows = events if event_id is None else events.withWatermark(time, late).dropDuplicatesWithinWatermark([event_id])
-    return rows.select("run", "cls", "step", "ink").groupBy("run", "cls").applyInPandasWithState(_upsert, STATE, "n bigint, ink double, step int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events if time is None else events.withWatermark(time, late)
+    if event_id is not None:
+        if time is None:
+            raise ValueError("repeats are told within a watermark: name the time")
+        rows = rows.dropDuplicatesWithinWatermark([event_id])
+    names = ["run", "cls", "step", "ink"] + ([] if time is None else [time])
+    rows = rows.select(*names) if time is None else rows.select(*names).withColumn("ms", F.unix_millis(time))
+    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("run", "cls").applyInPandasWithState(_upserter(time), STATE, "n bigint, ink double, step int, seen bigint", "update", timeout)
 
 
 def windowed(events: DataFrame, width: str = "10 minutes", late: str = "1 hour", time: str = "ts") -> DataFrame:

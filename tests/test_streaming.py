@@ -15,7 +15,7 @@ def test_stream_equals_batch(spark, tmp_path):
             out[r.run, r.cls] = tuple(r)
 
     q = stream_state(stream).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     batch = spark.createDataFrame(data, "run long, cls string, step int, ink double")
     assert set(out.values()) == rows(state_of(batch), *[c.split()[0] for c in STATE.split(", ")])
 
@@ -37,6 +37,6 @@ def test_events_delivered_again_count_once(spark, tmp_path):
             out[r.run, r.cls] = tuple(r)
 
     stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = stream_state(stream, "event_id").writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream_state(stream, "event_id", "ts").writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert out == {(1, "a"): (1, "a", 5, 4.0, 4)}
