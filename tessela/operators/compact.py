@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType
 
 from tessela.operators.nested import json_list
-from tessela.storage import materialise, scratch_path
+from tessela.storage import materialise, remove, scratch_path
 
 _SPREAD = "__spread"  # the column of a run that continues its keys
 _WIDTH = "__width"  # the column of a run with the bytes of a row before compression
@@ -402,4 +402,6 @@ def consolidate(
     plan = slices.groupBy("range").agg(F.collect_list(F.struct("path", "first", "n", "width")).alias("slices")).repartition(ranges, "range")
     span = "struct<" + ",".join(f"{k}:{kind}" for k, kind in df.select(*keys).dtypes) + ">"
     made = plan.mapInArrow(_merge_ranges(list(keys), schema, out, target_bytes, total / max(1, seen.get["width"] or 1)), f"file string, rows long, bytes long, least {span}, greatest {span}")
-    return out, materialise(made, "manifest")
+    made = materialise(made, "manifest")
+    remove(spark, runs)
+    return out, made

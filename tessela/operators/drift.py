@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessela.functions.schematree import script
 from tessela.operators.hierarchy import build_hierarchy
 from tessela.operators.nested import complete_json
-from tessela.storage import materialise
+from tessela.storage import discard, materialise
 
 #: The JSON types, and the heads of variant types that stand for them; any other head is a number's.
 _TYPES = ("array", "boolean", "number", "object", "string")
@@ -140,6 +140,7 @@ def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     fresh = F.coalesce((F.col("rank") != F.lag("rank").over(by_name) + 1).cast("int"), F.lit(1))
     seg = at.withColumn("fresh", fresh).withColumn("seg", F.sum("fresh").over(by_name.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     seg = materialise(seg, "drift-segments")
+    discard(schemas, pairs, values)  # what follows reads only segments and moves
     key = lambda name, n: F.concat(F.col(n).cast("string"), F.lit("|"), F.col(name))
     begun = seg.where("fresh = 1").select("g", "name", "seg", "rank", key("name", "seg").alias("id"))
     ended = seg.select("g", F.col("name").alias("old_name"), (F.col("rank") + 1).alias("rank"), key("name", "seg").alias("from_id"))

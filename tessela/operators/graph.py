@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.storage import materialise, scratch_path, write_counted
+from tessela.storage import materialise, remove, scratch_path, write_counted
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -65,6 +65,8 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "image") -> DataFra
         i += 1
         write_counted(step.select(by, "node", F.col("low").alias("comp"), (F.col("low") < F.col("comp")).alias("moved")), f"{base}/{i}")
         moving = spark.read.parquet(f"{base}/{i}").where("moved").limit(1).count() > 0
+        remove(spark, f"{base}/{i - 1}")
+    remove(spark, f"{base}/edges")
     return spark.read.parquet(f"{base}/{i}").select(by, "node", "comp")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessela.operators import graph
+from tessela.operators.quality import adjacency
+from tessela.storage import discard, materialise
 
 STRIP = 64  # rows of an image that are searched together for distances
 _SHIFT = 1 << 32  # the number of a run is its row times this plus its first column
@@ -125,11 +127,8 @@ def merge_small(labels: DataFrame, hint: int, share: float = 0.02, thin: float =
     changed before. The order makes an image's list of regions one group; it
     holds regions, not pixels. Stops after ``passes``, or when nothing changes.
     """
-    from tessela.operators.quality import adjacency
-    from tessela.storage import materialise
-
     out = materialise(labels.withColumn(label, F.coalesce(F.col(label), F.lit(0)).cast("bigint")), "merged")
-    size = out.where(F.col(label) > 0).groupBy("image").agg(F.greatest(F.lit(8.0), F.rint(share * F.greatest(F.lit(1.0), F.count(F.lit(1)) / max(1, hint)))).alias("least"))
+    size = labels.where(F.col(label) > 0).groupBy("image").agg(F.greatest(F.lit(8.0), F.rint(share * F.greatest(F.lit(1.0), F.count(F.lit(1)) / max(1, hint)))).alias("least"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         area, radius = dict(zip(pdf["label"], pdf["area"])), dict(zip(pdf["label"], pdf["radius"]))
@@ -163,7 +162,8 @@ def merge_small(labels: DataFrame, hint: int, share: float = 0.02, thin: float =
         if not moved.limit(1).count():
             break
         m = moved.select("image", F.col("label").alias(label), "new")
-        out = materialise(out.join(m, ["image", label], "left").withColumn(label, F.coalesce("new", label)).select(*labels.columns), "merged")
+        before, out = out, materialise(out.join(m, ["image", label], "left").withColumn(label, F.coalesce("new", label)).select(*labels.columns), "merged")
+        discard(before, moved)
     return out
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.storage import materialise
+from tessela.storage import discard, materialise
 
 EPS = 1e-6  # fixed value: what keeps means of empty segments finite
 
@@ -71,7 +71,9 @@ def assign(pixels: DataFrame, features: list[str], count: int, rounds: int = 5)
     for i in range(rounds):
         soft = affinity(distances(near, means, features))
         if i + 1 < rounds:
-            means = materialise(centroids(soft, features, "seg", F.col("a")), "means")
+            before, means = means, materialise(centroids(soft, features, "seg", F.col("a")), "means")
+            if i:
+                discard(before)
     return soft.select("image", "x", "y", "k", "seg", "d", "a", *features)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessela.operators import graph, quality, votes
+from tessela.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,8 @@ def refine(px: DataFrame, s: Strategy, edges: DataFrame | None = None, k: int =
     that touch, needed where the strategy smooths or cleans up. Pixels whose
     region is null keep their label. An empty table gives no rows.
     """
+    if edges is not None and (s.graph_steps > 0 or s.cleanup_mode != "none"):
+        edges = materialise(edges, "edges")  # counted once for smoothing and cleanup
     prob = votes.confidence(votes.softmax(px, k), k)
     scores = votes.region_scores(prob.where("sp IS NOT NULL"), s.aggregate_mode, k, s.prior_power, s.temperature, s.weight_power)
     if s.graph_steps > 0 and s.graph_alpha > 0:

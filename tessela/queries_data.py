@@ -73,6 +73,14 @@ items AS (SELECT record_id, t, k, unnest(l) AS e FROM keyed UNION ALL SELECT rec
  UNION ALL SELECT record_id, 'an', json_extract_string(e, '$.method'), e FROM (SELECT record_id, unnest(json_extract(m, '$[*]')) AS e FROM anm WHERE json_type(m) = 'ARRAY')),
 rings AS (SELECT record_id, k || '#' || json_extract_string(e, '$.id') AS parent, json_extract(e, '$.holes[*]') AS h FROM items WHERE t = 'sp'),
 ps AS (SELECT record_id, k || '#' || json_extract_string(e, '$.id') AS parent, json_extract(e, '$.parent_scribble') AS v FROM items WHERE t = 'an')"""
+
+
+def points_sql(e: str) -> str:
+    """The number of points of a list in any of its notations, as SQL."""
+    return f"""(CASE json_type({e}) WHEN 'ARRAY' THEN CASE WHEN json_type(json_extract({e}, '$[0]')) IN ('ARRAY', 'OBJECT') THEN CAST(json_array_length({e}) AS BIGINT) ELSE CAST(json_array_length({e}) AS BIGINT) // 2 END
+ WHEN 'OBJECT' THEN CAST(json_array_length({e}, '$.x') AS BIGINT) WHEN 'VARCHAR' THEN len(regexp_extract_all(json_extract_string({e}, '$'), '-?[0-9.]+')) // 2 ELSE 0 END)"""
+
+
 _RE_STR = '"(?:[^"\\\\\\r\\n]|\\\\.)*"'
 _RE_FLAT = '\\{(?:[^{}"]|' + _RE_STR + ')*\\}'
 _RE_RECORD = '\\{(?:[^{}"]|' + _RE_STR + '|' + _RE_FLAT + ')*\\}'
@@ -88,6 +96,10 @@ UNION SELECT record_id, 'scribble_point', id, CAST(unnest(range(CASE WHEN json_t
 UNION SELECT record_id, 'sp_hole', parent, CAST(i AS VARCHAR) FROM (SELECT record_id, parent, unnest(h) AS r, unnest(range(len(h))) AS i FROM rings) WHERE json_type(r) = 'ARRAY' AND json_array_length(r) >= 3
 UNION SELECT record_id, 'anno_scribble', parent, json_extract_string(c, '$') FROM (SELECT record_id, parent, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END) AS c FROM ps) WHERE json_type(c) <> 'NULL'""",
     "p4_runs": """SELECT run_name, count(*) AS n_methods, CAST(sum(m.n_ok) AS BIGINT) AS n_ok FROM (SELECT DISTINCT record_id, run_name, unnest(range(len(methods))) AS i, unnest(methods) AS m FROM finished_runs) WHERE trim(m.method) <> '' GROUP BY run_name""",
+    "p4_scribbles": f"""WITH {_OPEN}, ps2 AS (SELECT record_id, unnest(json_extract(s, '$.scribbles[*]')) AS e, unnest(range(CAST(json_array_length(s, '$.scribbles') AS BIGINT))) AS i FROM states WHERE json_type(s, '$.scribbles') = 'ARRAY'),
+ob AS (SELECT record_id, e, row_number() OVER (PARTITION BY record_id ORDER BY i) - 1 AS position FROM ps2 WHERE json_type(e) = 'OBJECT')
+SELECT DISTINCT record_id, CAST(position AS INTEGER) AS position, json_extract_string(e, '$.id') AS scribble_id, TRY_CAST(json_extract_string(e, '$.params.code') AS INTEGER) AS code, TRY_CAST(json_extract_string(e, '$.params.radius') AS DOUBLE) AS radius,
+ CAST(coalesce({points_sql("json_extract(e, '$.points')")}, 0) AS INTEGER) AS n_points FROM ob""",
     "p6_found": f"""WITH f AS (SELECT regexp_replace(path, '/+', '/', 'g') AS p, checkpoint_index AS ci, content FROM state_files WHERE content IS NOT NULL),
 o AS (SELECT p, ci, unnest(regexp_extract_all(content, '{_RE_RECORD}')) AS r FROM f), v AS (SELECT p, ci, CAST(r AS JSON) AS r FROM o WHERE json_valid(r)),
 e AS (SELECT p, ci, unnest(CASE WHEN json_type(json_extract(r, '$.scribbles')) = 'ARRAY' THEN json_extract(r, '$.scribbles[*]') ELSE [r] END) AS r FROM v)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessela.operators import raster
 from tessela.plans import adapters
 from tessela.plans import relations as rel
+from tessela.queries_data import _OPEN, points_sql
 from tessela.queries_regions import GRID
 from tessela.sinks import before_after, study_summary
 from tessela.sources import images, logs, states
@@ -57,12 +58,20 @@ def richest_image(spark, d):
     return images.richest_image(rel.pixels(spark, d).select("image", F.col("sp").alias("gt")), [1, 2])
 
 
-@query()
+@query(f"""WITH {_OPEN}, sp AS (SELECT record_id, k, e, json_extract(e, '$.border') AS b, CASE WHEN json_type(json_extract(e, '$.holes')) = 'ARRAY' THEN json_extract(e, '$.holes[*]') ELSE [] END AS h FROM items WHERE t = 'sp' AND json_type(e) = 'OBJECT')
+SELECT DISTINCT record_id, k AS method, TRY_CAST(json_extract_string(e, '$.id') AS INTEGER) AS id, CAST(coalesce({points_sql('b')}, 0) AS INTEGER) AS n_border, CAST(len(list_filter(h, lambda r: coalesce({points_sql('r')}, 0) >= 3)) AS INTEGER) AS n_holes,
+ TRY_CAST(json_extract_string(e, '$.parents[#-1]') AS INTEGER) AS direct_parent FROM sp""")
 def state_superpixels(spark, d):
     return states.superpixels(states.states(table(spark, d, "state_docs"))).distinct()
 
 
-@query()
+@query(f"""WITH newest AS (SELECT record_id, max({{'t': received_at, 'd': doc_json}}).d AS doc_json FROM state_docs GROUP BY record_id), {_OPEN.replace('FROM state_docs', 'FROM newest')},
+sp AS (SELECT record_id, k, TRY_CAST(json_extract_string(e, '$.id') AS INTEGER) AS id, coalesce({points_sql("json_extract(e, '$.border')")}, 0) AS n FROM items WHERE t = 'sp' AND json_type(e) = 'OBJECT'),
+an AS (SELECT record_id, k, TRY_CAST(json_extract_string(e, '$.id') AS INTEGER) AS id, coalesce(TRY_CAST(json_extract_string(e, '$.parent_superpixel') AS INTEGER), -1) AS p FROM items WHERE t = 'an' AND json_type(e) = 'OBJECT')
+SELECT record_id, 'header' AS rule, NULL AS method, NULL AS id FROM states WHERE coalesce(json_extract_string(s, '$._meta.magic'), 'spanno') <> 'spanno' OR coalesce(TRY_CAST(json_extract_string(s, '$._meta.version') AS INTEGER), 1) > 3
+UNION ALL SELECT record_id, 'repeated superpixel', k, id FROM sp GROUP BY record_id, k, id HAVING count(*) > 1 UNION ALL SELECT record_id, 'short border', k, id FROM sp WHERE n < 3
+UNION ALL SELECT record_id, 'no superpixel', k, id FROM an WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.record_id = an.record_id AND sp.k = an.k AND sp.id = an.p)
+UNION ALL SELECT record_id, 'several annotations', k, p FROM an GROUP BY record_id, k, p HAVING count(*) > 1""")
 def state_violations(spark, d):
     return states.violations(states.states(states.latest(table(spark, d, "state_docs"))))
 
@@ -142,6 +151,6 @@ def best_proposal(spark, d):
     return adapters.best_proposals(p)
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('mock_circle', true, '', ['point', 'scribble']), ('mock_line', true, '', ['line', 'scribble']), ('mock_box', true, '', ['box', 'point']), ('absent', false, 'unknown', [])) v(method_id, available, reason, prompt_types)""")
 def method_availability(spark, d):
     return adapters.availability(spark, ["mock_circle", "MOCK_LINE", "mock_box", "absent"])

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Removes this application's intermediate tables; results that still read them must have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _own(spark))
 
 
 def write_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
@@ -52,4 +53,27 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*made: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for tables that no later plan reads."""
+    for df in made:
+        remove(df.sparkSession, df._scratch)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Within it, results are made and written; at its end this application's intermediate tables are removed."""
+    try:
+        yield
+    finally:
+        clear(spark)

@@ -91,9 +91,16 @@ def test_empty(spark):
 def test_scratch_is_cleared(spark):
     import os
 
-    from tessela.storage import clear, materialise, shared_dir
+    from tessela.storage import materialise, shared_dir
 
     df = materialise(spark.range(3), "x")
     assert df.count() == 3 and df.inputFiles()[0].startswith(shared_dir(spark))
-    clear(spark)
+    from tessela.storage import discard, scope
+
+    gone = materialise(spark.range(2), "y")
+    discard(gone)
+    assert not os.path.exists(gone._scratch.removeprefix("file://"))
+    with scope(spark):
+        df = materialise(df, "z")
+        assert df.count() == 3
     assert not any(n.startswith("tessela-") for n in os.listdir(shared_dir(spark).removeprefix("file://")))
