@@ -4,7 +4,8 @@ The lines are opened with ``from_json``/variant functions and summarised to one
 schema per file; then only the files in which fields both went and came are opened
 again, for the contents of those fields. Only such summaries are shuffled. The script of a pair of files is the cheapest
 under tree edit distance (see ``schematree``), where a rename needs contents
-that agree. Lineages of fields over renames are trees of name segments, followed
+that agree; the same over paths of nested fields gives moves. Lineages of fields over
+renames and moves are trees of name segments, followed
 with the hierarchy operator; types are compared along them in a window.
 """
 
@@ -48,9 +49,23 @@ def plain_content(js: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r'[\s\[\]{}",;\\]+', " "))
 
 
-def _members(text: Column) -> Column:
-    """The members of a complete JSON object as (key, value) entries, values as variants; null for anything else."""
-    return F.map_entries(F.from_json(F.when(F.ltrim(text).startswith("{"), complete_json(text)), "map<string,variant>"))
+DEPTH = 4  # levels of objects that are opened where nested fields are compared; what lies deeper is part of its object's content
+
+
+def _members(text: Column, depth: int = 1) -> Column:
+    """The members of a complete JSON object as (key, value) entries, values as variants; null for anything else.
+
+    With a ``depth``, members of objects come in their place, under the names on their way joined by points.
+    """
+    out = F.map_entries(F.from_json(F.when(F.ltrim(text).startswith("{"), complete_json(text)), "map<string,variant>"))
+
+    def opened(e: Column) -> Column:
+        inside = F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>"))
+        return F.when(F.size(inside) > 0, F.transform(inside, lambda m: F.struct(F.concat(e["key"], F.lit("."), m["key"]).alias("key"), m["value"].alias("value")))).otherwise(F.array(e))
+
+    for _ in range(depth - 1):
+        out = F.flatten(F.transform(out, opened))
+    return out
 
 
 def _keyed(lines: DataFrame, group: str, file_no: str, *more: Column) -> DataFrame:
@@ -64,18 +79,18 @@ def _group(lines: DataFrame, group: str) -> Column:
     return F.from_json("g", f"v {lines.schema[group].dataType.simpleString()}")["v"].alias(group)
 
 
-def _schemas(lines: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
+def _schemas(lines: DataFrame, group: str, file_no: str, text: str, depth: int) -> DataFrame:
     """``g, f, name, kind``: one row per file and field, with the greatest of its types (places in ``_TYPES``) that isn't null.
 
     Readable is a complete JSON object; null, blank and broken lines are not.
     A record whose key is written twice has both values.
     """
-    kinds = F.transform(_members(F.col(text)), lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree")))
+    kinds = F.transform(_members(F.col(text), depth), lambda e: F.struct(e["key"].alias("name"), F.call_function("schema_of_variant", e["value"]).alias("tree")))
     each = _keyed(lines, group, file_no, F.inline(kinds))
     return each.groupBy("g", "f", "name").agg(F.max(_kind(F.col("tree"))).alias("kind"))
 
 
-def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, text: str) -> DataFrame:
+def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, text: str, depth: int) -> DataFrame:
     """``g, pair, side, id, name, content, tree`` of the wanted fields: of one annotation the greatest content, values that are null left out.
 
     ``wanted``: ``g, f, pair, side, names``; only the lines of its files are
@@ -83,7 +98,7 @@ def _contents(lines: DataFrame, wanted: DataFrame, group: str, file_no: str, tex
     """
     w = wanted.select(F.col("g").alias("wg"), F.col("f").alias("wf"), "pair", "side", "names")
     at = _keyed(lines, group, file_no, F.col(text).alias("t"))
-    hit = at.join(w, (at["g"] == w["wg"]) & (at["f"] == w["wf"])).select("g", "pair", "side", "names", _members(F.col("t")).alias("m"))
+    hit = at.join(w, (at["g"] == w["wg"]) & (at["f"] == w["wf"])).select("g", "pair", "side", "names", _members(F.col("t"), depth).alias("m"))
     written = lambda e: plain_content(F.to_json(e["value"]))
     kept = F.filter("m", lambda e: F.array_contains("names", e["key"]))
     rows = hit.select(
@@ -111,13 +126,13 @@ def _file_pairs(schemas: DataFrame) -> DataFrame:
     return files.select("g", "f", "now", F.row_number().over(w).alias("rank"), F.lag("f").over(w).alias("pf"), F.lag("now").over(w).alias("before"))
 
 
-def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> tuple[DataFrame, DataFrame]:
-    """The changes, and the lineage of each field: what ``changes`` and ``unified`` share."""
-    schemas = materialise(_schemas(lines, group, file_no, text), "drift-schemas")
+def analyse(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line", depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The changes, and the lineage of each field: what ``changes``, ``edits`` and ``unified`` share."""
+    schemas = materialise(_schemas(lines, group, file_no, text, depth), "drift-schemas")
     pairs = materialise(_file_pairs(schemas).withColumns({"gone": F.array_except("before", "now"), "new": F.array_except("now", "before")}), "drift-pairs")
     both = pairs.where("size(gone) > 0 AND size(new) > 0")
     sides = [both.select("g", F.col(at).alias("f"), F.col("f").alias("pair"), F.lit(at).alias("side"), F.col(c).alias("names")) for at, c in (("pf", "gone"), ("f", "new"))]
-    values = materialise(_contents(lines, sides[0].unionByName(sides[1]), group, file_no, text), "drift-values")
+    values = materialise(_contents(lines, sides[0].unionByName(sides[1]), group, file_no, text, depth), "drift-values")
     trees = values.groupBy("g", F.col("pair").alias("f"), "name").agg(F.max("tree").alias("tree")).groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("name", "tree"))).alias("trees"))
     met = values.where("id <> ''").groupBy("g", "pair", "id").agg(*[
         F.collect_list(F.when(F.col("side") == at, F.struct("name", "content"))).alias(at) for at in ("pf", "f")
@@ -179,6 +194,19 @@ def changes(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     return analyse(lines, group, file_no, text)[0].distinct()
 
 
+def edits(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line", depth: int = DEPTH) -> DataFrame:
+    """Every edit of the nested schema between a file and the writer's nearest earlier file: ``changes`` of paths, with moves.
+
+    A path is the names of the objects around a field and its own, joined by
+    points, ``depth`` levels at most. ``moved``: gone under one object and in
+    another (or at the top) with the same content, as for ``renamed``, which is
+    of one object. A field that is wrapped in an object moves into it.
+    """
+    around = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
+    moved = (F.col("change_kind") == "renamed") & (around("old_name") != around("new_name"))
+    return analyse(lines, group, file_no, text, depth)[0].withColumn("change_kind", F.when(moved, "moved").otherwise(F.col("change_kind"))).distinct()
+
+
 #: The fields of an annotation record and the types of the common table.
 COLUMNS = {
     "id": "bigint", "code": "int", "border": "string", "holes": "string", "parent_superpixel": "bigint",
@@ -228,6 +256,16 @@ def _plans(line: DataFrame) -> DataFrame:
     return each.groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("name", "called"))).alias("plan"))
 
 
+def _moved(line: DataFrame) -> DataFrame:
+    """``g, f, moved``: for each file the map from columns to the paths of nested fields whose lineage they are."""
+    known = F.create_map(*[F.lit(x) for column, others in ALIASES.items() for other in others for x in (other, column)])
+    first = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col("rank")))
+    column = F.coalesce(first(F.when(F.col("name").isin(*COLUMNS), F.col("name"))), first(F.element_at(known, F.col("name"))))
+    lineages = line.groupBy("g", "root_id").agg(column.alias("column")).where("column IS NOT NULL")
+    paths = line.where("instr(name, '.') > 0").join(lineages, ["g", "root_id"]).groupBy("g", "f", "column").agg(F.min("name").alias("path"))
+    return paths.groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct("column", "path"))).alias("moved"))
+
+
 def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", text: str = "raw_line") -> DataFrame:
     """All readable records as one table with one set of columns.
 
@@ -235,15 +273,20 @@ def unified(lines: DataFrame, group: str = "writer", file_no: str = "file_no", t
     field names to the names of their lineages (see ``_plans``). Columns of
     ``COLUMNS`` are cast to their types (nested lists as JSON text); every other
     field is kept in the map ``extras``, and so is, under the column's name, a
-    value that its column can't hold as a whole, so no value is lost. Repeats of
-    a line stay.
+    value that its column can't hold as a whole, so no value is lost. A field
+    that moved into an object is found there by its lineage over moves (see
+    ``edits``), where its column would be empty; the object stays in ``extras``.
+    Repeats of a line stay.
     """
-    plan = _plans(analyse(lines, group, file_no, text)[1])
+    plan = _plans(analyse(lines, group, file_no, text)[1]).join(_moved(analyse(lines, group, file_no, text, DEPTH)[1]), ["g", "f"], "left")
     rows = _keyed(lines, group, file_no, F.col("line_no"), complete_json(F.col(text)).alias("t")).where("t IS NOT NULL AND ltrim(t) LIKE '{%'").join(plan, ["g", "f"])
     # Of a key that a record has twice the last value counts, as it does for JSON readers.
     entries = rows.withColumn("m", F.map_entries(F.from_json("t", "map<string,string>"))).withColumn("k", F.transform("m", lambda e: e["key"]))
     last = F.filter("m", lambda e, i: ~F.array_contains(F.slice("k", i + 2, F.size("k")), e["key"]))
-    named = entries.select("g", "f", "line_no", F.map_from_entries(F.transform(last, lambda e: F.struct(F.element_at("plan", e["key"]), e["value"]))).alias("v"))
+    named = entries.select("g", "f", "line_no", "t", "moved", F.map_from_entries(F.transform(last, lambda e: F.struct(F.element_at("plan", e["key"]), e["value"]))).alias("v"))
+    at = lambda path: F.call_function("get_json_object", F.col("t"), F.concat(F.lit("$['"), F.replace(path, F.lit("."), F.lit("']['")), F.lit("']")))
+    found = F.map_filter(F.transform_values("moved", lambda _, path: at(path)), lambda c, value: value.isNotNull() & ~F.map_contains_key("v", c))
+    named = named.withColumn("v", F.when(F.col("moved").isNull(), F.col("v")).otherwise(F.map_concat("v", found)))
 
     def inner(raw: Column, key: str) -> Column:
         """What an object holds under its only key, else the value itself."""

@@ -43,6 +43,10 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "annotation_lines"))
 
 
+def p5_edits(spark: SparkSession, d: str) -> DataFrame:
+    return drift.edits(table(spark, d, "annotation_lines"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["run_dir", "checkpoint_index", "scribble_id"]
     rows = compact.state_records(table(spark, d, "state_files"))
@@ -55,7 +59,7 @@ def p6_manifest(spark: SparkSession, d: str) -> DataFrame:
     return compact.consolidate(compact.state_records(table(spark, d, "state_files")), keys)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p4_found, p4_runs, p4_scribbles, p5_found, p5_unified, p6_found, p6_manifest)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p4_found, p4_runs, p4_scribbles, p5_found, p5_unified, p5_edits, p6_found, p6_manifest)}
 
 _NEWEST = """newest AS (SELECT image, method, id, max(CASE WHEN parents IS NULL OR len(parents) = 0 THEN {'t': ingested_at, 'p': NULL} ELSE {'t': ingested_at, 'p': parents[-1]} END).p AS parent
  FROM superpixels WHERE id IS NOT NULL GROUP BY ALL),

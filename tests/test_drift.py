@@ -2,7 +2,7 @@ import json
 
 from tests.conftest import rows
 from tessela.functions.schematree import assign, distance, parse_type, script
-from tessela.operators.drift import changes, unified
+from tessela.operators.drift import changes, edits, unified
 
 SCHEMA = "writer string, file_no int, line_no int, raw_line string, g string, name string"
 
@@ -56,6 +56,24 @@ def test_rename_with_values_on_one_side_only(spark):
     assert found(lines(spark, {1: none[0], 2: none[1]})) == {(2, "removed", "old", ""), (2, "added", "", "new")}
 
 
+def test_moves_and_nested_edits(spark):
+    rec = lambda i, **kv: {"id": i, **kv}
+    files = {
+        1: [rec(i, score=0.5 * i, code=i + 1, meta={"a": {"x": f"t{i}"}, "n": i * 7}, empty={}) for i in range(4)],
+        2: [rec(i, meta={"a": {"y": f"t{i}"}, "n": i * 7, "score": 0.5 * i}, code=i + 1, empty={}) for i in range(4)],  # score into meta, x renamed
+        4: [rec(i, meta={"n": i * 7}, y=f"t{i}", box={"score": 0.5 * i, "new": 1}, code={"value": i + 1}, empty={}) for i in range(4)],  # out of and between objects, wrapped
+    }
+    df = lines(spark, files)
+    got = {(r.file_no, r.change_kind, r.old_name, r.new_name) for r in edits(df).collect()}
+    assert got == {
+        (2, "moved", "score", "meta.score"), (2, "renamed", "meta.a.x", "meta.a.y"), (4, "moved", "meta.a.y", "y"), (4, "moved", "meta.score", "box.score"), (4, "moved", "code", "code.value"), (4, "added", "", "box.new"),
+    }
+    assert edits(df.limit(0)).count() == 0
+    out = {(r.file_no, r.id): r for r in unified(df).collect()}
+    assert len(out) == 12 and all(out[f, i].propagation_score == 0.5 * i and out[f, i].code == i + 1 for f in (1, 2, 4) for i in range(4))
+    assert json.loads(out[4, 2].extras["box"]) == {"score": 1.0, "new": 1}
+
+
 def test_records_without_id(spark):
     files = {1: [{"a": 1}, {"id": 2, "a": 5}, {}], 2: [{"b": 1}, {"id": 2, "b": 5}]}
     assert found(lines(spark, files)) == {(2, "renamed", "a", "b")}
