@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 ROWS, BYTES = 512, 2 << 20  # of a piece at most; a single longer text is a piece of its own
 
@@ -22,3 +23,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = ROWS, s
             end = min(max(end, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it is so small and in so few files that half of them would have nothing to do.
+
+    Only a scan's estimate and its list of files are looked at. Larger tables
+    are read where they lie, and no text of theirs is ever moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > part * cores // 2 or len(df.inputFiles()) > cores // 2:
+        return df
+    return df.repartition(cores)

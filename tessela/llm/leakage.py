@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessela.llm.batches import pieces
+from tessela.llm.batches import pieces, spread
 from tessela.llm.markup import flat_words
 
 LEAST_WORDS, PER_EDIT, EDITS = 20, 10, 3
@@ -237,7 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     held = items.where("passage IS NOT NULL AND item_id IS NOT NULL").groupBy("passage").agg(F.collect_set(F.col("item_id").cast("long")).alias("items"))
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(id_col, text_col).where(F.length(text_col) >= LEAST_WORDS)
+    source = spread(docs.select(id_col, text_col).where(F.length(text_col) >= LEAST_WORDS))
 
     def blocks() -> Iterator[list[tuple[list[int], list[bytes]]]]:
         part, size = [], 0

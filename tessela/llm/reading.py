@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessela.llm.batches import pieces
+from tessela.llm.batches import pieces, spread
 from tessela.llm.prose import FUNCTION_WORDS, prose
 from tessela.storage import materialise
 
@@ -201,7 +201,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 seen.clear()
         yield rows()
 
-    return docs.select(text_col).where(F.length(text_col) > 0).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(text_col).where(F.length(text_col) > 0)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
@@ -239,4 +239,4 @@ def reading_levels(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", t
             cols = [pa.array([g[j] for _, g in found], t) for j, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int32()))]
             yield pa.RecordBatch.from_arrays([keys, *cols], names=["doc_id", "n_words", "score", "grade_level"])
 
-    return docs.select(id_col, text_col).where(F.length(text_col) > 0).mapInArrow(run, f"doc_id {kind}, n_words int, score double, grade_level int")
+    return spread(docs.select(id_col, text_col).where(F.length(text_col) > 0)).mapInArrow(run, f"doc_id {kind}, n_words int, score double, grade_level int")

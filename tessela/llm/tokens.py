@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessela.llm.batches import pieces
+from tessela.llm.batches import pieces, spread
 
 #: The folder of public vocabularies; a parameter of every function.
 FOLDER = os.environ.get("TESSELA_TOKENIZERS", "/opt/tokenizers")
@@ -164,7 +164,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER) -> DataFrame:

@@ -47,3 +47,17 @@ def test_tables(spark, ranks, reference, monkeypatch):
     assert {r.doc_id: r.text for r in tokens.decode(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert tokens.encode(df.limit(0)).count() == 0
     assert tokens.token_counts(encoded).selectExpr("sum(n)").first()[0] == sum(map(len, got.values()))
+
+
+def test_small_tables_are_spread_and_large_ones_stay(spark, tmp_path):
+    from tessela.llm.batches import spread
+
+    spark.range(100).selectExpr("id AS doc_id", "cast(id AS string) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    wide = spread(df)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(wide.collect()) == sorted(df.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        assert spread(df) is df
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
