@@ -110,3 +110,11 @@ def present_classes(series: DataFrame, present: DataFrame | None = None) -> Data
     kept = series.join(present.select("class").distinct().withColumn("in_mask", F.lit(True)), "class", "left").join(real.withColumn("is_real", F.lit(True)), "class", "left")
     shown = F.when(F.col("any"), F.coalesce("in_mask", F.lit(False))).otherwise(F.coalesce("is_real", F.lit(False)))
     return kept.join(F.broadcast(any_held)).where(shown).select(*series.columns)  # one row
+
+
+def merged_classes(sets: DataFrame, order: list[str]) -> DataFrame:
+    """``code, name, rgb`` of several named class sets (``set, code, ..``) in one: of a code in more than one the row of the later set counts."""
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("set"))
+    names = [c for c in sets.columns if c not in ("set", "code")]
+    best = sets.where(F.col("set").isin(*order)).groupBy("code").agg(F.max_by(F.struct(*names), F.struct(place, *names)).alias("b"))
+    return best.select("code", "b.*")

@@ -48,3 +48,19 @@ def round_ring(ring: Column, digits: int = 7) -> Column:
 def pulse(frame: Column, count: int) -> Column:
     """A smooth rise from 0 to 1 over the frames."""
     return 0.5 - 0.5 * F.cos(math.pi * frame / max(1, count - 1))
+
+
+def wkt_line(points: Column) -> Column:
+    """A line of points (structs x, y) as well-known text; EMPTY without points, null for null."""
+    body = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ")
+    return F.when(F.size(points) > 0, F.concat(F.lit("LINESTRING ("), body, F.lit(")"))).when(points.isNotNull(), "LINESTRING EMPTY")
+
+
+def wkt_polygon(border: Column, holes: Column) -> Column:
+    """A border and its holes as well-known text, rings closed; EMPTY without a border, null for null."""
+    def ring(r: Column) -> Column:
+        closed = F.when(F.get(r, F.lit(0)) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+        return F.concat(F.lit("("), F.array_join(F.transform(closed, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")"))
+
+    inner = F.transform(F.filter(F.coalesce(holes, F.slice(F.array(border), 1, 0)), lambda h: F.size(h) > 0), ring)
+    return F.when(F.size(border) > 0, F.concat(F.lit("POLYGON ("), F.array_join(F.concat(F.array(ring(border)), inner), ", "), F.lit(")"))).when(border.isNotNull(), "POLYGON EMPTY")

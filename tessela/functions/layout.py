@@ -115,3 +115,17 @@ def command(program: Sequence[str], named: Column, flags: Column | None = None)
     pairs = F.flatten(F.transform(F.filter(F.array_sort(F.map_entries(named)), lambda e: e["value"].isNotNull()), lambda e: F.array(F.concat(F.lit("--"), e["key"]), e["value"])))
     parts = [F.array(*[F.lit(p) for p in program]), F.coalesce(pairs, F.array().cast("array<string>"))]
     return F.concat(*parts, *([F.transform(flags, lambda f: F.concat(F.lit("--"), f))] if flags is not None else []))
+
+
+def write_manifest(specs: DataFrame, root: str, path: str) -> None:
+    """The moves as one JSON document with their root, written as a text file; a report, so one file."""
+    one = specs.agg(F.array_sort(F.collect_list(F.struct("source", "target", "reason"))).alias("moves"))
+    one.select(F.to_json(F.struct(F.lit(root).alias("repo_root"), "moves")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def scripts(files: DataFrame, root: str, inner: tuple[str, ...] = ()) -> DataFrame:
+    """``script``: Python and shell files right below a root, and Python files right below its folders ``inner``, once each."""
+    rel = relative(F.col("path"), root)
+    top = rel.rlike(r"^[^/]+\.(py|sh)$")
+    deep = _any([rel.rlike(f"^{i}/[^/]+\\.py$") for i in inner]) if inner else F.lit(False)
+    return files.select(F.when(top | deep, rel).alias("script")).where("script IS NOT NULL").distinct()

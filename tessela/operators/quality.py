@@ -143,3 +143,9 @@ def adjacency(df: DataFrame, label: str = "sp") -> DataFrame:
     near = df.select("image", F.col(label).alias("a"), F.lead(label).over(row).alias("right"), F.lead(label).over(col).alias("below"))
     pairs = near.select("image", "a", F.explode(F.array("right", "below")).alias("b")).where("a <> b")
     return pairs.groupBy("image", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+
+
+def mean_over_images(rows: DataFrame, metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by.., n_images`` and the mean of each metric over images, null and NaN left out."""
+    means = [F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in metrics]
+    return rows.groupBy(*by).agg(F.count_distinct("image").alias("n_images"), *means)

@@ -229,3 +229,27 @@ def neighbour_cells(df: DataFrame, nx: int, ny: int) -> DataFrame:
     out = df.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
     x, y = F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy")
     return out.withColumns({"cell": y * nx + x, "inside": (x >= 0) & (x < nx) & (y >= 0) & (y < ny)})
+
+
+def principal_direction(points: DataFrame, by: tuple[str, ...], quantile: float = 0.8) -> DataFrame:
+    """``by.., dx, dy``: the main direction of the core of each group of ``x, y, dist``, weighted by ``dist``; (1, 0) if it has none.
+
+    The core is what lies at least as deep as the quantile of the depths; a core
+    of one point gives way to the whole group. The direction points to the right,
+    straight down if it is upright.
+    """
+    c = F.col
+    cut = points.groupBy(*by).agg(F.percentile("dist", F.lit(quantile)).alias("cut"), F.count(F.lit(1)).alias("all"))
+    marked = points.join(cut, list(by)).withColumn("core", c("dist") >= c("cut"))
+    size = marked.groupBy(*by).agg(F.count_if("core").alias("n_core"))
+    rows = marked.join(size, list(by)).where((c("n_core") < 2) | c("core")).withColumn("w", F.greatest(c("dist"), F.lit(1e-6)))
+    s = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), (F.sum(c("w") * c("x")) / F.sum("w")).alias("mx"), (F.sum(c("w") * c("y")) / F.sum("w")).alias("my"),
+        F.sum(c("w") * c("x") * c("x")).alias("xx"), F.sum(c("w") * c("y") * c("y")).alias("yy"), F.sum(c("w") * c("x") * c("y")).alias("xy"),
+    )
+    a, d, b = c("xx") - c("sw") * c("mx") ** 2, c("yy") - c("sw") * c("my") ** 2, c("xy") - c("sw") * c("mx") * c("my")
+    angle = F.atan2(2 * b, a - d) / 2
+    flat = (c("n") < 2) | (F.greatest(a, d) <= 1e-12)
+    dx, dy = F.cos(angle), F.sin(angle)
+    turn = F.when((dx < -1e-12) | ((F.abs(dx) <= 1e-12) & (dy < 0)), -1).otherwise(1)
+    return s.select(*by, F.when(flat, 1.0).otherwise(dx * turn).alias("dx"), F.when(flat, 0.0).otherwise(dy * turn).alias("dy"))

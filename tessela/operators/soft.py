@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessela.storage import discard, materialise
 
 EPS = 1e-6  # fixed value: what keeps means of empty segments finite
+PLACE, COLOUR = 2.5, 0.75  # fixed values: the weights of place and colour in local logits
 
 
 def grid_shape(width: Column, height: Column, count: int) -> tuple[Column, Column]:
@@ -129,11 +130,16 @@ def variation(pixels: DataFrame, feature: str, guide: list[str], steep: float =
 
 
 def local_logits(pixels: DataFrame, colours: list[str], count: int) -> DataFrame:
-    """``image, x, y, k, seg, logit``: minus the distance in colour to a candidate's mean and in cells to its centre."""
+    """``image, x, y, k, seg, logit``: minus the weighted distances in colour to a candidate's mean and in cells to its centre."""
     dims = pixels.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     at = cells(pixels, count)
     near = distances(candidates(at).join(dims, "image"), centroids(at, colours), colours)
     sx, sy = F.col("w") / F.col("nx"), F.col("h") / F.col("ny")
     cx, cy = (F.col("seg") % F.col("nx") + 0.5) * sx, (F.floor(F.col("seg") / F.col("nx")) + 0.5) * sy
     spatial = ((F.col("x") - cx) / F.greatest(sx, F.lit(1.0))) ** 2 + ((F.col("y") - cy) / F.greatest(sy, F.lit(1.0))) ** 2
-    return near.select("image", "x", "y", "k", "seg", (-(F.col("d") + spatial)).alias("logit"))
+    return near.select("image", "x", "y", "k", "seg", (-(PLACE * spatial + COLOUR * F.col("d"))).alias("logit"))
+
+
+def assignment(logits: DataFrame) -> DataFrame:
+    """Adds ``a``: the softmax of a pixel's local logits; candidates outside of the grid aren't there and so have none of it."""
+    return affinity(logits.withColumn("d", -F.col("logit"))).drop("d")

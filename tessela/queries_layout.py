@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessela.functions import colour, layout, prompts
-from tessela.operators import bench, events, regions, soft
+from tessela.functions import colour, geometry, layout, prompts
+from tessela.operators import bench, events, quality, raster, regions, soft
 from tessela.plans import relations as rel
 from tessela.queries_bench import STEPS
 from tessela.queries_data import _OPEN
-from tessela.queries_regions import GRID
+from tessela.queries_regions import _CLS, GRID
 from tessela.sources import logs, masks, states
 from tessela.sources.tables import table
 
@@ -241,7 +241,7 @@ def total_variation(spark, d):
     return _r(soft.variation(_features(spark, d), "f1", ["f0", "f2"]), "tv")
 
 
-@query("WITH " + _CELL + """, lg AS (SELECT image, k, -(pow(f0 - m0, 2) + pow(f1 - m1, 2)) - pow((x - (seg % nx + 0.5) * w / nx) / greatest(w / nx, 1.0), 2) - pow((y - (seg // nx + 0.5) * h / ny) / greatest(h / ny, 1.0), 2) AS l
+@query("WITH " + _CELL + """, lg AS (SELECT image, k, -0.75 * (pow(f0 - m0, 2) + pow(f1 - m1, 2)) - 2.5 * (pow((x - (seg % nx + 0.5) * w / nx) / greatest(w / nx, 1.0), 2) + pow((y - (seg // nx + 0.5) * h / ny) / greatest(h / ny, 1.0), 2)) AS l
  FROM ca JOIN m0 m USING (image, seg)) SELECT image, CAST(k AS INTEGER) AS k, count(*) AS n, round(sum(l), 4) AS total FROM lg GROUP BY ALL""")
 def local_logits(spark, d):
     out = soft.local_logits(_features(spark, d), _F, 12).groupBy("image", "k")
@@ -475,3 +475,61 @@ def state_roundtrip(spark, d):
     again = states.states(states.documents(states.full_items(first), first.select("record_id", "width", "height")))
     items = states.full_items(again).where("part <> 'scribbles' AND method IS NOT NULL AND ltrim(item) LIKE '{%'")
     return items.groupBy("record_id", "part", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Small reports
+
+_CM = _CLS + """, a AS (SELECT image, sum(CASE WHEN gt = pred THEN n ELSE 0 END) / sum(n) AS acc FROM cm GROUP BY ALL), im AS (SELECT image, acc, avg(tp / (tp + fp + fn)) AS miou FROM cl JOIN a USING (image) GROUP BY image, acc)"""
+
+
+@query("WITH " + _CELL + """, lg AS (SELECT image, x, y, seg, -0.75 * (pow(f0 - m0, 2) + pow(f1 - m1, 2)) - 2.5 * (pow((x - (seg % nx + 0.5) * w / nx) / greatest(w / nx, 1.0), 2) + pow((y - (seg // nx + 0.5) * h / ny) / greatest(h / ny, 1.0), 2)) AS l
+ FROM ca JOIN m0 m USING (image, seg)), e AS (SELECT image, x, y, seg, exp(l - max(l) OVER (PARTITION BY image, x, y)) AS e FROM lg), a AS (SELECT image, seg, e / sum(e) OVER (PARTITION BY image, x, y) AS a FROM e) SELECT image, CAST(seg AS INTEGER) AS seg, round(sum(a), 4) AS weight FROM a GROUP BY ALL""")
+def local_assignment(spark, d):
+    a = soft.assignment(soft.local_logits(_features(spark, d), _F, 12))
+    return _r(a.groupBy("image", "seg").agg(F.sum("a").alias("weight")), "weight", to=4)
+
+
+@query("WITH " + GRID + """, p AS (SELECT image, gt, x, y, (x * 7 + y * 3) % 11 + 1.0 AS dist FROM grid WHERE sp % 5 = 0), q AS (SELECT image, gt, quantile_cont(dist, 0.8) AS cut FROM p GROUP BY ALL), k AS (SELECT p.* FROM p JOIN q USING (image, gt) WHERE dist >= cut),
+m AS (SELECT image, gt, count(*) AS n, sum(dist) AS w, sum(dist * x) / sum(dist) AS mx, sum(dist * y) / sum(dist) AS my FROM k GROUP BY ALL), v AS (SELECT k.image, k.gt, sum(dist * (x - mx) * (x - mx)) AS a, sum(dist * (y - my) * (y - my)) AS d, sum(dist * (x - mx) * (y - my)) AS b FROM k JOIN m USING (image, gt) WHERE n >= 2 GROUP BY ALL)
+SELECT image, gt, round(abs(cos(atan2(2 * b, a - d) / 2)), 4) AS dx, round(abs(sin(atan2(2 * b, a - d) / 2)), 4) AS dy FROM v""")
+def principal_directions(spark, d):
+    g = rel.grid(spark, d).where("sp % 5 = 0").select("image", "gt", "x", "y", ((F.col("x") * 7 + F.col("y") * 3) % 11 + 1.0).alias("dist"))
+    out = raster.principal_direction(g, ("image", "gt"))
+    return _r(out.select("image", "gt", F.abs("dx").alias("dx"), F.abs("dy").alias("dy")), "dx", "dy", to=4)
+
+
+@query("""WITH s AS (SELECT 'S' || (n_regionkey % 3 + 1) AS s, n_nationkey % 9 AS code, n_name AS name FROM nation WHERE n_regionkey < 4) SELECT code, arg_max(name, {'s': s, 'n': name}) AS name FROM s WHERE s IN ('S1', 'S2') GROUP BY code""")
+def merged_classes(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey < 4").select(F.concat(F.lit("S"), (F.col("n_regionkey") % 3 + 1).cast("string")).alias("set"), (F.col("n_nationkey") % 9).alias("code"), F.col("n_name").alias("name"))
+    return colour.merged_classes(n, ["S1", "S2"])
+
+
+@query("""WITH f AS (SELECT '/r/' || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'app/' ELSE 'app/deep/' END || p_brand || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.sh' ELSE '.md' END AS p FROM part)
+SELECT DISTINCT substr(p, 4) AS script FROM f WHERE regexp_matches(p, '^/r/[^/]+\\.(py|sh)$') OR regexp_matches(p, '^/r/app/[^/]+\\.py$')""")
+def script_files(spark, d):
+    c = F.col
+    folder = F.when(c("p_size") % 3 == 0, "").when(c("p_size") % 3 == 1, "app/").otherwise("app/deep/")
+    end = F.when(c("p_partkey") % 3 == 0, ".py").when(c("p_partkey") % 3 == 1, ".sh").otherwise(".md")
+    return layout.scripts(table(spark, d, "part").select(F.concat(F.lit("/r/"), folder, "p_brand", end).alias("path")), "/r", ("app",))
+
+
+@query("""WITH t AS (SELECT user_id AS run, count(*) AS n, sum(event_id) AS total FROM events GROUP BY 1) SELECT run, CAST(CASE WHEN run % 4 = 0 THEN 0 ELSE total END AS DOUBLE) AS ms FROM t""")
+def profile_totals(spark, d):
+    t = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.sum("event_id").alias("total"))
+    text = F.when(F.col("run") % 4 == 0, F.lit("forward 3 ms\nTOTAL none")).otherwise(F.concat(F.lit("stage 5.0 ms\n  TOTAL 1.0 ms\n  TOTAL time:   "), F.col("total").cast("string"), F.lit(" ms\nend")))
+    return t.select("run", logs.total_ms(text).alias("ms"))
+
+
+@query("""SELECT p_partkey AS id, 'POLYGON ((' || p_size || ' 0, ' || p_size || ' 2, 0 2, ' || p_size || ' 0)' || CASE WHEN p_partkey % 2 = 0 THEN ', (1 1, 2 1, 1 2, 1 1)' ELSE '' END || ')' AS wkt, 'LINESTRING (' || p_size || ' 0, 1 1)' AS line FROM part""")
+def well_known_texts(spark, d):
+    pt = lambda x, y: F.struct(x.cast("int").alias("x"), F.lit(y).alias("y"))
+    one, two, size = F.lit(1), F.lit(2), F.col("p_size")
+    hole = F.array(pt(one, 1), pt(two, 1), pt(one, 2))
+    holes = F.when(F.col("p_partkey") % 2 == 0, F.array(hole))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), geometry.wkt_polygon(F.array(pt(size, 0), pt(size, 2), pt(F.lit(0), 2)), holes).alias("wkt"), geometry.wkt_line(F.array(pt(size, 0), pt(one, 1))).alias("line"))
+
+
+@query("WITH " + _CM + """ SELECT count(DISTINCT image) AS n_images, round(avg(acc), 6) AS accuracy, round(avg(miou), 6) AS miou FROM im""")
+def mean_over_images(spark, d):
+    per = quality.summary(quality.confusion(rel.pixels(spark, d).where("valid"), by=("image",)), ("image",))
+    return _r(quality.mean_over_images(per, ["accuracy", "miou"]), "accuracy", "miou")

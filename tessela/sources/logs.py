@@ -90,3 +90,10 @@ def finished(files: DataFrame) -> DataFrame:
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/[^/]*$", "")
     marks = files.select(folder.alias("run_dir"), name.alias("n")).groupBy("run_dir").agg(F.bool_or(F.col("n") == "interactive_log.json").alias("a"), F.bool_or(F.col("n") == "summary_metrics.json").alias("b"))
     return marks.where("a AND b").select("run_dir")
+
+
+def total_ms(text: Column) -> Column:
+    """The last total of a profile's text, in milliseconds; 0 where there is none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^.*TOTAL.*?(\S+)[ \t]+\S*ms\S*[ \t]*$"), F.lit(1))
+    numbers = F.filter(F.transform(found, lambda v: v.try_cast("double")), lambda v: v.isNotNull())
+    return F.coalesce(F.get(numbers, F.size(numbers) - 1), F.lit(0.0))
