@@ -253,3 +253,34 @@ def principal_direction(points: DataFrame, by: tuple[str, ...], quantile: float
     dx, dy = F.cos(angle), F.sin(angle)
     turn = F.when((dx < -1e-12) | ((F.abs(dx) <= 1e-12) & (dy < 0)), -1).otherwise(1)
     return s.select(*by, F.when(flat, 1.0).otherwise(dx * turn).alias("dx"), F.when(flat, 0.0).otherwise(dy * turn).alias("dy"))
+
+
+def discs(points: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+    """``image, x, y``: the pixels at most ``radius`` (one at least) from a point ``image, x, y`` in pixels, within the image's ``w, h``, each once."""
+    r = max(1, int(radius))
+    side = F.sequence(F.lit(-r - 1), F.lit(r + 1))
+    at = points.select("image", F.col("x").alias("px"), F.col("y").alias("py")).dropna().join(sizes.select("image", "w", "h"), "image")
+    rows = at.withColumn("x", F.explode(F.transform(side, lambda i: (F.floor("px") + i).cast("int")))).withColumn("y", F.explode(F.transform(side, lambda i: (F.floor("py") + i).cast("int"))))
+    near = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= r * r
+    return rows.where(near & (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") < F.col("h"))).select("image", "x", "y").distinct()
+
+
+def split_holes(mask: np.ndarray, least: int = 100) -> list[np.ndarray]:
+    """The mask in parts without holes: cut along the main axis of its largest hole, parts of components below ``least`` pixels dropped, until none is left."""
+    done, todo = [], [mask > 0]
+    while todo:
+        m = todo.pop()
+        inner = holes(m)
+        if not inner.any():
+            if m.any():
+                done.append(m)
+            continue
+        y, x = np.nonzero(inner == np.bincount(inner.ravel())[1:].argmax() + 1)
+        axis = np.linalg.svd(np.stack([x - x.mean(), y - y.mean()], 1), full_matrices=False)[2][0] if len(x) > 1 else np.array([1.0, 0.0])
+        yy, xx = np.indices(m.shape)
+        across = -(xx - x.mean()) * axis[1] + (yy - y.mean()) * axis[0]
+        for half in (m & (across < 0.5), m & (across >= -0.5)):
+            kept = drop_small(half, least) > 0
+            if kept.any():
+                todo.append(kept)
+    return done

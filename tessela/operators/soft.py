@@ -143,3 +143,27 @@ def local_logits(pixels: DataFrame, colours: list[str], count: int) -> DataFrame
 def assignment(logits: DataFrame) -> DataFrame:
     """Adds ``a``: the softmax of a pixel's local logits; candidates outside of the grid aren't there and so have none of it."""
     return affinity(logits.withColumn("d", -F.col("logit"))).drop("d")
+
+
+def handcrafted(pixels: DataFrame) -> DataFrame:
+    """``image, x, y, h0..h7`` of pixels with ``l, a, b``: the scaled colours, the slopes of lightness across and down, the slope of the colour axes, and the place from 0 to 1.
+
+    Slopes are half the difference of both neighbours, at an edge the difference
+    to the only one, 0 without any.
+    """
+    dims = pixels.groupBy("image").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    lab = pixels.select("image", "x", "y", (F.col("l") / 100).alias("h0"), (F.col("a") / 128).alias("h1"), (F.col("b") / 128).alias("h2"))
+
+    def slope(c: str, axis: str) -> Column:
+        w = Window.partitionBy("image", "y" if axis == "x" else "x").orderBy(axis)
+        before, after = F.lag(c).over(w), F.lead(c).over(w)
+        return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col(c)).when(after.isNull(), F.col(c) - before).otherwise((after - before) / 2)
+
+    out = lab.withColumns({"h3": slope("h0", "x"), "h4": slope("h0", "y"), "da": slope("h1", "y"), "db": slope("h2", "x")}).join(dims, "image")
+    share = lambda at, top: F.when(F.col(top) > 0, F.col(at) / F.col(top)).otherwise(0.0)
+    return out.select("image", "x", "y", "h0", "h1", "h2", "h3", "h4", F.sqrt(F.col("da") ** 2 + F.col("db") ** 2).alias("h5"), share("x", "mx").alias("h6"), share("y", "my").alias("h7"))
+
+
+def fitted(features: list[str], size: int) -> list[Column]:
+    """``size`` features: the first ones, or all over and over, named f0 and so on."""
+    return [F.col(features[i % len(features)]).alias(f"f{i}") for i in range(size)]

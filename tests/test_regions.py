@@ -123,3 +123,11 @@ def test_soft_assignment_equals_brute_force(spark):
     tv = (np.abs(np.diff(f[0], axis=1)) * np.exp(-4 * np.abs(np.diff(f[1], axis=1)))).mean() + (np.abs(np.diff(f[0], axis=0)) * np.exp(-4 * np.abs(np.diff(f[1], axis=0)))).mean()
     assert soft.variation(df, "f0", ["f1"]).first().tv == pytest.approx(tv, abs=1e-9)
     assert soft.assign(df.limit(0), ["f0", "f1"], n, 1).count() == 0
+
+
+def test_masks_with_holes_are_split():
+    m = np.ones((40, 40), int)
+    m[10:14, 8:30] = m[25:28, 25:28] = 0
+    parts = raster.split_holes(m, 20)
+    assert len(parts) >= 3 and all(not raster.holes(p).any() for p in parts) and (np.any(parts, axis=0) == (m > 0)).all()
+    assert raster.split_holes(np.zeros((3, 3))) == [] and len(raster.split_holes(np.ones((3, 3)))) == 1
