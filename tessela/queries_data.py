@@ -104,9 +104,12 @@ UNION SELECT record_id, 'anno_scribble', parent, json_extract_string(c, '$') FRO
 ob AS (SELECT record_id, e, row_number() OVER (PARTITION BY record_id ORDER BY i) - 1 AS position FROM ps2 WHERE json_type(e) = 'OBJECT')
 SELECT DISTINCT record_id, CAST(position AS INTEGER) AS position, json_extract_string(e, '$.id') AS scribble_id, TRY_CAST(json_extract_string(e, '$.params.code') AS INTEGER) AS code, TRY_CAST(json_extract_string(e, '$.params.radius') AS DOUBLE) AS radius,
  CAST(coalesce({points_sql("json_extract(e, '$.points')")}, 0) AS INTEGER) AS n_points FROM ob""",
-    "p6_found": f"""WITH f AS (SELECT regexp_replace(path, '/+', '/', 'g') AS p, checkpoint_index AS ci, content FROM state_files WHERE content IS NOT NULL),
-o AS (SELECT p, ci, unnest(regexp_extract_all(content, '{_RE_RECORD}')) AS r FROM f), v AS (SELECT p, ci, CAST(r AS JSON) AS r FROM o WHERE json_valid(r)),
-e AS (SELECT p, ci, unnest(CASE WHEN json_type(json_extract(r, '$.scribbles')) = 'ARRAY' THEN json_extract(r, '$.scribbles[*]') ELSE [r] END) AS r FROM v)
+    # Whole texts and whole lines are parsed as JSON; only what is cut off in a list is searched with a pattern.
+    "p6_found": f"""WITH f AS (SELECT regexp_replace(path, '/+', '/', 'g') AS p, checkpoint_index AS ci, regexp_replace(regexp_replace(content, '^[^\\[{{]*', ''), '\\s+$', '') AS c FROM state_files WHERE content IS NOT NULL),
+k AS (SELECT *, json_valid(c) AS whole, starts_with(c, '[') OR regexp_matches(c, '^\\{{\\s*"scribbles"') AS listed FROM f), ln AS (SELECT p, ci, trim(unnest(regexp_split_to_array(c, '[\\r\\n]+'))) AS c FROM k WHERE NOT whole AND NOT listed),
+j AS (SELECT p, ci, CAST(c AS JSON) AS r FROM k WHERE whole UNION ALL SELECT p, ci, CAST(c AS JSON) FROM ln WHERE json_valid(c)
+ UNION ALL SELECT p, ci, CAST(r AS JSON) FROM (SELECT p, ci, unnest(regexp_extract_all(c, '{_RE_RECORD}')) AS r FROM k WHERE NOT whole AND listed) WHERE json_valid(r)),
+e AS (SELECT p, ci, unnest(CASE WHEN json_type(r) = 'ARRAY' THEN json_extract(r, '$[*]') WHEN json_type(json_extract(r, '$.scribbles')) = 'ARRAY' THEN json_extract(r, '$.scribbles[*]') ELSE [r] END) AS r FROM j)
 SELECT DISTINCT regexp_extract(p, 'interactive_runs/(.*)/[^/]*$', 1) AS run_dir, CAST(coalesce(ci, TRY_CAST(regexp_extract(p, '/[^/.]*?([0-9]+)(?:\\.[^/]*)?$', 1) AS INTEGER), -1) AS INTEGER) AS checkpoint_index, CAST(json_extract_string(r, '$.id') AS INTEGER) AS scribble_id
-FROM e WHERE json_extract_string(r, '$.id') IS NOT NULL""",
+FROM e WHERE json_type(r) = 'OBJECT' AND json_extract_string(r, '$.id') IS NOT NULL""",
 }
