@@ -175,3 +175,20 @@ def documents(items: DataFrame, heads: DataFrame) -> DataFrame:
         F.lit(',"superpixels":'), members("superpixels", lambda x: x["body"]), F.lit(',"annotations":'), members("annotations", lambda x: x["body"]), F.lit("}"),
     )
     return heads.select("record_id", "width", "height").join(doc, "record_id", "left").withColumn("all", F.coalesce("all", F.array().cast(doc.schema["all"].dataType))).select("record_id", text.alias("doc_json"))
+
+
+def to_documents(sp: DataFrame, an: DataFrame, by: str = "record_id") -> DataFrame:
+    """From flat tables: one JSON document for each ``by``, with items by method in the order of their ids, and counts as checks.
+
+    Holds the columns of the tables only; ``documents`` keeps items whole.
+
+    One document is one row, as large as the image it describes.
+    """
+    def nest(df: DataFrame, name: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in (by, "method")]
+        one = df.groupBy(by, "method").agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in cols if c != "id"]))).alias("items"))
+        return one.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "items")))).alias(name), F.sum(F.size("items")).alias(f"n_{name}"))
+
+    both = nest(sp, "superpixels").join(nest(an, "annotations"), by, "full")
+    meta = F.struct(F.lit(MAGIC).alias("magic"), F.lit(VERSION).alias("version"), F.struct(F.coalesce("n_superpixels", F.lit(0)).alias("n_superpixels"), F.coalesce("n_annotations", F.lit(0)).alias("n_annotations")).alias("checks"))
+    return both.select(by, F.to_json(F.struct(meta.alias("_meta"), "superpixels", "annotations")).alias("doc_json"))
