@@ -6,25 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPAN = 1 << 16  # steps of a run that are ordered together
+
+
+def _with_before(steps: DataFrame, totals: dict[str, Column], carried: dict[str, Column]) -> tuple[DataFrame, Window]:
+    """``steps`` with, for each name, what all spans of its run before its own carry over, and the window within a span.
+
+    A run is cut into spans of ``SPAN`` steps, each ordered by itself; only the
+    spans' totals, a few numbers each, are ordered by run. So no run of any
+    length is one task. ``totals`` are aggregates of a span (their columns are
+    called as in ``carried``), ``carried`` makes one of all before.
+    """
+    at = steps.withColumn("span", F.floor(F.col("step") / SPAN))
+    per = at.groupBy("run", "span").agg(*[c.alias(n) for n, c in totals.items()])
+    earlier = Window.partitionBy("run").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("run", "span", *[c.over(earlier).alias(f"before_{n}") for n, c in carried.items()])
+    key = lambda df: df.withColumnsRenamed({"run": "of_run", "span": "of_span"})
+    b = key(before)
+    joined = at.join(b, at["run"].eqNullSafe(b["of_run"]) & at["span"].eqNullSafe(b["of_span"]), "left").drop("of_run", "of_span")
+    return joined, Window.partitionBy("run", "span").orderBy("step")
+
+
 def running_cost(steps: DataFrame) -> DataFrame:
     """Adds ``n_scribbles`` and ``total_ink`` up to each step of its run."""
-    w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"n_scribbles": F.count(F.lit(1)).over(w), "total_ink": F.sum("ink").over(w)})
+    at, w = _with_before(steps, {"n": F.count(F.lit(1)), "ink_": F.sum("ink")}, {"n": F.sum("n"), "ink_": F.sum("ink_")})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ink = F.coalesce(F.sum("ink").over(upto) + F.coalesce("before_ink_", F.lit(0.0)), F.sum("ink").over(upto), F.col("before_ink_"))
+    out = at.withColumns({"n_scribbles": F.count(F.lit(1)).over(upto) + F.coalesce("before_n", F.lit(0)), "total_ink": ink})
+    return out.select(*steps.columns, "n_scribbles", "total_ink")
 
 
 def progress(steps: DataFrame, score: str = "miou") -> DataFrame:
-    """Adds ``progress``: whether the score rose over the step before (true at the first)."""
-    before = F.lag(score).over(Window.partitionBy("run").orderBy("step"))
-    return steps.withColumn("progress", F.coalesce(F.col(score) > before, F.lit(True)))
+    """Adds ``progress``: whether the score rose over the step before (true at the first, and after a null)."""
+    last = F.max(F.struct("step", F.col(score).alias("s")))
+    at, w = _with_before(steps, {"last": last}, {"last": F.last("last")})
+    before = F.when(F.row_number().over(w) == 1, F.col("before_last.s")).otherwise(F.lag(score).over(w))
+    return at.withColumn("progress", F.coalesce(F.col(score) > before, F.lit(True))).select(*steps.columns, "progress")
 
 
 def stalls(steps: DataFrame) -> DataFrame:
-    """Adds ``stall``: how many steps in a row brought no progress, by gaps and islands."""
+    """Adds ``progress`` and ``stall``: how many steps in a row brought no progress."""
     p = progress(steps)
-    w = Window.partitionBy("run").orderBy("step")
-    p = p.withColumn("island", F.sum(F.col("progress").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("run", "island").orderBy("step")
-    return p.withColumn("stall", F.row_number().over(inside) - 1).drop("island")
+    at, w = _with_before(p, {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
+    at = at.withColumn("nth", F.row_number().over(w) + F.coalesce("before_n", F.lit(0)))
+    # The last step with progress up to each step: in its span, else in an earlier one; the first step of a run has it.
+    marks = at.groupBy("run", "span").agg(F.max(F.when(F.col("progress"), F.col("nth"))).alias("mark"))
+    earlier = Window.partitionBy("run").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    m = marks.select(F.col("run").alias("of_run"), F.col("span").alias("of_span"), F.max("mark").over(earlier).alias("before_mark"))
+    at = at.join(m, at["run"].eqNullSafe(m["of_run"]) & at["span"].eqNullSafe(m["of_span"]), "left")
+    own = F.max(F.when(F.col("progress"), F.col("nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    stall = (F.col("nth") - F.coalesce(own, F.col("before_mark"))).cast("int")
+    return at.withColumn("stall", stall).select(*p.columns, "stall")
 
 
 def ema(steps: DataFrame, keep: float = 0.9, score: str = "miou") -> DataFrame:
@@ -44,9 +76,13 @@ def last_update(events: DataFrame, by: list[str], order: list[Column], value: st
 
 
 def undo_last(events: DataFrame, n: int = 1) -> DataFrame:
-    """The events of each run without its last n."""
-    back = F.row_number().over(Window.partitionBy("run").orderBy(F.col("step").desc()))
-    return events.withColumn("back", back).where(F.col("back") > n).drop("back")
+    """The events of each run without its last n; events of one step go together.
+
+    Each partition keeps n rows a run for the cut, whatever a run's length.
+    """
+    nth = F.row_number().over(Window.partitionBy("run").orderBy(F.col("step").desc()))
+    cut = events.select("run", "step").withColumn("back", nth).where(F.col("back") <= n).groupBy(F.col("run").alias("of_run")).agg(F.min("step").alias("cut"))
+    return events.join(cut, events["run"].eqNullSafe(cut["of_run"])).where("step < cut").drop("of_run", "cut")
 
 
 def snapshot_changes(events: DataFrame) -> DataFrame:

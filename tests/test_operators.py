@@ -129,6 +129,27 @@ def test_stalls_and_ema(spark):
     assert abs(events.ema(df).first().ema - e) < 1e-12
 
 
+def test_logs_longer_than_a_span(spark, monkeypatch):
+    rnd = random.Random(6)
+    data = [(r, i, rnd.choice([0.1, 0.2, 0.3, None]), float(rnd.randrange(5))) for r in (1, 2, None) for i in range(40 if r == 1 else 7)]
+    df = spark.createDataFrame(data, "run int, step int, miou double, ink double")
+    want = {}
+    for r in (1, 2, None):
+        total, stall, before = 0.0, 0, None
+        for n, (_, i, m, ink) in enumerate((x for x in data if x[0] == r), 1):
+            total += ink
+            rose = n == 1 or m is None or before is None or m > before
+            stall = 0 if rose else stall + 1
+            want[r, i] = n, total, rose, stall
+            before = m
+    for span in (1, 3, 8, 1 << 16):
+        monkeypatch.setattr(events, "SPAN", span)
+        cost = {(r.run, r.step): (r.n_scribbles, r.total_ink) for r in events.running_cost(df).collect()}
+        rest = {(r.run, r.step): (r.progress, r.stall) for r in events.stalls(df).collect()}
+        assert {k: (*cost[k], *rest[k]) for k in want} == want and len(cost) == len(want)
+    assert {(r.run, r.step) for r in events.undo_last(df, 2).collect()} == {(r, i) for r, i, _, _ in data if i < (38 if r == 1 else 5)}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", 0.5, None), ("b", float("nan"), 1.0)], "name string, x double, y double")
     got = {r["name"]: (r.x, r.y) for r in bench.with_mean_row(df, "name", ("x", "y")).collect()}
