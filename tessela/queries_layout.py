@@ -542,13 +542,13 @@ def _slope_sql(c: str, axis: str) -> str:
 
 @query("WITH " + GRID + f""", p AS (SELECT image, x, y, sp % 101 / 100 AS h0, gt * 40 / 128 AS h1, (sp % 7 - 3) * 20 / 128 AS h2 FROM grid),
 s AS (SELECT *, {_slope_sql('h0', 'x')} AS h3, {_slope_sql('h0', 'y')} AS h4, {_slope_sql('h1', 'y')} AS da, {_slope_sql('h2', 'x')} AS db FROM p), d AS (SELECT image, max(x) AS mx, max(y) AS my FROM p GROUP BY image)
-SELECT image, round(sum(h3 * h3), 4) AS across, round(sum(h4 * h4), 4) AS down, round(sum(sqrt(da * da + db * db)), 4) AS colour, round(avg(x / mx), 6) AS x, round(avg(y / my), 6) AS y FROM s JOIN d USING (image) GROUP BY image""")
+SELECT image, round(sum(h3 * h3), 7) AS across, round(sum(h4 * h4), 7) AS down, round(sum(sqrt(da * da + db * db)), 7) AS colour, round(avg(x / mx), 6) AS x, round(avg(y / my), 6) AS y FROM s JOIN d USING (image) GROUP BY image""")
 def handcrafted_features(spark, d):
     c = F.col
     px = rel.grid(spark, d).select("image", "x", "y", (c("sp") % 101).alias("l"), (c("gt") * 40).alias("a"), ((c("sp") % 7 - 3) * 20).alias("b"))
     h = soft.handcrafted(px).select("image", *soft.fitted([f"h{i}" for i in range(8)], 8)).groupBy("image")
     out = h.agg(F.sum(c("f3") ** 2).alias("across"), F.sum(c("f4") ** 2).alias("down"), F.sum("f5").alias("colour"), F.avg("f6").alias("x"), F.avg("f7").alias("y"))
-    return _r(_r(out, "across", "down", "colour", to=4), "x", "y")
+    return _r(_r(out, "across", "down", "colour", to=7), "x", "y")
 
 
 @query("WITH " + _DIMS + """, p AS (SELECT image, x + 0.25 AS px, y + 0.5 AS py FROM grid WHERE sp % 40 = 0) SELECT g.image, count(*) AS n, CAST(sum(g.x + 3 * g.y) AS BIGINT) AS places FROM (SELECT d.image, xs.x, ys.y FROM dims d, LATERAL (SELECT unnest(range(d.w)) AS x) xs, LATERAL (SELECT unnest(range(d.h)) AS y) ys) g
