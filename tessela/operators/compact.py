@@ -157,7 +157,9 @@ def state_records(files: DataFrame) -> DataFrame:
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder's address, and its path there."""
+    """The file system of a folder's address, and its path there; addresses without a scheme, or of ``file:``, are local paths."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -385,7 +387,8 @@ def consolidate(
     system, folder = _file_system(out)
     system.create_dir(folder)
     schema = to_arrow_schema(df.schema)
-    found = [f for f in _file_system(runs)[0].get_file_info(fs.FileSelector(_file_system(runs)[1])) if f.path.endswith(".parquet")]
+    runs_system, runs_folder = _file_system(runs)
+    found = [f for f in runs_system.get_file_info(fs.FileSelector(runs_folder)) if f.path.endswith(".parquet")]
     total = sum(f.size for f in found)
     ranges = max(1, round(total / (_FILES * target_bytes)))
     bounds: list[tuple] = []
@@ -395,8 +398,7 @@ def consolidate(
         sample = some.where(F.pmod(F.col(_SPREAD), F.lit(share)) == 0).orderBy(*order).toArrow()
         picked = sorted({round(i * sample.num_rows / ranges) for i in range(1, ranges)} - {0, sample.num_rows})
         bounds = _sort_keys(sample.take(pa.array(picked, pa.int64())), keys)
-    prefix = runs[: len(runs) - len(_file_system(runs)[1])]
-    files = spark.createDataFrame([(prefix + f.path,) for f in found], "path string")
+    files = spark.createDataFrame([(f"{runs}/{f.base_name}",) for f in found], "path string")
     tasks = max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism, 10_000))
     slices = files.repartition(tasks).mapInArrow(_slices(keys, bounds), "range int, path string, first long, n long, width long")
     plan = slices.groupBy("range").agg(F.collect_list(F.struct("path", "first", "n", "width")).alias("slices")).repartition(ranges, "range")

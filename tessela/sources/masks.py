@@ -114,7 +114,7 @@ def write_masks(pixels: DataFrame, folder: str, code: str = "code") -> DataFrame
         a = np.zeros((y.max() + 1, x.max() + 1), np.uint8)
         a[y, x] = v
         data, name = encode_png(a), str(pdf["image"].iloc[0]).rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
         system.create_dir(at)
         with system.open_output_stream(f"{at}/{name}.png") as f:
             f.write(data)

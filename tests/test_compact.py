@@ -83,6 +83,12 @@ def test_merge_of_runs_is_sorted_rolled_by_bytes_and_keeps_copies(spark):
     assert sum(0.8 * 400_000 <= f.bytes <= 1.2 * 400_000 for f in files_made) >= 0.9 * len(files_made)
 
 
+def test_addresses_of_folders():
+    from tessela.operators.compact import _file_system
+
+    assert {_file_system(a)[1] for a in ("/a/b", "file:/a/b", "file:///a/b")} == {"/a/b"}
+
+
 def test_empty(spark):
     path, made = consolidate(state_records(files(spark, [])), KEYS)
     assert made.count() == 0
