@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.storage import materialise, remove, scratch_path, write_counted
+from tessela.storage import discard, materialise, remove, scratch_path, write_counted
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -78,12 +78,14 @@ def relabel(df: DataFrame, label: str = "sp") -> DataFrame:
 
 def _clean(limit: int, threshold: float | None = None, ratio: float = 0.0):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One image's region labels, cleaned in the order of the regions; later components see earlier changes."""
+        """The changed labels of one image's regions with few neighbours of their label, in the order of the regions; later components see earlier changes."""
         label = dict(zip(pdf["sp"], pdf["label"]))
-        near = {sp: list(zip(v, w)) for sp, v, w in zip(pdf["sp"], pdf["near"], pdf["weight"])}
+        links, fixed, moving = (dict(zip(pdf["sp"], pdf[c])) for c in ("links", "fixed", "moving"))
+        stands = dict(zip(pdf["sp"], pdf["open"]))
         if threshold is not None:
-            known = {sp: (n, n * conf, stands) for sp, n, conf, stands in zip(pdf["sp"], pdf["n"], pdf["conf"], pdf["label"] != pdf["base"])}
+            known = {sp: (n, n * conf, changed) for sp, n, conf, changed in zip(pdf["sp"], pdf["n"], pdf["conf"], pdf["label"] != pdf["base"])}
         done: set[int] = set()
+        new: dict[int, int] = {}
         for start in sorted(label):
             if start in done:
                 continue
@@ -92,11 +94,11 @@ def _clean(limit: int, threshold: float | None = None, ratio: float = 0.0):
             while todo:
                 u = todo.pop()
                 part.append(u)
-                for v, _ in near[u]:
-                    if v in label and v not in done and label[v] == own:
+                for v in links[u]:
+                    if v not in done:
                         done.add(v)
                         todo.append(v)
-            if len(part) > limit:
+            if len(part) > limit or any(stands[u] for u in part):
                 continue
             if threshold is not None:
                 size, sure, changed = zip(*(known[u] for u in part))
@@ -104,38 +106,70 @@ def _clean(limit: int, threshold: float | None = None, ratio: float = 0.0):
                     continue
             votes: dict[int, int] = {}
             for u in part:
-                for v, w in near[u]:
-                    if v in label and label[v] != own:
+                for other, w in fixed[u]:
+                    votes[other] = votes.get(other, 0) + w
+                for v, w in moving[u]:
+                    if label[v] != own:
                         votes[label[v]] = votes.get(label[v], 0) + w
             if votes:
                 best, most = max(votes.items(), key=lambda x: (x[1], -x[0]))
                 if most >= ratio * sum(votes.values()):
                     label.update(dict.fromkeys(part, best))
-        out = pdf[["image", "sp", "label"]].copy()
-        out["clean"] = out["sp"].map(label).astype("int32")
-        return out
+                    new.update(dict.fromkeys(part, best))
+        return pd.DataFrame({"image": pdf["image"].iloc[:1].repeat(len(new)), "sp": list(new), "clean": list(new.values())})
 
     return run
 
 
-def _with_neighbours(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    near = mirrored(edges).groupBy("image", F.col("u").alias("sp")).agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("e"))
-    side = lambda name: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast("array<bigint>"))
-    return labels.join(near, ["image", "sp"], "left").withColumns({"near": side("v"), "weight": side("w")}).drop("e")
+def _pairs(when: Column, a: str, b: str) -> Column:
+    """The pairs of two columns where ``when`` holds, in order, each as an array of two."""
+    return F.sort_array(F.collect_list(F.when(when, F.array(F.col(a).cast("bigint"), F.col(b).cast("bigint")))))
 
 
-def _cleaned(rows: DataFrame, run) -> DataFrame:
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("image").applyInPandas(run, f"image {kinds['image']}, sp {kinds['sp']}, label {kinds['label']}, clean int")
+def _cleaned(labels: DataFrame, edges: DataFrame, limit: int, run) -> DataFrame:
+    """``image, sp, label, clean``, with what can change decided by ``run``.
+
+    A region that isn't done still has its first label, so the components are those
+    of the first labels, and those of more than ``limit`` regions never change.
+    A region with ``limit`` neighbours of its label is in such a one. Only the others
+    are gathered by image, each with at most ``limit`` - 1 neighbours of its label;
+    what surrounds them counts as a sum by label, or if it may change too, by region.
+    """
+    c, extra = F.col, [x for x in labels.columns if x not in ("image", "sp", "label")]
+    labels = materialise(labels, "labels")
+    of = lambda sp, label: labels.select("image", c("sp").alias(sp), c("label").alias(label))
+    known = materialise(edges.join(of("v", "lv"), ["image", "v"]).join(of("u", "lu"), ["image", "u"]).select("image", "u", "v", "w", "lu", "lv"), "known")
+    ends = known.where("lu = lv").select("image", F.explode(F.array("u", "v")).alias("sp"))
+    large = ends.groupBy("image", "sp").agg(F.count(F.lit(1)).alias("same")).where(c("same") >= limit)
+    few = materialise(labels.join(large, ["image", "sp"], "left_anti"), "few")
+    sides = [
+        known.select("image", c(a).alias("sp"), c(b).alias("v"), "w", c(f"l{a}").alias("own"), c(f"l{b}").alias("other")).join(few.select("image", "sp"), ["image", "sp"], "left_semi")
+        for a, b in (("u", "v"), ("v", "u"))
+    ]
+    may = few.select("image", c("sp").alias("v"), F.lit(True).alias("may"))
+    around = sides[0].unionByName(sides[1]).join(may, ["image", "v"], "left").select("*", (c("own") == c("other")).alias("same"), F.when(~F.coalesce("may", F.lit(False)), c("other")).alias("fixed"))
+    # Neighbours that can't change are summed up by label first.
+    summed = around.groupBy("image", "sp", "same", "fixed", F.when(c("fixed").isNull(), c("v")).alias("v")).agg(F.sum("w").alias("w"))
+    same, still = F.coalesce("same", F.lit(False)), c("fixed").isNotNull()
+    near = summed.groupBy("image", "sp").agg(
+        F.bool_or(same & still).alias("open"), F.sort_array(F.collect_list(F.when(same & ~still, c("v").cast("bigint")))).alias("links"),
+        _pairs(~same & still, "fixed", "w").alias("fixed"), _pairs(~same & ~still, "v", "w").alias("moving"),
+    )
+    none = {"open": F.lit(False), "links": F.array().cast("array<bigint>"), "fixed": F.array().cast("array<array<bigint>>"), "moving": F.array().cast("array<array<bigint>>")}
+    rows = few.select("image", "sp", "label", *extra).join(near, ["image", "sp"], "left").withColumns({name: F.coalesce(name, empty) for name, empty in none.items()})
+    kinds = dict(labels.dtypes)
+    changed = materialise(rows.where("sp IS NOT NULL").groupBy("image").applyInPandas(run, f"image {kinds['image']}, sp {kinds['sp']}, clean int"), "changed")
+    discard(known, few)
+    return labels.select("image", "sp", "label").join(changed, ["image", "sp"], "left").withColumn("clean", F.coalesce("clean", c("label").cast("int")))
 
 
 def cleanup(labels: DataFrame, edges: DataFrame, limit: int = 2) -> DataFrame:
     """Components of equal label of at most ``limit`` regions take the label with most support around them.
 
-    Sequential by definition, so one image's region graph is one group; it holds
-    regions, not pixels, and is as large as an image has regions.
+    Sequential by definition, so those of one image's regions that can change are one
+    group; large components and pixels are never gathered.
     """
-    return _cleaned(_with_neighbours(labels.select("image", "sp", "label"), edges), _clean(limit))
+    return _cleaned(labels.select("image", "sp", "label"), edges, limit, _clean(limit))
 
 
 def cleanup_conservative(labels: DataFrame, edges: DataFrame, limit: int = 3, threshold: float = 0.75, ratio: float = 0.6) -> DataFrame:
@@ -145,4 +179,4 @@ def cleanup_conservative(labels: DataFrame, edges: DataFrame, limit: int = 3, th
     and ``conf``. A component changes if its mean confidence by pixels is below
     ``threshold`` and the best label around has at least ``ratio`` of the support.
     """
-    return _cleaned(_with_neighbours(labels.select("image", "sp", "label", "base", "n", "conf"), edges), _clean(limit, threshold, ratio))
+    return _cleaned(labels.select("image", "sp", "label", "base", "n", "conf"), edges, limit, _clean(limit, threshold, ratio))

@@ -111,6 +111,50 @@ def test_cleanup_is_sequential(spark):
     assert got == {0: 1, 1: 0, 2: 0, 3: 0, 9: 5}
 
 
+def test_cleanup_gathers_only_what_can_change(spark, monkeypatch):
+    def brute(label, w, limit):
+        label, done = dict(label), set()
+        for start in sorted(label):
+            part, todo, own = [], [] if start in done else [start], label[start]
+            while todo:
+                u = todo.pop()
+                if u not in done and label[u] == own:
+                    done.add(u)
+                    part.append(u)
+                    todo += [b for a, b in w if a == u]
+            near = {}
+            for (a, b), n in w.items():
+                if a in part and label[b] != own:
+                    near[label[b]] = near.get(label[b], 0) + n
+            if near and len(part) <= limit:
+                label.update(dict.fromkeys(part, max(near.items(), key=lambda x: (x[1], -x[0]))[0]))
+        return label
+
+    rnd = random.Random(4)
+    graphs = [({u: rnd.randrange(3) for u in range(30)}, {(u, v): rnd.randint(1, 4) for u in range(30) for v in range(u + 1, 30) if rnd.random() < share}) for share in (0.05, 0.1, 0.3)]
+    labels = spark.createDataFrame([(i, u, x) for i, (label, _) in enumerate(graphs) for u, x in label.items()], "image int, sp long, label int")
+    edges = spark.createDataFrame([(i, u, v, n) for i, (_, w) in enumerate(graphs) for (u, v), n in w.items()], "image int, u long, v long, w long")
+    for limit in (1, 3):
+        want = {(i, u, x) for i, (label, w) in enumerate(graphs) for u, x in brute(label, w | {(v, u): n for (u, v), n in w.items()}, limit).items()}
+        assert rows(graph.cleanup(labels, edges, limit), "image", "sp", "clean") == want
+
+    kernel = graph._clean
+
+    def watched(*args):
+        run = kernel(*args)
+
+        def few(pdf):
+            assert len(pdf) <= 2
+            return run(pdf)
+
+        return few
+
+    monkeypatch.setattr(graph, "_clean", watched)
+    labels = spark.createDataFrame([(1, u, int(u in (7, 9))) for u in range(40)], "image int, sp long, label int")
+    edges = spark.createDataFrame([(1, u, v, 1) for u in range(40) for v in range(u + 1, 40)], "image int, u long, v long, w long")
+    assert graph.cleanup(labels, edges, 2).where("clean = 0").count() == 40
+
+
 def test_boundaries_and_adjacency(spark):
     cells = [(1, x, y, int(x > 1), 0) for x in range(4) for y in range(3)]
     df = spark.createDataFrame(cells, "image int, x int, y int, sp int, gt int")
