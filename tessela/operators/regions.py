@@ -19,6 +19,7 @@ from tessela.operators.quality import adjacency
 from tessela.storage import discard, materialise
 
 STRIP = 64  # rows of an image that are searched together for distances
+PART_ROWS = 256  # rows of an image whose components are found together
 _SHIFT = 1 << 32  # the number of a run is its row times this plus its first column
 
 
@@ -227,6 +228,65 @@ def _holds(ring: list[tuple[float, float]], p: tuple[float, float]) -> bool:
     return inside
 
 
+def _parts(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each pixel of a strip, the place in the arrays of the first pixel by rows of its 4-connected component of equal value."""
+    order = np.lexsort((x, y))
+    x, y, value = x[order], y[order], value[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1]) | (value[1:] != value[:-1])
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    width = x.max() - x.min() + 2  # with a gap, so that rows don't run on
+    key = (y - y.min()) * width + x - x.min()
+    up = np.minimum(np.searchsorted(key, key - width), len(key) - 1)
+    touch = (key[up] == key - width) & (value[up] == value)
+    a, b = run[touch], run[up[touch]]
+    root = np.arange(len(first))
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        for side in (a, b):
+            np.minimum.at(now, root[side], low)
+            np.minimum.at(now, side, low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    out = np.empty(len(x), np.int64)
+    out[order] = order[first[root[run]]]
+    return out
+
+
+def largest_parts(pixels: DataFrame) -> DataFrame:
+    """The pixels ``image, x, y, label`` of each positive label's largest 4-connected component; of equal ones the leftmost, then topmost.
+
+    Strips of rows find their own components, those that touch across strips are
+    joined as a graph, so that only what crosses a border of strips is in rounds.
+    """
+    c = F.col
+    kinds = dict(pixels.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
+        at = _parts(x, y, pdf["label"].to_numpy())
+        return pdf[["image", "x", "y", "label"]].assign(part=y[at] * _SHIFT + x[at])
+
+    strips = pixels.where("label > 0").withColumn("strip", F.floor(c("y") / PART_ROWS)).groupBy("image", "strip")
+    own = materialise(strips.applyInPandas(run, f"image {kinds['image']}, x {kinds['x']}, y {kinds['y']}, label {kinds['label']}, part bigint"), "parts")
+    above = own.where(F.pmod(c("y"), F.lit(PART_ROWS)) == PART_ROWS - 1).select("image", "x", (c("y") + 1).alias("y"), "label", c("part").alias("v"))
+    links = materialise(own.where(F.pmod(c("y"), F.lit(PART_ROWS)) == 0).join(above, ["image", "x", "y", "label"]).select("image", c("part").alias("u"), "v").distinct(), "links")
+    ends = links.select("image", c("u").alias("node")).unionByName(links.select("image", c("v").alias("node")))
+    whole = graph.components(ends, links).select("image", c("node").alias("part"), "comp")
+    sizes = own.groupBy("image", "label", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y")).alias("first"))
+    joined = sizes.join(whole, ["image", "part"], "left").withColumn("comp", F.coalesce("comp", "part"))
+    whole_sizes = joined.groupBy("image", "label", "comp").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = whole_sizes.groupBy("image", "label").agg(F.min(F.struct((-c("n")).alias("n"), "first", "comp")).alias("b")).select("image", "label", c("b.comp").alias("comp"))
+    picked = materialise(joined.select("image", "label", "part", "comp").join(best, ["image", "label", "comp"]).select("image", "label", "part"), "picked")
+    out = materialise(own.join(picked, ["image", "label", "part"]).select(*pixels.columns), "largest")
+    discard(own, links, picked)
+    return out
+
+
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -234,26 +294,20 @@ def polygons(pixels: DataFrame, label: str = "label", box: tuple[float, float, f
     """``image, label, border, holes, area``: the largest polygon of each positive label, its holes kept, scaled into ``box``.
 
     Pixels that touch only in a corner are apart. Borders are closed, and hold
-    corners only. Areas are in pixels, holes taken off. The group is one label's outline.
+    corners only. Areas are in pixels, holes taken off; of equal ones the leftmost,
+    then topmost is taken. The group is the outline of that one polygon.
     """
-    dims = pixels.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    edges = outline_edges(pixels, label).join(dims, "image")
+    c, dims = F.col, pixels.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    own = largest_parts(pixels.select("image", "x", "y", c(label).alias("label")))
+    edges = outline_edges(own).join(dims, "image")
     kinds = dict(edges.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = rings_of(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["dx"].to_numpy(), pdf["dy"].to_numpy())
-        outer = [(r, []) for r in found if _area(r) > 0]
-        for r in found:
-            if _area(r) < 0:
-                a, b = r[0], r[1]
-                # A place just beside the hole's first edge, on the label's side.
-                side = (np.sign(b[0] - a[0]), np.sign(b[1] - a[1]))
-                p = (a[0] + 0.25 * side[0] - 0.25 * side[1], a[1] + 0.25 * side[1] + 0.25 * side[0])
-                holder = [o for o in outer if _holds(o[0], p)]
-                if holder:
-                    min(holder, key=lambda o: _area(o[0]))[1].append(r)
-        sized = [(_area(o) + sum(map(_area, inner)), o, inner) for o, inner in outer]
-        area, border, inner = max(sized, key=lambda s: (s[0], [-v for v in s[1][0]]))
+        # One component has one border; all other rings are its holes.
+        sized = [(_area(r), r) for r in found]
+        border, inner = next(r for size, r in sized if size > 0), [r for size, r in sized if size < 0]
+        area = sum(size for size, _ in sized)
         w, h = pdf["w"].iloc[0], pdf["h"].iloc[0]
         scaled = lambda r: [{"x": box[0] + x / w * (box[2] - box[0]), "y": box[1] + y / h * (box[3] - box[1])} for x, y in [*r, r[0]]]
         return pd.DataFrame({"image": [pdf["image"].iloc[0]], "label": [pdf["label"].iloc[0]], "border": [scaled(border)], "holes": [[scaled(r) for r in inner]], "area": [float(area)]})

@@ -77,6 +77,24 @@ def test_polygons_with_holes(spark):
     assert regions.polygons(rows_of(spark, "label", np.zeros((2, 2)))).count() == 0
 
 
+def test_only_the_largest_part_is_outlined(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a = rng.integers(1, 4, (40, 11))
+    a[3:35, 4] = 2  # across strips
+    monkeypatch.setattr(regions, "PART_ROWS", 8)
+    got = regions.largest_parts(rows_of(spark, "label", a)).collect()
+    for label in (1, 2, 3):
+        comp = raster.label_components((a == label).astype(int))
+        size = np.bincount(comp.ravel())[1:].max()
+        firsts = [(*min((x, y) for y, x in np.argwhere(comp == i)), i) for i in range(1, comp.max() + 1) if (comp == i).sum() == size]
+        assert {(r.x, r.y) for r in got if r.label == label} == {(x, y) for y, x in np.argwhere(comp == min(firsts)[2])}
+    outlined, seen = regions.outline_edges, []
+    monkeypatch.setattr(regions, "outline_edges", lambda px, *rest: seen.append(px.count()) or outlined(px, *rest))
+    dots = np.zeros((9, 9), int)
+    dots[::2, ::2], dots[0, 1] = 1, 1
+    assert [(r.area, len(r.border)) for r in regions.polygons(rows_of(spark, "label", dots)).collect()] == [(3.0, 5)] and seen == [3]
+
+
 def test_simplify_and_sanitise(spark):
     p = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (2.0, 2.0), (0.0, 2.05), (0.0, 0.0)]
     assert regions.simplified(p, 1e-10) == [(0, 0), (2, 0), (2, 2), (0, 2.05), (0, 0)] and len(regions.simplified(p, 0.5)) == 5 and regions.simplified(p[:2], 1) == p[:2]
