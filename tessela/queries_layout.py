@@ -118,8 +118,8 @@ t AS (SELECT g.*, list_filter(sx, lambda s: s <= x AND x < s + 24) AS tx, list_f
 SELECT image, CAST(sum(len(tx) * len(ty)) AS BIGINT) AS n, round(sum(list_avg(tx) + gt * list_avg(ty)), 3) AS total FROM t GROUP BY image""")
 def tiled_means(spark, d):
     t = masks.tiled(rel.grid(spark, d).select("image", "x", "y", "gt"), 24, 16).withColumn("v", F.col("tx") + F.col("gt") * F.col("ty"))
-    n = t.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-    return _r(masks.untiled(t, ["v"]).groupBy("image").agg(F.sum("v").alias("total")).join(n, "image"), "total", to=3)
+    means = masks.untiled(t, ["v"], "n").groupBy("image").agg(F.sum("v").alias("total"), F.sum("n").alias("n"))
+    return _r(means.select("image", "total", "n"), "total", to=3)
 
 
 # Distances and components

@@ -165,12 +165,15 @@ def tiled(pixels: DataFrame, size: int, stride: int) -> DataFrame:
 
     def starts(at: str, side: str) -> Column:
         last = F.greatest(F.col(side) - size, F.lit(0)).cast("bigint")
-        every = F.array_union(F.sequence(F.lit(0).cast("bigint"), last, F.lit(stride).cast("bigint")), F.array(last))
-        return F.filter(every, lambda s: (s <= F.col(at)) & (F.col(at) < s + size))
+        low, high = F.greatest(F.floor((F.col(at) - size) / stride) + 1, F.lit(0)), F.floor(F.least(F.col(at).cast("bigint"), last) / stride)
+        none = F.array().cast("array<bigint>")
+        every = F.when(high >= low, F.sequence(low * stride, high * stride, F.lit(stride).cast("bigint"))).otherwise(none)
+        return F.array_union(every, F.when((last <= F.col(at)) & (F.col(at) < last + size), F.array(last)).otherwise(none))
 
     return rows.withColumn("tx", F.explode(starts("x", "w"))).withColumn("ty", F.explode(starts("y", "h"))).drop("w", "h")
 
 
-def untiled(tiles: DataFrame, values: list[str]) -> DataFrame:
-    """``image, x, y`` with the mean over tiles of each value."""
-    return tiles.groupBy("image", "x", "y").agg(*[F.avg(v).alias(v) for v in values])
+def untiled(tiles: DataFrame, values: list[str], count: str | None = None) -> DataFrame:
+    """``image, x, y`` with the mean over tiles of each value; with ``count`` the number of tiles by that name."""
+    n = [F.count(F.lit(1)).alias(count)] if count else []
+    return tiles.groupBy("image", "x", "y").agg(*[F.avg(v).alias(v) for v in values], *n)

@@ -82,6 +82,15 @@ def test_resizing_padding_and_tiles(spark):
     assert {(r.x, r.y): r.v for r in masks.untiled(t, ["v"]).collect()}[3, 2] == 17 + 1.5
 
 
+def test_tiles_of_long_images(spark):
+    px = spark.range(3).select(F.lit(1).alias("image"), F.lit(0).alias("x"), (F.col("id") * 999_999_999).alias("y"))
+    for size, stride in ((4, 3), (2, 5), (7, 2), (5, 5)):  # a list of all starts would have hundreds of millions
+        last = 2 * 999_999_999 + 1 - size
+        want = {(y, s) for y in (0, 999_999_999, 1_999_999_998) for s in {*[v for v in range(max(0, y - size - stride), y + 1) if v % stride == 0 and v <= last], last} if s <= y < s + size}
+        assert rows(masks.tiled(px, size, stride), "y", "ty") == want
+    assert rows(masks.untiled(masks.tiled(px, 4, 3).withColumn("v", F.lit(2)), ["v"], "n").where("y = 0"), "v", "n") == {(2.0, 1)}
+
+
 def test_colours(spark):
     lab = value(spark, colour.rgb_to_lab(F.lit(1.0), F.lit(1.0), F.lit(1.0)))
     assert (round(lab.l, 6), lab.a, lab.b) == (100.0, 0.0, 0.0)
