@@ -7,30 +7,40 @@ repeats is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TOGETHER = 256  # equal boxes that are compared as one
+
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes (``id, x0, x1, y0, y1``) that overlap, borders included: ``a_id, b_id``.
+def box_join(a: DataFrame, b: DataFrame, cell: float, ordered: bool = False) -> DataFrame:
+    """Pairs of boxes (``id, x0, x1, y0, y1``) that overlap, borders included: ``a_id, b_id``; with ``ordered`` only those with ``a_id`` below ``b_id``.
 
     ``cell`` should be near the usual size of a box: then a box has few cells and
     a cell few boxes. A pair is kept in the cell of the low corner of its overlap.
-    Boxes with nulls overlap nothing.
+    Equal boxes are compared as one, ``TOGETHER`` of them at most, so the work is
+    that of the different boxes and of the pairs found. Boxes with nulls overlap nothing.
     """
+    sides = ("x0", "x1", "y0", "y1")
+
     def spread(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(*[F.col(c).alias(p + c) for c in ("id", "x0", "x1", "y0", "y1")]).dropna()
-        return named.where(f"{p}x0 <= {p}x1 AND {p}y0 <= {p}y1").withColumn("cx", F.explode(_cells(F.col(p + "x0"), F.col(p + "x1"), cell))).withColumn(
-            "cy", F.explode(_cells(F.col(p + "y0"), F.col(p + "y1"), cell))
-        )
+        known = df.select("id", *sides).dropna().where("x0 <= x1 AND y0 <= y1")
+        part = F.floor((F.row_number().over(Window.partitionBy(*sides).orderBy("id")) - 1) / TOGETHER)
+        same = known.withColumn("part", part).groupBy(*sides, "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        named = same.select(*[F.col(c).alias(p + c) for c in ("ids", *sides)])
+        return named.withColumn("cx", F.explode(_cells(F.col(p + "x0"), F.col(p + "x1"), cell))).withColumn("cy", F.explode(_cells(F.col(p + "y0"), F.col(p + "y1"), cell)))
 
     both = spread(a, "a_").join(spread(b, "b_"), ["cx", "cy"]).where("a_x0 <= b_x1 AND a_x1 >= b_x0 AND a_y0 <= b_y1 AND a_y1 >= b_y0")
     own = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("cy"))
-    return both.where(own).select("a_id", "b_id")
+    pairs = both.where(own)
+    if ordered:
+        pairs = pairs.where(F.col("a_ids")[0] < F.element_at("b_ids", -1))
+    each = pairs.select(F.explode("a_ids").alias("a_id"), "b_ids").select("a_id", F.explode("b_ids").alias("b_id"))
+    return each.where("a_id < b_id") if ordered else each
 
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:

@@ -415,7 +415,7 @@ _BOX = "boxes AS (SELECT p_partkey AS id, p_size / 50.0 AS x0, p_size / 50.0 + 0
 @query(f"WITH {_BOX} SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.id < b.id AND a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0")
 def bbox_overlap_pairs(spark, d):
     b = rel.boxes(spark, d)
-    return spatial.box_join(b, b, 0.04).where("a_id < b_id")
+    return spatial.box_join(b, b, 0.04, ordered=True)
 
 
 _EMB = "e AS (SELECT vec_id AS sp, label AS code, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS emb FROM embeddings), g AS (SELECT *, emb[1] AS cx, emb[2] AS cy FROM e)"

@@ -18,6 +18,14 @@ def test_box_join_equals_brute_force(spark):
     assert rows(spatial.box_join(df, df, 0.3)) == want
 
 
+def test_equal_boxes_are_compared_as_one(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TOGETHER", 4)
+    boxes = [(i, i % 3 * 1.0, i % 3 + 1.0 - i % 2 / 4, 0.0, 1.0) for i in range(40)]
+    df = spark.createDataFrame(boxes, "id int, x0 double, x1 double, y0 double, y1 double")
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[2] and a[2] >= b[1]}
+    assert rows(spatial.box_join(df, df, 0.3, ordered=True)) == want
+
+
 def test_radius_join_equals_brute_force(spark):
     rnd = random.Random(2)
     pts = [(i, rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for i in range(150)]
