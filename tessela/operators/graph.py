@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.storage import discard, materialise, remove, scratch_path, write_counted
+from tessela.storage import discard, made, materialise, remove, scratch_path, write_counted
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def mirrored(edges: DataFrame) -> DataFrame:
     return edges.select("image", "w", F.inline(F.array(pair("u", "v"), pair("v", "u")))).select("image", "u", "v", "w")
 
 
+def per_region(rows: DataFrame) -> DataFrame:
+    """Rows of one a region, for a join with edges or pixels: these are hashed, so that the many edges or pixels needn't be sorted."""
+    return rows.hint("shuffle_hash")
+
+
 def smooth(scores: DataFrame, edges: DataFrame, steps: int, alpha: float, k: int = 3) -> DataFrame:
     """``steps`` rounds of (1-a) s + a (weighted mean of neighbours), normalised each round.
 
@@ -79,51 +84,52 @@ def relabel(df: DataFrame, label: str = "sp") -> DataFrame:
 def _clean(limit: int, threshold: float | None = None, ratio: float = 0.0):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """The changed labels of one image's regions with few neighbours of their label, in the order of the regions; later components see earlier changes."""
-        label = dict(zip(pdf["sp"], pdf["label"]))
-        links, fixed, moving = (dict(zip(pdf["sp"], pdf[c])) for c in ("links", "fixed", "moving"))
-        stands = dict(zip(pdf["sp"], pdf["open"]))
+        first = dict(zip(pdf["sp"], pdf["label"]))
+        around, near = (dict(zip(pdf["sp"], pdf[c])) for c in ("around", "near"))
         if threshold is not None:
             known = {sp: (n, n * conf, changed) for sp, n, conf, changed in zip(pdf["sp"], pdf["n"], pdf["conf"], pdf["label"] != pdf["base"])}
         done: set[int] = set()
         new: dict[int, int] = {}
-        for start in sorted(label):
+        for start in sorted(first):
             if start in done:
                 continue
-            own, part, todo = label[start], [], [start]
+            own, part, todo = first[start], [], [start]
             done.add(start)
+            stands = False
             while todo:
                 u = todo.pop()
                 part.append(u)
-                for v in links[u]:
+                links = [v for v, _ in near[u] if first[v] == own]
+                stands |= any(label == own and n > len(links) for label, n, _ in around[u])  # beside one that isn't here, in a large component
+                for v in links:
                     if v not in done:
                         done.add(v)
                         todo.append(v)
-            if len(part) > limit or any(stands[u] for u in part):
+            if len(part) > limit or stands:
                 continue
             if threshold is not None:
                 size, sure, changed = zip(*(known[u] for u in part))
                 if not any(changed) or sum(sure) / max(sum(size), 1) >= threshold:
                     continue
-            votes: dict[int, int] = {}
-            for u in part:
-                for other, w in fixed[u]:
-                    votes[other] = votes.get(other, 0) + w
-                for v, w in moving[u]:
-                    if label[v] != own:
-                        votes[label[v]] = votes.get(label[v], 0) + w
-            if votes:
-                best, most = max(votes.items(), key=lambda x: (x[1], -x[0]))
-                if most >= ratio * sum(votes.values()):
-                    label.update(dict.fromkeys(part, best))
+            votes: dict[int, list[int]] = {}
+            moved = [(label, n, w) for u in part for v, w in near[u] if v in new for label, n, w in ((first[v], -1, -w), (new[v], 1, w))]
+            for label, n, w in [*(x for u in part for x in around[u]), *moved]:
+                so_far = votes.setdefault(label, [0, 0])
+                so_far[0] += n
+                so_far[1] += w
+            support = {label: w for label, (n, w) in votes.items() if n and label != own}
+            if support:
+                best, most = max(support.items(), key=lambda x: (x[1], -x[0]))
+                if most >= ratio * sum(support.values()):
                     new.update(dict.fromkeys(part, best))
         return pd.DataFrame({"image": pdf["image"].iloc[:1].repeat(len(new)), "sp": list(new), "clean": list(new.values())})
 
     return run
 
 
-def _pairs(when: Column, a: str, b: str) -> Column:
-    """The pairs of two columns where ``when`` holds, in order, each as an array of two."""
-    return F.sort_array(F.collect_list(F.when(when, F.array(F.col(a).cast("bigint"), F.col(b).cast("bigint")))))
+def _lists(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``image, sp`` and all their rows as sorted arrays of the columns."""
+    return rows.groupBy("image", "sp").agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("bigint") for c in columns]))).alias(name))
 
 
 def _cleaned(labels: DataFrame, edges: DataFrame, limit: int, run) -> DataFrame:
@@ -132,34 +138,24 @@ def _cleaned(labels: DataFrame, edges: DataFrame, limit: int, run) -> DataFrame:
     A region that isn't done still has its first label, so the components are those
     of the first labels, and those of more than ``limit`` regions never change.
     A region with ``limit`` neighbours of its label is in such a one. Only the others
-    are gathered by image, each with at most ``limit`` - 1 neighbours of its label;
-    what surrounds them counts as a sum by label, or if it may change too, by region.
+    are gathered by image, each with the sums of what surrounds it by label, and with
+    those neighbours that may change too. Edges are never written again with labels.
     """
     c, extra = F.col, [x for x in labels.columns if x not in ("image", "sp", "label")]
-    labels = materialise(labels, "labels")
-    of = lambda sp, label: labels.select("image", c("sp").alias(sp), c("label").alias(label))
-    known = materialise(edges.join(of("v", "lv"), ["image", "v"]).join(of("u", "lu"), ["image", "u"]).select("image", "u", "v", "w", "lu", "lv"), "known")
-    ends = known.where("lu = lv").select("image", F.explode(F.array("u", "v")).alias("sp"))
-    large = ends.groupBy("image", "sp").agg(F.count(F.lit(1)).alias("same")).where(c("same") >= limit)
-    few = materialise(labels.join(large, ["image", "sp"], "left_anti"), "few")
-    sides = [
-        known.select("image", c(a).alias("sp"), c(b).alias("v"), "w", c(f"l{a}").alias("own"), c(f"l{b}").alias("other")).join(few.select("image", "sp"), ["image", "sp"], "left_semi")
-        for a, b in (("u", "v"), ("v", "u"))
-    ]
-    may = few.select("image", c("sp").alias("v"), F.lit(True).alias("may"))
-    around = sides[0].unionByName(sides[1]).join(may, ["image", "v"], "left").select("*", (c("own") == c("other")).alias("same"), F.when(~F.coalesce("may", F.lit(False)), c("other")).alias("fixed"))
-    # Neighbours that can't change are summed up by label first.
-    summed = around.groupBy("image", "sp", "same", "fixed", F.when(c("fixed").isNull(), c("v")).alias("v")).agg(F.sum("w").alias("w"))
-    same, still = F.coalesce("same", F.lit(False)), c("fixed").isNotNull()
-    near = summed.groupBy("image", "sp").agg(
-        F.bool_or(same & still).alias("open"), F.sort_array(F.collect_list(F.when(same & ~still, c("v").cast("bigint")))).alias("links"),
-        _pairs(~same & still, "fixed", "w").alias("fixed"), _pairs(~same & ~still, "v", "w").alias("moving"),
-    )
-    none = {"open": F.lit(False), "links": F.array().cast("array<bigint>"), "fixed": F.array().cast("array<array<bigint>>"), "moving": F.array().cast("array<array<bigint>>")}
-    rows = few.select("image", "sp", "label", *extra).join(near, ["image", "sp"], "left").withColumns({name: F.coalesce(name, empty) for name, empty in none.items()})
+    labels, own = materialise(labels, "labels"), not made(edges)
+    edges = materialise(edges, "edges") if own else edges
+    both = mirrored(edges).withColumnRenamed("u", "sp")
+    other = per_region(labels.select("image", c("sp").alias("v"), c("label").alias("other")))
+    sums = materialise(both.join(other, ["image", "v"]).groupBy("image", "sp", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")), "around")
+    large = sums.where(c("n") >= limit).join(labels.select("image", "sp", c("label").alias("other")), ["image", "sp", "other"], "left_semi")
+    few = materialise(labels.where("sp IS NOT NULL").join(large, ["image", "sp"], "left_anti"), "few")
+    here = few.select("image", "sp")
+    inner = both.join(per_region(here), ["image", "sp"], "left_semi").join(per_region(here.withColumnRenamed("sp", "v")), ["image", "v"], "left_semi")
+    rows = few.select("image", "sp", "label", *extra).join(_lists(sums.join(here, ["image", "sp"], "left_semi"), "around", "other", "n", "w"), ["image", "sp"], "left")
+    rows = rows.join(_lists(inner, "near", "v", "w"), ["image", "sp"], "left").withColumns({x: F.coalesce(x, F.array().cast("array<array<bigint>>")) for x in ("around", "near")})
     kinds = dict(labels.dtypes)
-    changed = materialise(rows.where("sp IS NOT NULL").groupBy("image").applyInPandas(run, f"image {kinds['image']}, sp {kinds['sp']}, clean int"), "changed")
-    discard(known, few)
+    changed = materialise(rows.groupBy("image").applyInPandas(run, f"image {kinds['image']}, sp {kinds['sp']}, clean int"), "changed")
+    discard(sums, few, *([edges] if own else []))
     return labels.select("image", "sp", "label").join(changed, ["image", "sp"], "left").withColumn("clean", F.coalesce("clean", c("label").cast("int")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessela.operators import graph, quality, votes
-from tessela.storage import materialise
+from tessela.storage import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,11 @@ def catalog(spark: SparkSession, limit: int = 100, include_legacy: bool = True)
     return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} {kinds[type(v)]}" for c, v in rows[0].items()))
 
 
+def uses_edges(s: Strategy) -> bool:
+    """Whether a strategy smooths or cleans up."""
+    return s.graph_steps > 0 or s.cleanup_mode != "none"
+
+
 def refine(px: DataFrame, s: Strategy, edges: DataFrame | None = None, k: int = 3) -> DataFrame:
     """The pixels with ``label``: the whole of a strategy.
 
@@ -174,13 +179,15 @@ def refine(px: DataFrame, s: Strategy, edges: DataFrame | None = None, k: int =
     that touch, needed where the strategy smooths or cleans up. Pixels whose
     region is null keep their label. An empty table gives no rows.
     """
-    if edges is not None and (s.graph_steps > 0 or s.cleanup_mode != "none"):
-        edges = materialise(edges, "edges")  # counted once for smoothing and cleanup
+    edges = materialise(edges, "edges") if edges is not None and uses_edges(s) else None  # counted once for smoothing and cleanup
     prob = votes.confidence(votes.softmax(px, k), k)
     scores = votes.region_scores(prob.where("sp IS NOT NULL"), s.aggregate_mode, k, s.prior_power, s.temperature, s.weight_power)
     if s.graph_steps > 0 and s.graph_alpha > 0:
+        scores = materialise(scores, "raw")
         smooth = graph.smooth(scores.select("image", "sp", *votes.columns("s", k)), edges, s.graph_steps, s.graph_alpha, k)
         scores = smooth.join(scores.select("image", "sp", "n"), ["image", "sp"]).withColumn("sp_label", votes.argmax_class(votes.columns("s", k)))
+    if edges is not None:
+        scores = graph.per_region(materialise(scores, "scores"))
     guards = {
         "min_margin": s.min_superpixel_margin, "min_conf": s.superpixel_confidence_threshold if s.enforce_superpixel_confidence_guard else 0.0,
         "max_changed": s.max_change_fraction, "max_changed_conf": s.max_changed_mean_confidence,
@@ -188,18 +195,21 @@ def refine(px: DataFrame, s: Strategy, edges: DataFrame | None = None, k: int =
     idle = guards == {"min_margin": 0.0, "min_conf": 0.0, "max_changed": 1.0, "max_changed_conf": 1.0}
     out = votes.vote(px, policy=s.overwrite_policy, threshold=s.pixel_confidence_threshold, region_threshold=s.superpixel_confidence_threshold, guards=None if idle else guards, scores=scores, k=k)
     if s.cleanup_mode == "none":
+        if edges is not None:
+            discard(edges)
         return out
     known = out.where("sp IS NOT NULL")
     stage = votes.majority(known, "label").select("image", "sp", F.col("sp_label").alias("label"))
     if s.cleanup_mode == "conservative":
-        base = votes.majority(known).select("image", "sp", F.col("sp_label").alias("base"))
+        base = votes.majority(px.where("sp IS NOT NULL")).select("image", "sp", F.col("sp_label").alias("base"))
         sure = scores.select("image", "sp", "n", F.greatest(*votes.columns("s", k)).alias("conf"))
         stage = stage.join(base, ["image", "sp"]).join(sure, ["image", "sp"])
         clean = graph.cleanup_conservative(stage, edges, s.small_component_superpixels, s.superpixel_confidence_threshold, s.neighbor_ratio_threshold)
     else:
         clean = graph.cleanup(stage, edges, s.small_component_superpixels)
+    discard(edges)
     final = clean.select("image", "sp", F.col("clean").alias("cleaned"))
-    return out.join(final, ["image", "sp"], "left").withColumn("label", F.coalesce("cleaned", "label")).drop("cleaned")
+    return out.join(graph.per_region(final), ["image", "sp"], "left").withColumn("label", F.coalesce("cleaned", "label")).drop("cleaned")
 
 
 def threshold_sweep(px: DataFrame, thresholds: list[float]) -> DataFrame:

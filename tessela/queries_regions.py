@@ -9,6 +9,7 @@ from tessela.operators import graph, quality, spatial, strategies, vectors, vote
 from tessela.plans import relations as rel
 from tessela.sources import images
 from tessela.sources.tables import table
+from tessela.storage import materialise
 
 PX = """px AS (SELECT l_linenumber AS image, l_suppkey AS sp, CAST(l_partkey % 3 AS INTEGER) AS gt, l_quantity / 10 AS lg0, l_discount * 50 AS lg1, l_tax * 60 AS lg2,
  l_returnflag <> 'N' AS valid, l_extendedprice / 1000 AS lab_l, l_discount * 100 AS lab_a, l_tax * 100 AS lab_b,
@@ -300,8 +301,10 @@ def strategy_compare(spark, d):
 
 def _refined(strategy_id):
     def run(spark, d):
-        px = rel.grid_pixels(spark, d)
-        out = strategies.refine(px, strategies.resolve(strategy_id), quality.adjacency(px))
+        s, px = strategies.resolve(strategy_id), rel.grid_pixels(spark, d)
+        if strategies.uses_edges(s):
+            px = materialise(px.repartition("image", "sp"), "pixels")  # placed once; the pixels of a region side by side
+        out = strategies.refine(px, s, quality.adjacency(px))
         return quality.confusion(out, pred="label", by=("image",))
 
     return run

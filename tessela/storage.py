@@ -58,6 +58,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def made(df: DataFrame) -> bool:
+    """Whether ``df`` is just what ``materialise`` gave."""
+    return "_scratch" in vars(df)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage, if it is there."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@ import math
 import random
 
 from tests.conftest import rows
+from tessela import storage
 from tessela.operators import bench, events, graph, quality, spatial, votes
 from tessela.functions import geometry, text
 from pyspark.sql import functions as F
@@ -163,6 +164,28 @@ def test_cleanup_gathers_only_what_can_change(spark, monkeypatch):
     assert graph.cleanup(labels, edges, 2).where("clean = 0").count() == 40
 
 
+def watch_tables(monkeypatch):
+    """The rows of what ``graph`` materialises, by its name."""
+    written = {}
+
+    def noted(df, what):
+        out = storage.materialise(df, what)
+        written[what] = max(written.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", noted)
+    return written
+
+
+def test_cleanup_writes_no_edges_again(spark, monkeypatch):
+    written = watch_tables(monkeypatch)
+    labels = spark.createDataFrame([(1, u, u % 3, 0, 5, 0.1) for u in range(40)], "image int, sp long, label int, base int, n long, conf double")
+    edges = spark.createDataFrame([(1, u, v, 1) for u in range(40) for v in range(u + 1, 40)], "image int, u long, v long, w long")
+    edges = storage.materialise(edges, "edges")
+    assert graph.cleanup_conservative(labels, edges, 3).where("clean = label").count() == 40
+    assert written and max(written.values()) <= 3 * 40  # a row for each label around a region at most
+
+
 def test_boundaries_and_adjacency(spark):
     cells = [(1, x, y, int(x > 1), 0) for x in range(4) for y in range(3)]
     df = spark.createDataFrame(cells, "image int, x int, y int, sp int, gt int")
