@@ -24,13 +24,14 @@ def smooth(scores: DataFrame, edges: DataFrame, steps: int, alpha: float, k: int
     """``steps`` rounds of (1-a) s + a (weighted mean of neighbours), normalised each round.
 
     A region without neighbours keeps its scores. ``scores``: ``image, sp, s0..``.
-    The edges are materialised once; the plan is then unrolled, with one join and
-    one aggregate a round, for the few rounds that smoothing takes.
+    The edges are materialised once, if they aren't yet, and the scores before each
+    round, of which there are few; a round is one join and one aggregate.
     """
-    both = materialise(mirrored(edges), "neighbours") if steps > 0 else None
+    edges = materialise(edges, "edges") if steps > 0 and not made(edges) else edges
     floor = lambda c: F.greatest(c, F.lit(1e-8))
     for _ in range(steps):
-        near = both.join(scores.withColumnRenamed("sp", "v"), ["image", "v"]).groupBy("image", F.col("u").alias("sp")).agg(
+        scores = materialise(scores.select("image", "sp", *[f"s{i}" for i in range(k)]), "scores")
+        near = mirrored(edges).join(per_region(scores.withColumnRenamed("sp", "v")), ["image", "v"]).groupBy("image", F.col("u").alias("sp")).agg(
             F.sum("w").alias("w"), *[F.sum(F.col(f"s{i}") * F.col("w")).alias(f"n{i}") for i in range(k)]
         )
         mixed = scores.join(near, ["image", "sp"], "left").select(

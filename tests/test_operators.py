@@ -186,6 +186,15 @@ def test_cleanup_writes_no_edges_again(spark, monkeypatch):
     assert written and max(written.values()) <= 3 * 40  # a row for each label around a region at most
 
 
+def test_smooth_writes_no_edges_again(spark, monkeypatch):
+    written = watch_tables(monkeypatch)
+    scores = spark.createDataFrame([(1, u, 0.5, 0.3, 0.2) for u in range(40)], "image int, sp long, s0 double, s1 double, s2 double")
+    edges = spark.createDataFrame([(1, u, v, 1) for u in range(40) for v in range(u + 1, 40)], "image int, u long, v long, w long")
+    out = graph.smooth(scores, storage.materialise(edges, "edges"), 2, 0.3)
+    assert {(round(r.s0, 9), round(r.s1, 9), round(r.s2, 9)) for r in out.collect()} == {(0.5, 0.3, 0.2)} and out.count() == 40
+    assert max(written.values()) <= 40
+
+
 def test_boundaries_and_adjacency(spark):
     cells = [(1, x, y, int(x > 1), 0) for x in range(4) for y in range(3)]
     df = spark.createDataFrame(cells, "image int, x int, y int, sp int, gt int")
