@@ -139,6 +139,13 @@ def test_whole_strategies_equal_brute_force(spark, name):
     assert (got == brute(lg, sp, s)).all()
 
 
+def test_scores_and_labels_are_made_once(spark):
+    px = pixels(spark, np.random.default_rng(5).normal(size=(3, 6, 6)), np.arange(36).reshape(6, 6) // 6)
+    out = strategies.refine(px, strategies.resolve("novel_09_05"), quality.adjacency(px))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and out.count() == 36  # votes, smoothing and cleanup are read, not made again for the result
+
+
 def test_compare_uses_every_mode_at_once(spark):
     rng = np.random.default_rng(3)
     px = pixels(spark, rng.normal(size=(3, 9, 9)), np.arange(81).reshape(9, 9) // 9)
