@@ -11,6 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessela.storage import made
+
+PAIR_ROWS = 250_000  # pixels of a large table whose neighbours a task counts
+
 
 def confusion(df: DataFrame, gt: str = "gt", pred: str = "pred", valid: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``by.., gt, pred, n`` over valid pixels."""
@@ -138,10 +142,20 @@ def boundary_recall(df: DataFrame, tolerance: int = 2) -> DataFrame:
 
 
 def adjacency(df: DataFrame, label: str = "sp") -> DataFrame:
-    """``image, u, v, w``: neighbouring labels, u below v, with the length of their common boundary."""
+    """``image, u, v, w``: neighbouring labels, u below v, with the length of their common boundary.
+
+    A written table is read once for each direction, by tasks of about ``PAIR_ROWS``
+    pixels if it is large: counts of pairs that hardly repeat fill a task's memory.
+    """
     row, col = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
-    near = df.select("image", F.col(label).alias("a"), F.lead(label).over(row).alias("right"), F.lead(label).over(col).alias("below"))
-    pairs = near.select("image", "a", F.explode(F.array("right", "below")).alias("b")).where("a <> b")
+    if made(df):
+        tasks, usual = df.count() // PAIR_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = lambda axis: df.repartition(tasks, "image", axis) if tasks > usual else df
+        right, below = (placed(axis).select("image", F.col(label).alias("a"), F.lead(label).over(w).alias("b")) for axis, w in (("y", row), ("x", col)))
+        pairs = right.unionAll(below).where("a <> b")
+    else:
+        near = df.select("image", F.col(label).alias("a"), F.lead(label).over(row).alias("right"), F.lead(label).over(col).alias("below"))
+        pairs = near.select("image", "a", F.explode(F.array("right", "below")).alias("b")).where("a <> b")
     return pairs.groupBy("image", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count(F.lit(1)).alias("w"))
 
 

@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # else they stay until the driver happens to collect its garbage
+
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,10 +51,14 @@ def write_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """A durable copy of ``df`` in the shared folder, with its lineage cut."""
+    """A durable copy of ``df`` in the shared folder, with its lineage cut; what was shuffled for it is removed from the executors' disks."""
     spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, what), spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 
 from tests.conftest import rows
 from tessela import storage
@@ -203,6 +205,28 @@ def test_boundaries_and_adjacency(spark):
     assert df.withColumn("e", quality.edges(df, "sp")).where("e").count() == 6
 
 
+def test_neighbours_of_a_written_table_are_counted_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PAIR_ROWS", 60)
+    rnd = random.Random(4)
+    cells = [(i, x, y, rnd.choice([None, 0, 1, 2, 3])) for i in range(2) for x in range(16) for y in range(15) if rnd.random() < 0.9]
+    df = spark.createDataFrame(cells, "image int, x int, y int, sp int")
+    out = quality.adjacency(storage.materialise(df, "px"))
+    assert rows(out) == rows(quality.adjacency(df)) and len(cells) // 60 > 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count(f", {len(cells) // 60}\n") == 2  # each direction by itself, in more tasks than usual
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    held = lambda: {f.split("_")[1] for f in re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" "))}
+    before, flag = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(flag, "false")
+    out = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    deadline = time.time() + 10
+    while held() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 7 and spark.conf.get(flag) == "false"
+
+
 def test_stalls_and_ema(spark):
     v = [0.1, 0.2, 0.2, 0.1, 0.3, 0.3]
     df = spark.createDataFrame([(1, i, x, 1.0) for i, x in enumerate(v)], "run int, step int, miou double, ink double")
